@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality
+from . import bpe, mixing, pii, quality, warc
 from .common import table
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,8 +32,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality": op6_quality, "op8_bpe": op8_bpe, "op9_pii": op9_pii}
+    return {"op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op9_pii": op9_pii}
+
+
+WARC_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, url
+FROM (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+             list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST('0b' || substr(bits, 1 + 5 * CAST(i AS INTEGER), 5) AS INTEGER), 1)), 'string_agg', '') AS d
+      FROM (SELECT page_id, url, html, sha1(coalesce(html, '')) AS hex,
+                   list_aggregate(list_transform(string_split(sha1(coalesce(html, '')), ''),
+                     lambda c: right(bin(CAST('0x' || c AS INTEGER) + 16), 4)), 'string_agg', '') AS bits
+            FROM pages))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL}
