@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, toxicity, warc
+from . import bpe, mixing, pii, quality, suffix_dedup, toxicity, warc
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -37,7 +41,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op9_pii": op9_pii}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op9_pii": op9_pii}
 
 
 WARC_SQL = """
