@@ -174,7 +174,7 @@ class Model:
 class Scorer:
     """Scores batches of texts on a worker; remembers the inputs of words it has seen."""
 
-    def __init__(self, model: Model, chunk: int = 2048) -> None:
+    def __init__(self, model: Model, chunk: int = 1024) -> None:
         self.model, self.chunk = model, chunk
         self.reset()
 
@@ -214,17 +214,12 @@ class Scorer:
         return a * np.maximum.reduceat(out, edge) + b * np.add.reduceat(out, edge) / counts + c
 
 
-def z_scores(sets: list[set], toxic: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-    """Items, their document counts, and the z-score of their log-odds of toxicity."""
-    df = [Counter(), Counter()]
-    for items, y in zip(sets, toxic, strict=True):
-        df[int(y)].update(items)
+def z_scores(in_clean: np.ndarray, in_toxic: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """z-scores of log-odds of toxicity, from the numbers of clean and toxic documents that hold an item."""
     n = [max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))]
-    items = sorted((df[0] + df[1]).items(), key=lambda x: (-x[1], x[0]))
-    a = np.array([df[1][w] for w, _ in items], np.float64) + 0.5
-    b = np.array([df[0][w] for w, _ in items], np.float64) + 0.5
+    a, b = in_toxic + 0.5, in_clean + 0.5
     odds = np.log(a / (n[1] + 1 - a)) - np.log(b / (n[0] + 1 - b))
-    return [w for w, _ in items], np.array([c for _, c in items]), (odds / np.sqrt(1 / a + 1 / b)).astype(np.float32)
+    return (odds / np.sqrt(1 / a + 1 / b)).astype(np.float32)
 
 
 def shrunk(z: np.ndarray) -> np.ndarray:
@@ -237,41 +232,54 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int =
     toxic = np.asarray(labels, np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    split = [words_of(t) for t in texts]
-    found, df, z = z_scores([set(ws) for ws in split], toxic)
-    keep = int(min((df >= MIN_DOCS).sum(), VOCABULARY))  # most frequent first
-    vocabulary, z = found[:keep], z[:keep]
+    # Words are numbered from 1 by sorted order; everything after works on numbers.
+    distinct = sorted({w for t in texts for w in words_of(t)})
+    number = {w: i + 1 for i, w in enumerate(distinct)}
+    split = [np.array([number[w] for w in words_of(t)], np.int32) for t in texts]
+    grams = [np.zeros(0, np.int32), *(np.array(grams_of(w), np.int32) for w in distinct)]
+    seen = np.zeros((2, len(distinct) + 1), np.int32)
+    seen_grams = np.zeros((2, BUCKETS), np.int32)
+    for ws, y in zip(split, toxic, strict=True):
+        own = np.unique(ws)
+        seen[y, own] += 1
+        if len(own):
+            seen_grams[y, np.unique(np.concatenate([grams[w] for w in own]))] += 1
+    df = seen.sum(0)
+    frequent = np.argsort(-df, kind="stable")
+    frequent = frequent[df[frequent] >= MIN_DOCS][:VOCABULARY]
+    vocabulary, z = [distinct[i - 1] for i in frequent], z_scores(seen[0, frequent], seen[1, frequent], toxic)
     rng = np.random.default_rng(seed)
     net = Network(rng, len(vocabulary) + 1)
     model = Model(vocabulary, net)
-    distinct = sorted({w for ws in split for w in ws})
-    number = {w: i + 1 for i, w in enumerate(distinct)}
     word_row = np.array([0, *(model.vocabulary.get(w, 0) for w in distinct)])
-    grams = [[], *map(grams_of, distinct)]
     size = np.sqrt([max(1, len(g)) for g in grams]).astype(np.float32)
     begin = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-    flat = np.array([g for gs in grams for g in gs], np.int64)
-    rows = [windows(np.array([number[w] for w in ws], np.int64)) for ws in split]
+    flat = np.concatenate(grams)
+    del grams
+    rows = [windows(ws) for ws in split]
     edge = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     ids = np.concatenate(rows)
 
     # The first dimension of a word or n-gram starts from what the labels alone say about it.
     net.p["word"][1:, 0] = shrunk(z)
-    text_grams = [{g for w in set(ws) for g in grams[number[w]]} for ws in split]
-    seen, df, z = z_scores(text_grams, toxic)
-    net.p["char"][:, 0] = 0
-    net.p["char"][seen, 0] = shrunk(z) * (df >= MIN_DOCS)
+    net.p["char"][:, 0] = shrunk(z_scores(*seen_grams, toxic)) * (seen_grams.sum(0) >= MIN_DOCS)
     for side in "fb":
         net.p[f"W{side}"][0] = net.p[f"W{side}"][WORD_DIM] = np.abs(net.p[f"W{side}"][0])
 
     def table() -> np.ndarray:
-        return np.concatenate([np.zeros((1, WORD_DIM + CHAR_DIM), np.float32), model.inputs(distinct)])
+        out = np.zeros((len(word_row), WORD_DIM + CHAR_DIM), np.float32)
+        out[:, :WORD_DIM] = net.p["word"][word_row] * (word_row > 0)[:, None]
+        for lo in range(1, len(out), 8192):
+            hi = min(lo + 8192, len(out))
+            own = net.p["char"][flat[begin[lo] : begin[hi]]]
+            out[lo:hi, WORD_DIM:] = np.add.reduceat(own, begin[lo:hi] - begin[lo]) / size[lo:hi, None]
+        return out
 
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
         inputs = table()
-        logit = np.concatenate([net.forward(inputs[ids[i : i + 4096].T], ids[i : i + 4096].T > 0)[0] for i in range(0, len(ids), 4096)])
+        logit = np.zeros(0) if epoch == 0 else np.concatenate([net.forward(inputs[ids[i : i + 1024].T], ids[i : i + 1024].T > 0)[0] for i in range(0, len(ids), 1024)])
         if epoch == 0:  # before any training the labels' own word scores choose
             logit = inputs[ids, 0].sum(1) + inputs[ids, WORD_DIM].sum(1)
         chosen, target = [], []
@@ -325,7 +333,7 @@ def fit_line(model: Model, texts: list[str | None], toxic: np.ndarray, pull: flo
     scorer, sides = Scorer(model), []
     for line in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0)):
         model.line = line
-        sides.append(np.concatenate([scorer.logits(texts[i : i + 512]) for i in range(0, len(texts), 512)]))
+        sides.append(np.concatenate([scorer.logits(texts[i : i + 128]) for i in range(0, len(texts), 128)]))
     x = np.stack([*sides, np.ones(len(toxic))], 1).astype(np.float64)
     start = np.array([0.7, 0.3, 0.0])
     w = start.copy()
