@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, suffix_dedup, toxicity, warc
+from . import bpe, mixing, omh, pii, pq, quality, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -32,6 +36,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op9_pii": op9_pii}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_omh": op3_omh, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_pq": op7_pq, "op8_bpe": op8_bpe, "op9_pii": op9_pii}
 
 
 WARC_SQL = """
@@ -58,5 +66,20 @@ FROM (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
 """
 
 
+#: Every pair of a label, by cosine in double precision; components by reachability.
+PQ_SQL = """
+WITH RECURSIVE good AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+JOIN (SELECT e.vec_id, count(l.b) AS n_links FROM embeddings e LEFT JOIN links l ON e.vec_id = l.a GROUP BY e.vec_id) USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL}
+    return {"op4_warc": WARC_SQL, "op7_pq": PQ_SQL}
