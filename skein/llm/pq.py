@@ -185,9 +185,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     coded = materialise(classes.select("node", "label", "dim", "v", "n").mapInArrow(encode, f"node {NODE}, label long, dim int, v array<double>, n long, cell int, codes binary, error double, probes array<int>"), "coded")
     blocks = coded.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     data = coded.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod("node.hash", "blocks").cast("int"))
-    asked = coded.select("node", "label", "dim", "v", F.explode("probes").alias("cell")).join(blocks, ["label", "dim", "cell"])
+    names = {c: f"q_{c}" for c in ("node", "label", "dim", "v")}
+    asked = coded.select(*(F.col(c).alias(n) for c, n in names.items()), F.explode("probes").alias("q_cell"))
+    asked = asked.join(blocks.withColumnsRenamed({"label": "q_label", "dim": "q_dim", "cell": "q_cell"}), ["q_label", "q_dim", "q_cell"])
     asked = asked.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     at = ["label", "dim", "cell", "block"]
+    asked = asked.withColumnsRenamed({"q_node": "node", "q_label": "label", "q_dim": "dim", "q_cell": "cell", "q_v": "v"})
 
     def find(queries: pa.Table, held: pa.Table) -> pa.Table:
         kind = held.schema.field("node").type

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, omh, pii, pq, quality, suffix_dedup, toxicity, warc
+from . import bpe, license, mixing, omh, pii, pq, quality, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -48,8 +49,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Documents as files of a tree: source / language / document.
+    files = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return license.scan(files)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_omh": op3_omh, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_pq": op7_pq, "op8_bpe": op8_bpe, "op9_pii": op9_pii}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_omh": op3_omh, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_pq": op7_pq, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_license": op10_license}
 
 
 WARC_SQL = """
