@@ -36,7 +36,8 @@ WINDOW, STRIDE = 64, 48
 MAX_TOXIC, MAX_CLEAN = 1000, 1600
 VOCABULARY, MIN_DOCS = 20_000, 3
 WORD_DIM, CHAR_DIM, HIDDEN, BUCKETS = 8, 8, 12, 1 << 14
-EPOCHS, BATCH, RATE = 8, 128, 0.005
+#: Rounds of choosing windows and learning from them: at least EPOCHS, more where few documents make few steps.
+EPOCHS, MAX_EPOCHS, STEPS, BATCH, RATE = 8, 30, 360, 96, 0.006
 #: Words whose input a worker remembers.
 CACHE_WORDS = 300_000
 THRESHOLD = 0.3
@@ -227,7 +228,7 @@ def shrunk(z: np.ndarray) -> np.ndarray:
     return np.sign(z) * np.clip(np.abs(z) - 2, 0, 4) / 3
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Model | None:
+def fit(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int | None = None) -> Model | None:
     """A model of the given documents; None unless both classes occur."""
     toxic = np.asarray(labels, np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -277,6 +278,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int =
 
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
+    per_epoch = -(-int(len(toxic) + (toxic == 0).sum()) // BATCH)
+    epochs = epochs or min(MAX_EPOCHS, max(EPOCHS, -(-STEPS // per_epoch)))
     for epoch in range(epochs):
         inputs = table()
         logit = np.zeros(0) if epoch == 0 else np.concatenate([net.forward(inputs[ids[i : i + 1024].T], ids[i : i + 1024].T > 0)[0] for i in range(0, len(ids), 1024)])
