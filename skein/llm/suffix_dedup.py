@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,10 @@ from .common import materialise
 
 LENGTH = 50
 GRAM = 16
-#: Bytes of text in a bucket of documents, about, and of segments in a block of a shard.
-BUCKET_BYTES = 8 << 20
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a bucket of documents, about, of segments in a part of a shard's keys, about, and of
+#: segments that one suffix array holds at most.
+BUCKET_BYTES = 4 << 20
+PART_BYTES, BLOCK_BYTES = 1 << 20, 4 << 20
 #: A key held by more rows than this has its windows dealt one by one.
 HOT_ROWS = 5000
 
@@ -48,6 +50,8 @@ U64 = np.uint64
 #: Odd multipliers of the gram hash and the text hash.
 MIX = tuple(U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 NO_ID = np.iinfo(np.int64).max
+#: Keys travel as 6 bytes: the low ones, as the least of many hashes has few high bits.
+KEY_BITS = U64((1 << 48) - 1)
 
 
 # -- suffix arrays ---------------------------------------------------------------------------------
@@ -55,45 +59,62 @@ NO_ID = np.iinfo(np.int64).max
 
 def words8(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as one big-endian number; zeros follow the end."""
-    out = np.zeros(len(data) + 8, U64)
-    out[: len(data)] = data
-    for shift in (1, 2, 4):
-        out[:-shift] = (out[:-shift] << U64(8 * shift)) | out[shift:]
-    return out[: len(data)]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(U64)
+
+
+def dense_words(data: np.ndarray) -> tuple[np.ndarray, int]:
+    """(first symbols of each suffix as one number, how many they are).
+
+    Bytes are renumbered from one in their order, so that as many as possible fit; zero is the end.
+    """
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    bits = max(1, int(len(used)).bit_length())
+    code = np.zeros(256, U64)
+    code[used] = np.arange(1, len(used) + 1)
+    n, want, have = len(data), 64 // bits, 1
+    powers = [(1, np.append(code[data], np.zeros(want, U64)))]
+    while 2 * have <= want:
+        x = powers[-1][1]
+        y = x << U64(bits * have)
+        y[:-have] |= x[have:]
+        have *= 2
+        powers.append((have, y))
+    out = powers[-1][1]
+    for size, x in reversed(powers[:-1]):
+        if have + size <= want:
+            out = out << U64(bits * size)
+            out[:-have] |= x[have:]
+            have += size
+    return out[:n], have
 
 
 def larsson_sadakane(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, rank of each suffix).
 
-    Ranks by 8 bytes come from one sort; then only groups that are not yet single are refined by the
-    rank of the suffix h further on, and h doubles. A group's rank is the place of its last member,
-    so refining never disturbs others. A suffix that ends sorts before its extensions.
+    Ranks by the first symbols come from one sort; then only groups that are not yet single are refined
+    by the rank of the suffix h further on, and h doubles. A group's rank is the place of its last
+    member, so refining never disturbs others. A suffix that ends sorts before its extensions.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    plain = words8(data)
-    order = np.argsort(plain, kind="stable" if n < 64 else None)
-    key = plain[order]
-    ends = np.minimum(n - order, 8)
-    # Suffixes shorter than 8 bytes look like ones with zeros behind: order them by length within equal keys.
-    last = np.flatnonzero(ends < 8)
-    lo, hi = np.searchsorted(key, key[last]), np.searchsorted(key, key[last], side="right")
-    for a, b in sorted(set(zip(lo.tolist(), hi.tolist(), strict=True))):
-        again = a + np.argsort(ends[a:b], kind="stable")
-        order[a:b], ends[a:b] = order[again], ends[again]
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    words, h = dense_words(data)
+    sa = np.argsort(words).astype(np.int32)
+    key = words[sa]
     head = np.ones(n, bool)
-    head[1:] = (key[1:] != key[:-1]) | (ends[1:] != ends[:-1])
-    sa, rank = order.astype(np.int64), np.empty(n, np.int64)
+    head[1:] = key[1:] != key[:-1]
+    del words, key
+    rank = np.empty(n, np.int32)
 
     def last_of(head: np.ndarray) -> np.ndarray:
-        starts = np.flatnonzero(head)
-        stops = np.append(starts[1:], len(head)) - 1
+        starts = np.flatnonzero(head).astype(np.int32)
+        stops = np.append(starts[1:], np.int32(len(head))) - np.int32(1)
         return np.repeat(stops, stops - starts + 1)
 
     group = last_of(head)
     rank[sa] = group
-    h = 8
     while True:
         single = head & np.append(head[1:], True)
         todo = np.flatnonzero(~single)
@@ -102,10 +123,10 @@ def larsson_sadakane(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = sa[todo]
         nxt = at + h
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        again = np.lexsort((second, group[todo]))
+        again = np.argsort((group[todo].astype(np.int64) << 32) | second)  # one sort by (group, second)
         at, second = at[again], second[again]
         sa[todo] = at
-        split = head[todo].copy()
+        split = head[todo]
         split[1:] |= second[1:] != second[:-1]
         head[todo] = split
         group = last_of(head)
@@ -121,7 +142,7 @@ def kasai(data: np.ndarray, sa: np.ndarray, cap: int, lane: int = 64) -> np.ndar
     did. The chain runs in lanes of ``lane`` positions side by side; eight bytes are compared at once.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     word = np.append(words8(data), np.zeros(cap + 16, U64))
     out = np.zeros(n, np.int64)
@@ -216,7 +237,7 @@ class Texts:
         stop = np.append(start[1:], n)
         good = np.append(0, np.cumsum(inside))
         self.start, self.count = start, good[stop] - good[start]
-        self.key = keys[start]
+        self.key = keys[start] & KEY_BITS
         self.row = np.searchsorted(self.edge, start, side="right") - 1
 
 
@@ -234,15 +255,15 @@ def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(jump)
 
 
-def text_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch: sums of its 8-byte words, each mixed with its place."""
+def text_hash(word: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of the text whose ``words8`` are given, word after word."""
     n = len(start)
     out = np.full(n, MIX[3], U64) * (size.astype(U64) + U64(1))
     if not n:
         return out
-    word = np.append(words8(data), np.zeros(8, U64))
+    live = np.arange(n)
     for at in range(0, int(size.max()), 8):
-        live = np.flatnonzero(size > at)
+        live = live[size[live] > at]
         left = np.minimum(size[live] - at, 8)
         w = word[start[live] + at] >> (U64(64) - left.astype(U64) * U64(8))
         h = (out[live] ^ (w * MIX[0])) * MIX[1]
@@ -250,19 +271,23 @@ def text_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(representatives, number of each stretch's representative): stretches of equal bytes are one."""
-    _, first, inverse = np.unique(text_hash(data, start, size), return_index=True, return_inverse=True)
+def distinct(data: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(representatives, number of each stretch's representative): stretches of equal bytes are one.
+
+    They are told apart by 64-bit hash, length and first bytes; what does not agree stands for itself.
+    """
+    hashes = text_hash(word, start, size)
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    first = order[new]
     like = first[inverse]
-    other = np.flatnonzero(like != np.arange(len(start)))
-    wrong = other[size[like[other]] != size[other]]
-    other = other[size[like[other]] == size[other]]
-    if len(other):
-        same = data[flat(start[other], size[other])] == data[flat(start[like[other]], size[other])]
-        bad = np.add.reduceat(~same, np.append(0, np.cumsum(size[other])[:-1])) > 0
-        wrong = np.append(wrong, other[bad])
-    if len(wrong):  # equal hashes of different bytes: these stand for themselves
-        inverse = inverse.copy()
+    head = np.minimum(size, 8)
+    wrong = np.flatnonzero((size[like] != size) | (data[start] != data[start[like]]) | (data[start + head - 1] != data[start[like] + head - 1]))
+    if len(wrong):
         inverse[wrong] = len(first) + np.arange(len(wrong))
         first = np.append(first, wrong)
     return first, inverse
@@ -342,10 +367,10 @@ def merge_blocks(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Non
 
 
 def owner_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> U64(33)) % U64(n)).astype(np.int64)
+    return ((keys >> U64(16)) % U64(n)).astype(np.int64)
 
 
-def split_by(owner: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def split_by(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(owner, places) of each owner that occurs, places in their order."""
     order = np.argsort(owner, kind="stable")
     cut = np.flatnonzero(np.diff(owner[order])) + 1
@@ -354,8 +379,25 @@ def split_by(owner: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(owner[part[0]]), part
 
 
+def packed(values: np.ndarray, kind: type | None = None) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values if kind is None else values.astype(kind)))
+
+
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    d = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(d.decompress(x) for x in column.to_pylist()), kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Six bytes a key; hashes do not compress."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def joined_keys(column: pa.ChunkedArray) -> np.ndarray:
+    six = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view(U64).ravel()
 
 
 def _batch(**columns) -> pa.Table:
@@ -380,8 +422,9 @@ def _send_keys(n_owners: int):
                 one[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
                 first = np.flatnonzero(one)
                 rows = np.diff(np.append(first, len(key)))
-                key, of = key[first], of[first]
-                out = [(o, key[p].tobytes(), of[p].astype(np.int32).tobytes(), rows[p].astype(np.int32).tobytes()) for o, p in split_by(owner_of(key, n_owners), n_owners)]
+                order = np.lexsort((key[first], of[first]))  # buckets and numbers then pack into next to nothing
+                key, of, rows = key[first][order], of[first][order], rows[order]
+                out = [(o, packed_keys(key[p]), packed(of[p], np.int32), packed(rows[p], np.int32)) for o, p in split_by(owner_of(key, n_owners))]
                 if out:
                     o, k, b, r = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(o, pa.int32()), pa.array(k, pa.binary()), pa.array(b, pa.binary()), pa.array(r, pa.binary())], names=["owner", "keys", "buckets", "rows"])
@@ -404,7 +447,7 @@ def _return_shared(hot_rows: int):
 
 
 def _shared_keys(table: pa.Table, hot_rows: int) -> pa.Table:
-    keys, buckets, rows = joined(table["keys"], U64), joined(table["buckets"], np.int32), joined(table["rows"], np.int32)
+    keys, buckets, rows = joined_keys(table["keys"]), joined(table["buckets"], np.int32), joined(table["rows"], np.int32)
     order = np.argsort(keys)
     sorted_keys = keys[order]
     first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
@@ -417,7 +460,7 @@ def _shared_keys(table: pa.Table, hot_rows: int) -> pa.Table:
     one = np.ones(len(keys), bool)
     one[1:] = (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1])
     keys, buckets, hot = keys[one], buckets[one], hot[one]
-    out = [(b, keys[p].tobytes(), hot[p].tobytes()) for b, p in split_by(buckets.astype(np.int64), 0)]
+    out = [(b, packed_keys(keys[p]), packed(hot[p])) for b, p in split_by(buckets.astype(np.int64))]
     b, k, h = zip(*out, strict=True) if out else ((), (), ())
     return _batch(bucket=pa.array(b, pa.int32()), keys=pa.array(k, pa.binary()), hot=pa.array(h, pa.binary()))
 
@@ -440,15 +483,16 @@ class Shared:
         self.start = np.append(start[~is_hot], single)
         self.count = np.append(count[~is_hot], np.ones(len(single), np.int64))
         self.row = np.append(row[~is_hot], np.repeat(row[alone], count[alone]))
-        key = np.append(key[~is_hot], text_hash(t.data, single, np.full(len(single), LENGTH)))
-        self.first, self.number = distinct(t.data, self.start, self.count + LENGTH - 1)
+        word = words8(t.data)
+        key = np.append(key[~is_hot], text_hash(word, single, np.full(len(single), LENGTH)) & KEY_BITS)
+        self.first, self.number = distinct(t.data, word, self.start, self.count + LENGTH - 1)
         self.key = key[self.first]
         self.least = np.full(len(self.first), NO_ID, np.int64)
         np.minimum.at(self.least, self.number, self.ids[self.row])
 
 
 def _of_bucket(docs: pa.Table, sent: pa.Table) -> Shared:
-    return Shared(docs, joined(sent["keys"], U64), joined(sent["hot"], np.uint8))
+    return Shared(docs, joined_keys(sent["keys"]), joined(sent["hot"], np.uint8))
 
 
 def _send_segments(n_shards: int):
@@ -458,19 +502,20 @@ def _send_segments(n_shards: int):
             s = _of_bucket(docs, sent)
             bucket = docs["bucket"][0].as_py()
             start, count = s.start[s.first], s.count[s.first]
-            for shard, p in split_by(owner_of(s.key, n_shards), n_shards):
+            for shard, p in split_by(owner_of(s.key, n_shards)):
                 bytes_of = s.texts.data[flat(start[p], count[p] + LENGTH - 1)]
-                rows.append((shard, bucket, bytes_of.tobytes(), count[p].astype(np.int32).tobytes(), s.least[p].tobytes(), p.astype(np.int32).tobytes()))
-        cols = zip(*rows, strict=True) if rows else [()] * 6
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "bucket", "data", "counts", "ids", "numbers"])
+                rows.append((shard, bucket, packed(bytes_of), packed(count[p], np.int32), packed(s.least[p]), packed(p, np.int32), packed(s.key[p] & U64(255), np.uint8)))
+        cols = zip(*rows, strict=True) if rows else [()] * 7
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "bucket", "data", "counts", "ids", "numbers", "subs"])
 
     return run
 
 
 def _search_shard(table: pa.Table) -> pa.Table:
-    data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
-    parts = [np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()]
+    data = joined(table["data"], np.uint8)
+    unpack = zstandard.ZstdDecompressor().decompress
+    parts = [np.frombuffer(unpack(x), np.int32) for x in table["counts"].to_pylist()]
     sizes = [len(x) for x in parts]
     count = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
     ids, number = joined(table["ids"], np.int64), joined(table["numbers"], np.int32)
@@ -478,19 +523,25 @@ def _search_shard(table: pa.Table) -> pa.Table:
     size = count + LENGTH - 1
     start = np.append(0, np.cumsum(size)[:-1])
     # Other buckets sent many of these segments too: each text is searched once, for its smallest id.
-    first, like = distinct(data, start, size)
+    first, like = distinct(data, words8(data), start, size)
     least = np.full(len(first), NO_ID, np.int64)
     np.minimum.at(least, like, ids)
-    found = least_ids(data[flat(start[first], size[first])], count[first], least)
+    # Different keys never hold equal windows: parts of the keys are searched one after another.
+    sub = joined(table["subs"], np.uint8)[first].astype(np.int64)
+    part = sub * max(1, min(256, -(-int(size[first].sum()) // PART_BYTES))) >> 8
     at = np.append(0, np.cumsum(count[first])[:-1])
+    found = np.empty(int(count[first].sum()), np.int64)
+    for _, p in split_by(part):
+        f = first[p]
+        found[flat(at[p], count[f])] = least_ids(data[flat(start[f], size[f])], count[f], least[p])
     mine = flat(at[like], count)
     result = found[mine]
     edge = np.append(0, np.cumsum(count)[:-1])
     news = np.flatnonzero(np.minimum.reduceat(result, edge) < ids) if len(ids) else np.zeros(0, np.int64)
     rows = []
-    for b, p in split_by(bucket[news], 0):
+    for b, p in split_by(bucket[news]):
         p = news[p]
-        rows.append((b, number[p].tobytes(), result[flat(edge[p], count[p])].tobytes()))
+        rows.append((b, packed(number[p]), packed(result[flat(edge[p], count[p])])))
     b, n, m = zip(*rows, strict=True) if rows else ((), (), ())
     return _batch(bucket=pa.array(b, pa.int32()), numbers=pa.array(n, pa.binary()), least=pa.array(m, pa.binary()))
 
@@ -541,7 +592,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bucke
     sent = rows.select("bucket", "text").mapInArrow(_send_keys(n), "owner int, keys binary, buckets binary, rows binary")
     shared = materialise(sent.groupBy("owner").applyInArrow(_return_shared(hot_rows), "bucket int, keys binary, hot binary"), "repeats")
     dealt = rows.select("bucket", "id", "text").groupBy("bucket")
-    segments = dealt.cogroup(shared.groupBy("bucket")).applyInArrow(_send_segments(n), "shard int, bucket int, data binary, counts binary, ids binary, numbers binary")
+    segments = dealt.cogroup(shared.groupBy("bucket")).applyInArrow(_send_segments(n), "shard int, bucket int, data binary, counts binary, ids binary, numbers binary, subs binary")
     news = segments.groupBy("shard").applyInArrow(_search_shard, "bucket int, numbers binary, least binary")
     both = shared.select("bucket", "keys", "hot", F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("least")).unionByName(news, allowMissingColumns=True)
     marked = dealt.cogroup(both.groupBy("bucket")).applyInArrow(_mark, MARKED)
