@@ -1,24 +1,16 @@
-"""Name -> query, with the SQL that gives the same rows."""
+"""Every registered query of the engine itself, and its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import graphs, history, search, store, upkeep  # noqa: F401  (they enter the catalogue)
+from .plans.catalogue import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "hybrid_search"
 
-from .session import table
 
-FLAGSHIP = "symbols_by_kind"
-
-
-def symbols_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return part.groupBy(part.p_type.alias("kind")).count().withColumnRenamed("count", "n")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"symbols_by_kind": symbols_by_kind}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"symbols_by_kind": "SELECT p_type AS kind, count(*) AS n FROM part GROUP BY p_type"}
+    return dict(ORACLES)
