@@ -2,60 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from skein.lineage import components, materialise, shared_dir
+from skein.session import table
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A folder of our own is made only where the setting is absent, as in local tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    A lost executor loses nothing of it, unlike a local checkpoint.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest vertex of each connected component, for every vertex of ``edges`` (a, b).
-
-    Alternates two steps on the edges until nothing changes: every vertex hands the smallest of its
-    neighbours to the larger ones, then to the smaller ones. Both keep components whole, and halve
-    distances, so rounds grow as a logarithm. Vertices may have any ordered type.
-    """
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
-        small = pairs.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = materialise(small.filter("u <> v").distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    found = now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-    return found.unionByName(found.select(F.col("root").alias("v"), "root").distinct())
+__all__ = ["components", "materialise", "shared_dir", "table"]
