@@ -39,7 +39,7 @@ def with_hash(files: DataFrame) -> DataFrame:
 def git_changes(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """(commit, ts, author, file, added, deleted) of a ``git log --numstat`` text whose headers are
     ``hash␞epoch␞subject␞email``; binary rows are skipped."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)  # one log file a row; split long histories into files
     blocks = raw.select(F.explode(F.split("value", r"\n(?=[0-9a-f]{40}\x1e)")).alias("block")).select(F.split("block", r"\n").alias("lines"))
     head = F.split(F.element_at("lines", 1), "\x1e")
     rows = blocks.select(head.alias("h"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).filter(F.size("h") >= 4)
