@@ -392,9 +392,10 @@ def keep_clean(docs: DataFrame, model: Model | None, text: str = "text") -> Data
     """``docs`` without the rows that the model rejects; all columns stay."""
     if model is None:
         return docs
+    column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, column = Scorer(model), docs.columns.index(text)
+        scorer = Scorer(model)
         limit = math.log(THRESHOLD / (1 - THRESHOLD))
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
