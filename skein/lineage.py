@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
+        own = tempfile.mkdtemp(prefix="skein-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -27,6 +31,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours that nothing reads any more, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, max_rounds: int | None = None) -> DataFrame:
     """Apply ``step`` until a state has been seen before (by an order-free hash of its rows) or rounds end.
 
@@ -34,17 +44,21 @@ def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], label
     """
 
 
-    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple, str]:
         # The state is observed while the table is written; it costs no job of its own.
         watch = Observation()
-        table = materialise(df.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")), label)
-        return table, (watch.get["n"], watch.get["h"])
+        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        df.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), (watch.get["n"], watch.get["h"]), path
 
-    now, state = kept(start)
+    spark = start.sparkSession
+    now, state, path = kept(start)
     seen, rounds = set(), 0
     while state not in seen and (max_rounds is None or rounds < max_rounds):
         seen.add(state)
-        now, state = kept(step(now))
+        old = path
+        now, state, path = kept(step(now))
+        discard(spark, old)  # the new state has been written from it
         rounds += 1
     return now
 
