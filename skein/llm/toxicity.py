@@ -10,7 +10,8 @@ window that speaks most for toxicity, and that window learns the document's labe
 documents, one drawn at random).
 
 The network is fitted on the driver to a bounded sample: at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN``
-clean labelled documents, the first by hash of the key. Scoring reads every row and every word.
+clean labelled documents, the first by hash of the key (those of more than ``MAX_SAMPLE_CHARS`` characters
+left out). Scoring reads every row and every word.
 Only the text is an input of a score.
 
 Defined results: a null or wordless text is one window of padding; several labels of a document
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 64, 48
 MAX_TOXIC, MAX_CLEAN = 1000, 1600
+#: Longer documents are scored like all others, but not fitted to: the sample's size is bounded.
+MAX_SAMPLE_CHARS = 50_000
 VOCABULARY, MIN_DOCS = 20_000, 3
 WORD_DIM, CHAR_DIM, HIDDEN, BUCKETS = 8, 8, 12, 1 << 14
 #: Rounds of choosing windows and learning from them: at least EPOCHS, more where few documents make few steps.
@@ -357,7 +360,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     order = [F.xxhash64("k"), F.col("k")]
     few = known.filter("y = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.filter("y = 0").orderBy(*order).limit(MAX_CLEAN))
     # At most MAX_TOXIC + MAX_CLEAN keys: safe to broadcast at any size of the tables.
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(few), "k").groupBy("k").agg(F.max("y").alias("y"), F.max("t").alias("t")).collect()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(few), "k").filter(F.coalesce(F.length("t"), F.lit(0)) <= MAX_SAMPLE_CHARS).groupBy("k").agg(F.max("y").alias("y"), F.max("t").alias("t")).collect()
     texts: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: r.k):  # a text counts once, or its copies would teach their own words
         texts[r.t or ""] = max(texts.get(r.t or "", 0), int(r.y))
