@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license, mixing, omh, pii, pq, quality, suffix_dedup, toxicity, warc
+from . import bpe, license, mixing, omh, oracles, pii, pq, quality, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -59,34 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_omh": op3_omh, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_pq": op7_pq, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_license": op10_license}
 
 
-WARC_SQL = """
-SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, d AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to, url
-FROM (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
-             list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-               1 + CAST('0b' || substr(bits, 1 + 5 * CAST(i AS INTEGER), 5) AS INTEGER), 1)), 'string_agg', '') AS d
-      FROM (SELECT page_id, url, html, sha1(coalesce(html, '')) AS hex,
-                   list_aggregate(list_transform(string_split(sha1(coalesce(html, '')), ''),
-                     lambda c: right(bin(CAST('0x' || c AS INTEGER) + 16), 4)), 'string_agg', '') AS bits
-            FROM pages))
-"""
-
-
-#: Every pair of a label, by cosine in double precision; components by reachability.
-PQ_SQL = """
-WITH RECURSIVE good AS (
-  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL),
-links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
-  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
-reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT vec_id, n_links, component_id, vec_id = component_id AS kept
-FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
-JOIN (SELECT e.vec_id, count(l.b) AS n_links FROM embeddings e LEFT JOIN links l ON e.vec_id = l.a GROUP BY e.vec_id) USING (vec_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op7_pq": PQ_SQL}
+    return oracles.oracle_sql()
