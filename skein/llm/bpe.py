@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -32,8 +33,24 @@ POS_BITS = 32
 #: Words remembered in each of the two cache generations of a worker.
 CACHE_WORDS = 250_000
 
-#: Unicode White_Space, as the tokenizer file's ``\s`` means it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+# The library's tables are those of Unicode 16 for classes and 17 for lower case; the modules used here may be
+# older or newer. What follows evens that out.
+
+#: Unicode White_Space, as the tokenizer file's ``\\s`` means it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Code points that became letters or numbers after Unicode 16, as ranges.
+NEWER = (
+    "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959"
+    " 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff"
+    " 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de"
+    " 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+NEWER_CLASS = "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in NEWER.split()))
+#: Capitals whose lower case came after Unicode 15.1, first those of regular blocks.
+LATE_LOWER = {chr(c): chr(c + 0x20) for c in range(0x10D50, 0x10D66)} | {chr(c): chr(c + 0x1B) for c in range(0x16EA0, 0x16EB9)}
+LATE_LOWER |= {chr(c): chr(c + 1) for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)} | {chr(0xA7CB): chr(0x264), chr(0xA7DC): chr(0x19B)}
+#: Lower case goes character by character: a final sigma keeps its plain form.
+ONE_BY_ONE = re.compile("[Σ" + "".join(LATE_LOWER) + "]")
 
 
 def byte_alphabet() -> list[str]:
@@ -120,15 +137,27 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
+        pattern = split["pattern"]["Regex"].replace(r"\s", SPACE)
+        self.words, self.newer = regex.compile(pattern), re.compile(f"[{NEWER_CLASS}]")
+        for c in "LN":
+            pattern = pattern.replace(rf"\p{{{c}}}", rf"[\p{{{c}}}--[{NEWER_CLASS}]]")
+        self.words_with_newer = regex.compile("(?V1)" + pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = byte_alphabet()
         self.limit, self.young, self.old = cache_words, {}, {}
 
     def normalise(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
-        # Lower case goes character by character: a final sigma keeps its plain form.
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return "".join(LATE_LOWER.get(c) or c.lower() for c in text) if ONE_BY_ONE.search(text) else text.lower()
+
+    def split(self, piece: str) -> list[str]:
+        """Normalised pre-tokens of a text without special tokens."""
+        try:
+            piece.encode("latin-1")  # such texts are composed already and hold none of the special cases
+            return self.words.findall(piece.lower())
+        except UnicodeEncodeError:
+            piece = self.normalise(piece)
+            return (self.words_with_newer if self.newer.search(piece) else self.words).findall(piece)
 
     def encode_word(self, word: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by spaces, tokens joined by spaces) of one pre-token."""
@@ -152,7 +181,7 @@ class WordBpe:
             if piece in self.special:
                 out.append((1, str(self.special[piece]), piece))
                 continue
-            for w in self.words.findall(self.normalise(piece)):
+            for w in self.split(piece):
                 out.append(self.young.get(w) or self._missing(w))
         return [p for p in out if p[0]]
 
