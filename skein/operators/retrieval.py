@@ -170,8 +170,9 @@ def rerank(candidates: DataFrame, scorer=None, k: int = 15, most: int = 60) -> D
 
 def tfidf_keywords(docs: DataFrame, top: int, group: str, key: str = "id", text: str = "text") -> DataFrame:
     """(group, term, score, rank): terms of the best mean tf-idf among the documents of each group that hold them."""
-    words = docs.select(group, key, F.explode(T.identifiers(F.col(text))).alias("term"))
-    tf = words.groupBy(group, key, "term").agg(F.count("*").alias("c"))
+    words = docs.select(group, key, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.IDENTIFIER), F.lit(0))).alias("term"))
+    # Stop-words go by a hash set, once per word; an array function would scan the list for each.
+    tf = words.filter(~F.col("term").isin(*sorted(T.STOP_WORDS))).groupBy(group, key, "term").agg(F.count("*").alias("c"))
     totals = tf.groupBy(group, key).agg(F.sum("c").alias("total"))
     sizes = docs.groupBy(group).agg(F.count("*").alias("n"))
     df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import retrieval as R
-from ..session import table
+from ..session import spread, table
 from ..sources import views as V
 from .catalogue import query
 
@@ -24,17 +24,17 @@ bm25 AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1
 
 @query(f"SELECT id FROM (SELECT doc_id AS id, {WORDS} AS ws FROM documents) WHERE list_contains(ws, 'the') AND list_contains(ws, 'tion')")
 def keyword_search_and(spark, d):
-    return R.keyword_search(V.documents(spark, d), ["the", "tion"]).select("id")
+    return R.keyword_search(V.documents(spark, d, heavy=True), ["the", "tion"]).select("id")
 
 
 @query(f"SELECT id FROM (SELECT doc_id AS id, {WORDS} AS ws FROM documents) WHERE list_contains(ws, 'und') OR list_contains(ws, 'tion')")
 def keyword_search_or(spark, d):
-    return R.keyword_search(V.documents(spark, d), ["und", "tion"], every=False).select("id")
+    return R.keyword_search(V.documents(spark, d, heavy=True), ["und", "tion"], every=False).select("id")
 
 
 @query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20")
 def bm25_topk(spark, d):
-    return R.bm25(V.documents(spark, d), TERMS).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    return R.bm25(V.documents(spark, d, heavy=True), TERMS).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
 QUERY_VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
@@ -97,7 +97,7 @@ LEFT JOIN (SELECT doc_id AS id, substr(text, 1, 40) AS text_head FROM documents)
 @query(HYBRID)
 def hybrid_search(spark, d):
     """Vectors, keywords and four priors, each cut to 2k, fused by reciprocal ranks."""
-    docs, v = V.documents(spark, d), V.vectors(spark, d)
+    docs, v = V.documents(spark, d, heavy=True), V.vectors(spark, d)
     similar = R.knn(v, QUERY_VECTOR, 40).select("id", F.col("similarity").alias("score"))
     pairs = V.edges(spark, d)
     degree = G.degrees(pairs).select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
@@ -131,4 +131,4 @@ def rerank_confidence(spark, d):
     SELECT source, term, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 3"""
 )
 def tfidf_keywords(spark, d):
-    return R.tfidf_keywords(table(spark, d, "documents"), 3, "source", "doc_id").select("source", "term", "rank", F.round("score", 6).alias("score"))
+    return R.tfidf_keywords(spread(table(spark, d, "documents").select("source", "doc_id", "text")), 3, "source", "doc_id").select("source", "term", "rank", F.round("score", 6).alias("score"))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import context as X
 from ..operators import diff as D
 from ..operators import quality as Q
-from ..session import table
+from ..session import spread, table
 from ..sources import views as V
 from ..streaming import debounce as B
 from .catalogue import query
@@ -204,7 +204,7 @@ def pii_sql() -> str:
 
 @query(pii_sql())
 def pii_scan(spark, d):
-    return Q.pii_findings(table(spark, d, "documents"), "doc_id", "text")
+    return Q.pii_findings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 REDACT = "text"

@@ -22,6 +22,13 @@ def build_session(master: str = "local[*]", app: str = "skein", **conf: str) ->
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions than there are: for work that is heavy
+    a row. Inputs of any size to speak of have more partitions and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. The path is handed to Spark's reader untouched, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

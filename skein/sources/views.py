@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +62,10 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("tool"), "ts", F.col("value").alias("latency_ms"), (F.col("event_type") != "error").alias("ok"))
 
 
-def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("file_path"), "n_chars")
+def documents(spark: SparkSession, d: str, heavy: bool = False) -> DataFrame:
+    """``heavy``: for work on the texts that should use all cores, however few files hold them."""
+    docs = table(spark, d, "documents")
+    return (spread(docs) if heavy else docs).select(F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("file_path"), "n_chars")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
