@@ -31,7 +31,7 @@ NEVER = 1 << 62
 #: Bits of a tree value that hold the position.
 POS_BITS = 32
 #: Words remembered in each of the two cache generations of a worker.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 # The library's tables are those of Unicode 16 for classes and 17 for lower case; the modules used here may be
 # older or newer. What follows evens that out.
@@ -211,11 +211,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=["key", "ids", "decoded"]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):  # ids as Python integers weigh ten times their text
+                batch = whole.slice(at, 128)
+                ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=["key", "ids", "decoded"]
+                )
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {key_type}, ids array<int>, decoded string").withColumnRenamed("key", key)
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 WINDOW, STRIDE = 64, 48
 MAX_TOXIC, MAX_CLEAN = 1000, 1600
 #: Longer documents are scored like all others, but not fitted to: the sample's size is bounded.
@@ -42,7 +44,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, BUCKETS = 8, 8, 12, 1 << 14
 #: Rounds of choosing windows and learning from them: at least EPOCHS, more where few documents make few steps.
 EPOCHS, MAX_EPOCHS, STEPS, BATCH, RATE = 8, 30, 360, 96, 0.006
 #: Words whose input a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 THRESHOLD = 0.3
 
 WORD = re.compile(r"\w+")
@@ -382,10 +384,12 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(model)
             for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(at, 1024)
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
                     logit = scorer.logits(batch.column(2).to_pylist()).astype(np.float64)
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-logit)))], names=["key", "held_out", "score"])
+            del scorer
+            trim()
 
         out = rows.mapInArrow(run, f"key {kind}, held_out boolean, score double")
     return out.select(F.col("key").alias(key), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -401,8 +405,10 @@ def keep_clean(docs: DataFrame, model: Model | None, text: str = "text") -> Data
         scorer = Scorer(model)
         limit = math.log(THRESHOLD / (1 - THRESHOLD))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 yield batch.filter(pa.array(scorer.logits(batch.column(column).to_pylist()) < limit))
+        del scorer
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
