@@ -9,11 +9,10 @@ do not. Two texts are linked when the edit distance of their word sequences is a
 
 Equal texts (by 64-bit hash) form one class before anything else. Classes that share a key, directly or
 through others, are a candidate group. A group of at most ``GROUP`` classes is settled in one task: pairs
-that share a key are aligned unless links already join them. A larger group is not paired at all:
-under each of its keys the smallest class is aligned with all others, those it is linked to leave the
-key, and what remains is grouped anew, until nothing is left. So work is linear in the rows of a key,
-however many share it, and the pairs of a frequent key are spread over tasks. In a large group, a link
-between members of two such stars of one key can only be found by another key or a later group.
+that share a key are aligned unless links already join them. In a larger group the smallest class
+under each key is aligned with all others of the key first; then, of every key whose classes those
+links have not all joined, cells of two blocks of ``CELL`` classes are settled in tasks of their own. So
+in groups of any size every pair that shares a key is aligned or joined by links.
 
 Defined results: a null text is the empty text; texts without a word are near only to equal texts;
 texts of fewer than ``SHINGLE`` words have their whole word sequence as one shingle; rows without an id
@@ -38,6 +37,10 @@ SIMILARITY = 0.8
 SLICE_BYTES = 2 << 20
 #: Classes, and words of them, of a candidate group that one task settles.
 GROUP, GROUP_WORDS = 4000, 4_000_000
+#: Members of a key in a block; a cell of two blocks is settled in a task.
+CELL = 1000
+#: Slots of the bags of words that rule out pairs before they are aligned.
+BAG = 128
 
 U64 = np.uint64
 MIX = tuple(U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB))
@@ -258,68 +261,75 @@ def _verify(similarity: float):
     return run
 
 
-def settle(groups: list[tuple[list[int], list[list[int]], list[str]]], similarity: float) -> list[tuple[int, int, float, int]]:
-    """Links of candidate groups (nodes, keys, texts): every pair that shares a key is aligned or joined by links.
+def settle(groups: list[tuple[list, ...]], similarity: float) -> list[tuple[int, int, float, int]]:
+    """Links of groups (nodes, keys, texts, roots, sides, owners): every pair of a group that shares a key is aligned
+    or joined by links, given ones (equal roots) or found ones.
 
-    The last of a link is the smallest node of its component.
+    Of a group with two sides only pairs across them count; with an owner only those whose first common key it is.
+    The last of a link is the smallest node of its component, as far as the group shows it.
     """
     nodes = [v for g in groups for v in g[0]]
     hashes, count = word_hashes([t for g in groups for t in g[2]])
     words = np.split(hashes, np.cumsum(count)[:-1])
-    root = list(range(len(nodes)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    holders: dict[int, list[int]] = {}
-    at = 0
-    for g in groups:
-        for keys in g[1]:
-            for k in set(keys):
-                holders.setdefault(k, []).append(at)
-            at += 1
-    # Stars wait under their keys; equal lists of holders would ask the same.
-    open_keys = [list(x) for x in {tuple(sorted(x)) for x in holders.values() if len(x) > 1}]
-    tested: set[tuple[int, int]] = set()
-    links = []
-    while open_keys:
-        asked: set[tuple[int, int]] = set()
-        for members in open_keys:
-            c, rest = members[0], members[1:]
-            rc = find(c)
-            for m in rest:
-                pair = (c, m) if c < m else (m, c)
-                if find(m) != rc and pair not in tested and min(count[c], count[m]) >= similarity * max(count[c], count[m]):
-                    asked.add(pair)
-        tested |= asked
-        todo = sorted(asked)
-        for lo in range(0, len(todo), 1024):
-            part = todo[lo : lo + 1024]
-            good, sim = similar([words[i] for i, _ in part], [words[j] for _, j in part], similarity)
-            for (i, j), ok, x in zip(part, good, sim, strict=True):
+    keys = np.array([k for g in groups for k in g[1]], np.int64).reshape(len(nodes), -1)
+    side = np.array([x for g in groups for x in g[4]])
+    bag = np.bincount(np.repeat(np.arange(len(nodes)), count) * BAG + (hashes % U64(BAG)).astype(np.int64), minlength=len(nodes) * BAG).reshape(-1, BAG).astype(np.int32)
+    most = np.floor((1 - similarity) * np.arange(int(count.max(initial=0)) + 1) + 1e-9).astype(np.int64)
+    part = np.repeat(np.arange(len(groups)), [len(g[0]) for g in groups])
+    ends = np.append(0, np.cumsum([len(g[0]) for g in groups]))
+    comp = np.empty(len(nodes), np.int64)
+    for lo, g in zip(ends, groups, strict=False):
+        first: dict[int, int] = {}
+        for i, r in enumerate(g[3], int(lo)):
+            comp[i] = first.setdefault(r, i)
+    links, asked = [], []
+
+    def align() -> None:
+        for lo in range(0, len(asked), 1024):
+            todo = [(i, j) for i, j in asked[lo : lo + 1024] if comp[i] != comp[j]]
+            if not todo:
+                continue
+            good, sim = similar([words[i] for i, _ in todo], [words[j] for _, j in todo], similarity)
+            for (i, j), ok, x in zip(todo, good, sim, strict=True):
                 if ok:
                     links.append((i, j, float(x)))
-                    root[find(i)] = find(j)
-        left = []
-        for members in open_keys:
-            rest = members[1:]
-            if len(rest) > 1 and len({find(m) for m in rest}) > 1:
-                left.append(rest)
-        open_keys = left
+                    own = comp[ends[part[i]] : ends[part[i] + 1]]
+                    own[own == comp[j]] = comp[i]
+        asked.clear()
+
+    for at, g in enumerate(groups):
+        hi, owner = int(ends[at + 1]), g[5][0]
+        across = len(set(g[4])) > 1
+        for i in range(int(ends[at]), hi - 1):
+            same = keys[i + 1 : hi] == keys[i]
+            ok = same.any(1) & (comp[i + 1 : hi] != comp[i])
+            if owner is not None:
+                ok &= keys[i][same.argmax(1)] == owner
+            if across:
+                ok &= side[i + 1 : hi] != side[i]
+            other = np.flatnonzero(ok) + i + 1
+            # Words that the other text lacks are edits; words of one slot of a bag count as equal.
+            longest = np.maximum(count[other], count[i])
+            for lo in range(0, len(other), 4096):
+                cut = other[lo : lo + 4096]
+                most_here = longest[lo : lo + 4096]
+                near = most_here - np.minimum(bag[cut], bag[i]).sum(1) <= most[most_here]
+                asked.extend((i, j) for j in cut[near].tolist())
+            if len(asked) >= 512:
+                align()
+    align()
     low: dict[int, int] = {}
     for i, v in enumerate(nodes):
-        low[find(i)] = min(low.get(find(i), v), v)
-    return [(nodes[i], nodes[j], x, low[find(i)]) for i, j, x in links]
+        low[comp[i]] = min(low.get(comp[i], v), v)
+    return [(nodes[i], nodes[j], x, low[comp[i]]) for i, j, x in links]
 
 
 def _settle(similarity: float):
-    """Rows (part, node, keys, text), those of a group next to each other, to links."""
+    """Rows (part, node, keys, text, root, side, owner), those of a group next to each other, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, current, group, size = [], None, ([], [], []), 0
+        waiting, current, size = [], None, 0
+        group = tuple([] for _ in range(6))
 
         def flush(groups: list) -> pa.RecordBatch:
             links = settle(groups, similarity)
@@ -327,19 +337,18 @@ def _settle(similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SETTLED, strict=True)], schema=SETTLED)
 
         for batch in batches:
-            for part, node, keys, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for part, *values in zip(*(batch.column(i) for i in range(7)), strict=True):
                 part = part.as_py()
                 if part != current:
                     if group[0]:
                         waiting.append(group)
-                    current, group = part, ([], [], [])
+                    current, group = part, tuple([] for _ in range(6))
                     if size > SLICE_BYTES:
                         yield flush(waiting)
                         waiting, size = [], 0
-                text = text.as_py()
-                size += len(text)
-                for held, value in zip(group, (node.as_py(), keys.as_py(), text), strict=True):
-                    held.append(value)
+                for held, value in zip(group, values, strict=True):
+                    held.append(value.as_py())
+                size += len(group[2][-1])
         if group[0]:
             waiting.append(group)
         if waiting:
@@ -359,7 +368,7 @@ def with_node(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("__id"), t.alias("__text"), F.xxhash64(t).alias("__node"))
 
 
-def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> tuple[DataFrame, DataFrame, bool]:
+def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP, cell: int = CELL) -> tuple[DataFrame, DataFrame, bool]:
     """(rows, links, closed): rows (id, node, n_words) has each row with its class of equal texts; links (a, b,
     similarity, root) joins the nodes of classes found similar. ``closed``: every group was settled in a
     task, so that ``root`` is the smallest node of the component."""
@@ -370,44 +379,47 @@ def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     postings = classes.select(F.explode("keys").alias("key"), "node", "n_words")
     several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     left = materialise(postings.join(several, "key"), "postings")
-    # Only texts that share a key with another are ever aligned; they alone are dealt out, once.
-    shared = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    # Only texts that share a key with another are ever aligned; they alone are dealt out.
+    shared = left.select("node").distinct().join(classes.select("node", "keys"), "node")
     # They travel by shuffle at every size: the plan is the one that large inputs need.
     held = materialise(texts.select("node", "text").join(shared.hint("merge"), "node").groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("text").alias("text")), "texts")
-    found, closed = [], True
-    while not left.isEmpty():
-        low = left.groupBy("key").agg(F.min("node").alias("a"))
-        parts = materialise(components(left.join(low, "key").select("a", F.col("node").alias("b"))), "groups").select(F.col("v").alias("node"), F.col("root").alias("part"))
-        sizes = parts.join(left.select("node", "n_words").distinct(), "node").groupBy("part").agg(((F.count("*") <= group) & (F.sum("n_words") <= GROUP_WORDS)).alias("small"))
-        ready = parts.join(sizes.filter("small"), "part").select("part", "node")
-        dealt = held.join(ready, "node").select("part", "node", "keys", "text").repartition("part").sortWithinPartitions("part")
-        found.append(materialise(dealt.mapInArrow(_settle(similarity), "a long, b long, similarity double, root long"), "links"))
-        large = parts.join(sizes.filter("not small"), "part").select("node")
-        rest = materialise(left.join(large, "node"), "large")
-        if rest.isEmpty():
-            break
-        closed = False
-        # One star under each key of the large groups.
-        centre = rest.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
-        met = rest.join(centre, "key").filter("node <> c.node").select("key", F.col("c.node").alias("a"), F.col("c.n_words").alias("na"), F.col("node").alias("b"), F.col("n_words").alias("nb"))
-        met = materialise(met, "met")
-        # Texts whose lengths differ by more than the allowed share cannot be similar.
-        pairs = met.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b").distinct()
-        with_a = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        checked = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, linked boolean, similarity double"), "checked").filter("linked")
-        found.append(checked.select("a", "b", "similarity", F.col("a").alias("root")))
-        left = met.join(checked.select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("node"), F.col("nb").alias("n_words"))
-        left = materialise(left.join(left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key"), "postings")
-    links = found[0] if found else rows.select(F.col("id").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity"), F.col("node").alias("root")).limit(0)
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return rows.select("id", "node", "n_words"), links, closed
-
-
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    if left.isEmpty():
+        links = rows.select(F.col("id").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity"), F.col("node").alias("root")).limit(0)
+        return rows.select("id", "node", "n_words"), links, True
+    kind = "a long, b long, similarity double, root long"
+    low = left.groupBy("key").agg(F.min("node").alias("a"))
+    parts = materialise(components(left.join(low, "key").select("a", F.col("node").alias("b"))), "groups").select(F.col("v").alias("node"), F.col("root").alias("part"))
+    sizes = parts.join(left.select("node", "n_words").distinct(), "node").groupBy("part").agg(((F.count("*") <= group) & (F.sum("n_words") <= GROUP_WORDS)).alias("small"))
+    ready = parts.join(sizes.filter("small"), "part").select("part", "node")
+    dealt = held.join(ready, "node").select("part", "node", "keys", "text", F.col("node").alias("root"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("owner"))
+    links = materialise(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_settle(similarity), kind), "links")
+    rest = materialise(left.join(parts.join(sizes.filter("not small"), "part").select("node"), "node"), "large")
+    if rest.isEmpty():
+        return rows.select("id", "node", "n_words"), links, True
+
+    # Large groups: one star under each key joins most of what is alike, in linear pairs.
+    centre = rest.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("c"))
+    met = rest.join(centre, "key").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("c.n_words").alias("na"), F.col("node").alias("b"), F.col("n_words").alias("nb"))
+    # Texts whose lengths differ by more than the allowed share cannot be similar.
+    pairs = met.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b").distinct()
+    with_a = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    stars = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, linked boolean, similarity double"), "stars").filter("linked")
+    # Then all pairs of a key that links do not join yet, in cells of two blocks of its members.
+    roots = components(stars.select("a", "b"))
+    at = materialise(rest.join(roots, rest.node == roots.v, "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    still = at.groupBy("key").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"), (F.min("root") < F.max("root")).alias("open")).filter("open").drop("open")
+    sides = at.join(still, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = sides.select(F.concat_ws(":", "key", F.least("side", "other"), F.greatest("side", "other")).alias("part"), "node", "root", "side", F.col("key").alias("owner"))
+    dealt = cells.join(held, "node").select("part", "node", "keys", "text", "root", "side", "owner").repartition("part").sortWithinPartitions("part")
+    across = materialise(dealt.mapInArrow(_settle(similarity), kind), "across")
+    links = links.unionByName(stars.select("a", "b", "similarity", F.col("a").alias("root"))).unionByName(across)
+    return rows.select("id", "node", "n_words"), links, False
+
+
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP, cell: int = CELL) -> DataFrame:
     """(id, node, n_words, least): each row with the smallest (id, node) of its class of near-duplicates."""
-    rows, links, closed = find_links(docs, key, text, similarity, group)
+    rows, links, closed = find_links(docs, key, text, similarity, group, cell)
     if closed:
         roots = links.select(F.explode(F.array("a", "b")).alias("v"), "root").distinct()
     else:
@@ -417,9 +429,9 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     return out.join(least, "root").drop("root")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP, cell: int = CELL) -> DataFrame:
     """(key, component_id, kept, n_words): class id (its smallest id) of each row, and whether it stays."""
-    out = classes_of(docs, key, text, similarity, group)
+    out = classes_of(docs, key, text, similarity, group, cell)
     return out.select(
         F.when(F.col("id") != NONE, F.col("id")).alias(key),
         F.when(F.col("least.id") != NONE, F.col("least.id")).alias("component_id"),

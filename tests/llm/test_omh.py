@@ -114,3 +114,37 @@ def test_large_group_links_to_one_class_in_linear_pairs(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert omh.near_duplicates(docs).count() == 0 and omh.keep_one(docs).count() == 0
+
+
+def triples(seed, n=40):
+    """Texts a, b, c where a-b and b-c are near and a-c is not, and b and c have little in common that a lacks."""
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        fresh = lambda k: [f"edit{rng.randrange(10**9)}" for _ in range(k)]
+        a, part = fresh(200), fresh(30)
+        b, c = part + a[30:], part[:3] + fresh(40) + a[43:]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((a, b, c))]
+    return rows
+
+
+def test_groups_of_any_size_align_every_pair_that_shares_a_key(spark):
+    rows = triples(4)
+    keys = omh.sketches(*omh.word_hashes([t for _, t in rows]))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i - i % 3, i):
+            if (keys[i] == keys[j]).any() and edit(words(rows[i][1]), words(rows[j][1])) <= 40:
+                root[find(i)] = find(j)
+    low = {}
+    for i in range(len(rows)):
+        low.setdefault(find(i), i)
+    want = [low[find(i)] for i in range(len(rows))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in ({}, {"group": 2}, {"group": 2, "cell": 2}):
+        assert [r.component_id for r in sorted(omh.near_duplicates(docs, **settings).collect())] == want, settings
