@@ -148,3 +148,20 @@ def test_groups_of_any_size_align_every_pair_that_shares_a_key(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for settings in ({}, {"group": 2}, {"group": 2, "cell": 2}):
         assert [r.component_id for r in sorted(omh.near_duplicates(docs, **settings).collect())] == want, settings
+
+
+def test_recall_of_keys_by_edit_similarity():
+    rng = random.Random(8)
+    for similarity, least in ((0.95, 0.99), (0.9, 0.99), (0.85, 0.95), (0.8, 0.9)):
+        for n in (60, 200, 600):
+            texts = []
+            for _ in range(100):
+                a = [f"w{rng.randrange(5000)}" for _ in range(n)]
+                b = list(a)
+                for p in rng.sample(range(n), round((1 - similarity) * n)):
+                    b[p] = f"edit{rng.randrange(10**6)}"
+                texts += [" ".join(a), " ".join(b)]
+            keys = omh.sketches(*omh.word_hashes(texts))
+            found = float((keys[::2] == keys[1::2]).any(1).mean())
+            print(similarity, n, found)
+            assert found >= least
