@@ -5,11 +5,12 @@ block ``i`` of a source of weight ``w`` is released at slot ``floor(i / w)`` and
 of the released blocks the one due first takes the slot. On one processor that meets every deadline,
 so each source stays less than one block from its share at every slot.
 
-Weights are rounded to tickets of a period of ``PERIOD`` slots (at least one each), which makes the
-schedule repeat: the driver plans one period, never the corpus. When a source runs out, the weights of
-those left are scaled up and a new phase begins, so no document is dropped or repeated. The plan
-holds at most one period for each source that runs out; its size is bounded by ``MAX_SOURCES`` and
-``PERIOD`` and it alone is broadcast. Within a source the order is that of a hash of the key; ranks
+Weights are taken as exact fractions. The driver plans the slot of each block from counts alone, 8 bytes for
+``BLOCK`` documents, and the plan is joined as a table. When a source runs out, the weights of those left are
+scaled up and a new phase begins, so no document is dropped or repeated; sources of weight zero come after
+all others. Only a caller that gives a ``period`` gets a schedule that repeats: its weights are rounded to tickets
+of that many slots (at least one each), so it follows the tickets, not the weights. At most ``MAX_SOURCES``
+sources can be planned. Within a source the order is that of a hash of the key; ranks
 come from counts of hash buckets, so a source of any size is never gathered in one task.
 
 Defined results: a null source is a source of its own; a source without a target weight gets the
@@ -20,8 +21,12 @@ empty table gives an empty table; other columns are ignored (``mix`` keeps them)
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,7 +102,37 @@ def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int =
     return out
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, default: float | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
+def exact_slots(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, array]:
+    """The slot of every block of each source, by the exact weights."""
+    left = {s: n for s, n in blocks.items() if n > 0}
+    out = {s: array("q") for s in blocks}
+    base = 0
+    while left:
+        live = {s: Fraction(weights[s]) for s in left if weights[s] > 0} or {s: Fraction(1) for s in left}
+        scale = lcm(*(w.denominator for w in live.values()))
+        share = {s: int(w * scale) for s, w in live.items()}
+        total, slot = sum(share.values()), 0
+        waiting = [(0, s, 0) for s in share]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, str, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                _, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-((i + 1) * total // -share[s]), s, i))
+            due, s, i = heapq.heappop(ready)
+            assert slot < due, "a deadline was missed"
+            out[s].append(base + slot)
+            slot += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+            heapq.heappush(waiting, ((i + 1) * total // share[s], s, i + 1))
+        base += slot
+    return out
+
+
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, period: int | None = None, default: float | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
     """(key, source, block, slot, position) of every row; ``position`` orders the mixed corpus."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("s"), F.xxhash64(key).alias("h"))
@@ -108,21 +143,30 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     if weights is not None:
         low = default if default is not None else min([w for w in weights.values() if w > 0], default=1.0)
         weigh = {s: weights.get(s, low) for s in sizes}
-    planned = plan({s: -(-n // block) for s, n in sizes.items()}, weigh, period)
-    phases: dict[str, list[tuple]] = {s: [] for s in sizes}
-    for s, *phase in planned:
-        phases[s].append(tuple(phase))
-    kind = "s string, phases array<struct<first:long,end:long,base:long,period:long,slots:array<int>>>"
-    table = spark.createDataFrame([(s, p) for s, p in phases.items()], kind)
-
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
     buckets = max(1, sum(sizes.values()) // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = rows.groupBy("s", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("s", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("s", "bucket").orderBy("h", "key")) - 1).join(before, ["s", "bucket"])
     ranked = ranked.withColumn("rank", F.col("i") + F.col("before")).withColumn("block", F.expr(f"rank div {block}"))
-    placed = ranked.join(F.broadcast(table), "s").withColumn("p", F.expr("filter(phases, p -> block >= p.first and block < p.end)[0]"))
-    placed = placed.withColumn("slot", F.expr("p.base + (block - p.first) div size(p.slots) * p.period + p.slots[int((block - p.first) % size(p.slots))]"))
+    if period is None:
+        slots = exact_slots(blocks, weigh)
+        columns = {
+            "s": pa.array([s for s, x in slots.items() for _ in x], pa.string()),
+            "block": pa.array([b for x in slots.values() for b in range(len(x))], pa.int64()),
+            "slot": pa.array([t for x in slots.values() for t in x], pa.int64()),
+        }
+        placed = ranked.join(spark.createDataFrame(pa.table(columns)), ["s", "block"])
+    else:
+        planned = plan(blocks, weigh, period)
+        phases: dict[str, list[tuple]] = {s: [] for s in sizes}
+        for s, *phase in planned:
+            phases[s].append(tuple(phase))
+        kind = "s string, phases array<struct<first:long,end:long,base:long,period:long,slots:array<int>>>"
+        table = spark.createDataFrame([(s, p) for s, p in phases.items()], kind)
+        placed = ranked.join(F.broadcast(table), "s").withColumn("p", F.expr("filter(phases, p -> block >= p.first and block < p.end)[0]"))
+        placed = placed.withColumn("slot", F.expr("p.base + (block - p.first) div size(p.slots) * p.period + p.slots[int((block - p.first) % size(p.slots))]"))
     return placed.select(F.col("key").alias(key), F.col("source").alias(source), "block", "slot", (F.col("slot") * block + F.col("rank") % block).alias("position"))
 
 

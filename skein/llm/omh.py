@@ -3,8 +3,8 @@
 A text's words are runs of ASCII letters and digits and of non-ASCII bytes, in lower case. Its shingles
 of ``SHINGLE`` words carry the number of their occurrence in the text, so repeats count. For each of
 ``BANDS`` seeds the ``TAKE`` smallest of the seeded shingle hashes are taken and laid in text order; that
-sequence is one key. Of random pairs at edit similarity 0.85 nearly all share a key, at 0.8 about 96 %; texts with the same parts in another order
-do not. Two texts are linked when the edit distance of their word sequences is at most
+sequence is one key. Of random pairs at edit similarity 0.85 nearly all share a key, at 0.8 about 96 %; texts with the
+same parts in another order share few. Two texts are linked when the edit distance of their word sequences is at most
 ``1 - SIMILARITY`` of the longer one, by an alignment in a band that doubles until it decides.
 
 Equal texts (by 64-bit hash) form one class before anything else. Classes that share a key, directly or

@@ -46,3 +46,19 @@ def test_mix_keeps_rows_and_columns_and_empty_table(spark):
     out = mixing.mix(d)
     assert out.columns == d.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, d.collect()))
     assert mixing.schedule(d.limit(0)).count() == 0
+
+
+def test_schedule_follows_the_weights_with_a_hot_source_and_many_small_ones(spark):
+    rows = [(i, "hot" if i < 1500 else f"s{i % 199}") for i in range(5500)]
+    weights = {"hot": 0.33} | {f"s{i}": 0.67 / 199 for i in range(199)}
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1).collect()
+    assert sorted(r.position for r in got) == list(range(5500))
+    seen, total = Counter(), sum(weights.values())
+    for t, r in enumerate(sorted(got, key=lambda r: r.position)[:4000], 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - t * weights[s] / total) < 1 + 1e-9 for s in ("hot", "s0", "s77", r.source))
+
+
+def test_exact_slots_with_zero_weights():
+    slots = mixing.exact_slots({"a": 5, "b": 7, "none": 3, "empty": 0}, {"a": 1, "b": 0.1, "none": 0, "empty": 1})
+    assert sorted(t for x in slots.values() for t in x) == list(range(15)) and list(slots["none"]) == [12, 13, 14]
