@@ -82,6 +82,15 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return first.join(reached, first.node == reached.root).select(first.root, reached.id).distinct()
 
 
+def closure_sizes(edges: DataFrame) -> DataFrame:
+    """(root, reached): how many nodes each node with an edge reaches in one step or more; itself counts on a cycle."""
+    pairs = materialise(edges.select("src", "dst").distinct(), "pairs")
+    levels = bfs(pairs, nodes(pairs))
+    others = levels.filter("level > 0").select("root", "id")
+    back = levels.join(pairs, (levels.id == pairs.src) & (levels.root == pairs.dst)).select("root", F.col("root").alias("id")).distinct()
+    return others.unionByName(back).groupBy("root").agg(F.count("*").alias("reached"))
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 20) -> DataFrame:
     """(a, b, distance, path) of each pair, edges taken both ways; the lexicographically least of shortest paths.
 

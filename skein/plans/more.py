@@ -191,6 +191,26 @@ def transitive_closure(spark, d):
     return G.closure(e, start).groupBy("root").agg(F.count("*").alias("reached"))
 
 
+# The same from every node over all edges. Their rows grow as the square of the nodes, so no SQL is given.
+
+
+@query()
+def dependency_chain_all(spark, d):
+    e = V.edges(spark, d).select("src", "dst").distinct()
+    return G.bfs(e, G.nodes(e), 4).select("root", "id", F.col("level").alias("depth"))
+
+
+@query()
+def transitive_closure_all(spark, d):
+    return G.closure_sizes(V.edges(spark, d))
+
+
+@query()
+def impact_analysis_all(spark, d):
+    e = V.edges(spark, d).select("src", "dst").distinct()
+    return G.impact(e, G.nodes(e))
+
+
 @query("SELECT n_nationkey AS id, CASE WHEN n_name LIKE 'A%' THEN 'api' WHEN n_name LIKE '%IA' THEN 'core' END AS layer FROM nation")
 def layer_of_path(spark, d):
     """The layer of the first shell pattern that a path matches."""
