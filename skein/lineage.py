@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and all of Spark is one process,
+    as in tests: elsewhere executors would each write to a folder that the others do not see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="skein-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -37,6 +40,34 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, under names of its own."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, {}
+
+    def keep(self, label: str, df: DataFrame) -> DataFrame:
+        """``df`` written and read back."""
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.tables[label] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Delete tables whose readers have all been written in turn."""
+        for label in labels:
+            discard(self.spark, self.tables.pop(label))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores in front until no column of ``df`` has one of them, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    front = "__"
+    while any((front + n).lower() in taken for n in names):
+        front += "_"
+    return [front + n for n in names]
+
+
 def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, max_rounds: int | None = None) -> DataFrame:
     """Apply ``step`` until a state has been seen before (by an order-free hash of its rows) or rounds end.
 
