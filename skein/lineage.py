@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,40 +70,70 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [front + n for n in names]
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, tuple, str]:
+    """(``df`` written and read back, (rows, order-free hash of them), its path). The state is observed while the
+    table is written; it costs no job of its own."""
+    spark, watch = df.sparkSession, Observation()
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), (watch.get["n"], watch.get["h"]), path
+
+
 def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, max_rounds: int | None = None) -> DataFrame:
     """Apply ``step`` until a state has been seen before (by an order-free hash of its rows) or rounds end.
 
     Seeing an older state again ends a cycle as well as a fixpoint.
     """
-
-
-    def kept(df: DataFrame) -> tuple[DataFrame, tuple, str]:
-        # The state is observed while the table is written; it costs no job of its own.
-        watch = Observation()
-        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        df.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), (watch.get["n"], watch.get["h"]), path
-
     spark = start.sparkSession
-    now, state, path = kept(start)
+    now, state, path = written(start, label)
     seen, rounds = set(), 0
     while state not in seen and (max_rounds is None or rounds < max_rounds):
         seen.add(state)
         old = path
-        now, state, path = kept(step(now))
+        now, state, path = written(step(now), label)
         discard(spark, old)  # the new state has been written from it
         rounds += 1
     return now
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, root) of every vertex of the edges of one task, by union-find."""
+    kind, root, schema = None, {}, None
+    bare = lambda x: tuple((y is not None, y) for y in x.values()) if isinstance(x, dict) else x  # noqa: E731  the order of Spark's structs: nulls first
+    value = {}
+
+    def find(x: Any) -> Any:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        schema = schema or pa.schema([("v", batch.schema.field(0).type), ("root", batch.schema.field(0).type)])
+        kind = schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = bare(a), bare(b)
+            if isinstance(a, dict):
+                value[x], value[y] = a, b
+            x, y = find(root.setdefault(x, x)), find(root.setdefault(y, y))
+            root[max(x, y)] = min(x, y)
+    out = list(root)
+    for at in range(0, len(out), 100_000):
+        part = out[at : at + 100_000]
+        columns = [[value.get(x, x) for x in part], [value.get(x, x) for x in map(find, part)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], schema=schema)
+
+
+#: Edges that one task joins by union-find; more of them take rounds of shuffles, with the same result.
+TASK_EDGES = 1 << 20
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(v, root): the smallest vertex of each connected component, for every vertex of ``edges`` (a, b).
 
-    Alternates two steps on the edges until nothing changes: every vertex hands the smallest of its
-    neighbours to the larger ones, then to the smaller ones. Both keep components whole, and halve
+    Alternates two steps on the edges until nothing changes, or few enough are left for one task: every vertex hands
+    the smallest of its neighbours to the larger ones, then to the smaller ones. Both keep components whole, and halve
     distances, so rounds grow as a logarithm. Vertices may have any ordered type.
     """
-    start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
     def step(now: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -111,5 +143,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         return small.filter("u <> v").distinct()
 
-    found = until_stable(start, step, "edges").select(F.col("u").alias("v"), F.col("v").alias("root"))
-    return found.unionByName(found.select(F.col("root").alias("v"), "root").distinct())
+    start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now, (n, _), path = written(start, "edges")
+    if n > task_edges:
+        old, now = path, until_stable(now, step, "edges")
+        discard(edges.sparkSession, old)
+        found = now.select(F.col("u").alias("v"), F.col("v").alias("root"))
+        return found.unionByName(found.select(F.col("root").alias("v"), "root").distinct())
+    kind = start.schema["u"].dataType.simpleString()
+    found, _, _ = written(now.coalesce(1).mapInArrow(_forest, f"v {kind}, root {kind}"), "roots")
+    discard(edges.sparkSession, path)
+    return found

@@ -26,8 +26,26 @@ def test_components_of_a_long_path_a_star_and_nothing(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 101 + i) for i in range(200)]
     df = spark.createDataFrame([*path, *star, (7, 7), (999, 999)], "a long, b long")
-    found = {r.v: r.root for r in lineage.components(df).collect()}
-    assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(201)}
+    for task_edges in (lineage.TASK_EDGES, 0):  # in one task, and by rounds of shuffles
+        found = {r.v: r.root for r in lineage.components(df, task_edges).collect()}
+        assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(201)}
     assert lineage.components(df.limit(0)).count() == 0
     text = spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")
     assert {r.v: r.root for r in lineage.components(text).collect()} == {"a": "a", "b": "a", "c": "a"}
+
+
+def test_components_of_structs_order_nulls_first(spark):
+    df = spark.sql("select named_struct('x', 2L, 'y', 5L) a, named_struct('x', 2L, 'y', cast(null as bigint)) b union all select named_struct('x', 1L, 'y', 9L), named_struct('x', 2L, 'y', 5L)")
+    for task_edges in (lineage.TASK_EDGES, 0):
+        assert {(r.v.x, r.v.y): (r.root.x, r.root.y) for r in lineage.components(df, task_edges).collect()} == {(1, 9): (1, 9), (2, 5): (1, 9), (2, None): (1, 9)}
+
+
+def test_fresh_names_and_scratch_tables(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "__id int, __ID2 int, x int")
+    assert lineage.fresh(df, "id", "other") == ["___id", "___other"] and lineage.fresh(df, "x") == ["__x"]
+    scratch = lineage.Scratch(spark)
+    kept = scratch.keep("mine", df)
+    path = scratch.tables["mine"].removeprefix("file://")
+    assert kept.count() == 1 and os.path.isdir(path)
+    scratch.drop("mine")
+    assert not os.path.exists(path) and not scratch.tables
