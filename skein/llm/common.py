@@ -5,10 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 
-from skein.lineage import components, materialise, shared_dir
+from skein.lineage import Scratch, components, fresh, materialise, shared_dir
 from skein.session import table
 
-__all__ = ["components", "materialise", "shared_dir", "table", "trim"]
+__all__ = ["Scratch", "components", "fresh", "materialise", "shared_dir", "table", "trim"]
 
 
 def trim() -> None:

@@ -3,21 +3,27 @@
 A text's words are runs of ASCII letters and digits and of non-ASCII bytes, in lower case. Its shingles
 of ``SHINGLE`` words carry the number of their occurrence in the text, so repeats count. For each of
 ``BANDS`` seeds the ``TAKE`` smallest of the seeded shingle hashes are taken and laid in text order; that
-sequence is one key. Of random pairs at edit similarity 0.85 nearly all share a key, at 0.8 about 96 %; texts with the
-same parts in another order share few. Two texts are linked when the edit distance of their word sequences is at most
-``1 - SIMILARITY`` of the longer one, by an alignment in a band that doubles until it decides.
+sequence is one key. Pairs whose shingles agree to 0.8 practically always share a key, and so do nearly all pairs of
+some forty words or more at edit similarity 0.85; texts with the same parts in another order share few. Two texts are
+linked when the edit distance of their word sequences is at most ``1 - SIMILARITY`` of the longer one, by an
+alignment in a band that doubles until it decides.
 
-Equal texts (by 64-bit hash) form one class before anything else. Classes that share a key, directly or
-through others, are a candidate group. A group of at most ``GROUP`` classes is settled in one task: pairs
-that share a key are aligned unless links already join them. In a larger group the smallest class
-under each key is aligned with all others of the key first; then, of every key whose classes those
-links have not all joined, cells of two blocks of ``CELL`` classes are settled in tasks of their own. So
-in groups of any size every pair that shares a key is aligned or joined by links.
+Equal texts (by 64-bit hash) form one class before anything else. Under every key that several classes hold:
+
+1. the class of the smallest hash is the key's centre; classes with the same least centre are settled in chunks, each
+   with the centre: pairs that share a key are aligned unless a bound rules them out or links already join them;
+2. of the keys whose classes these links do not all join, every pair of classes is bounded by length and bags of
+   words, which cannot miss a link; classes without a partner left drop out;
+3. the classes left are settled as in step 1.
+
+The same path serves keys of any size: the work of steps 1 to 3 is dealt in units of a bounded number of classes (a
+chunk of a star, or a cell of two blocks of a key's classes), so no task holds a key. Every pair that shares a key is
+so aligned, joined by links, or ruled out by a bound. Components are taken over all links.
 
 Defined results: a null text is the empty text; texts without a word are near only to equal texts;
 texts of fewer than ``SHINGLE`` words have their whole word sequence as one shingle; rows without an id
 count as the largest id; rows that share an id but not the text are different documents; an empty
-table gives an empty table; columns other than the id and the text are ignored.
+table gives an empty table; columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,25 +32,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, trim
+from .common import Scratch, components, fresh, trim
 
-SHINGLE = 2
-BANDS, TAKE = 32, 3
+SHINGLE = 5
+BANDS, TAKE = 64, 2
 SIMILARITY = 0.8
 SLICE_BYTES = 2 << 20
-#: Classes, and words of them, of a candidate group that one task settles.
-GROUP, GROUP_WORDS = 4000, 4_000_000
-#: Members of a key in a block; a cell of two blocks is settled in a task.
-CELL = 1000
+#: Classes, about, in a chunk of a star, and in a block of a key's classes.
+CHUNK, CELL = 256, 2048
 #: Slots of the bags of words that rule out pairs before they are aligned.
 BAG = 128
+#: Salts that deal the holders of a key where they meet its row.
+SALTS = 8
 
 U64 = np.uint64
 MIX = tuple(U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB))
 MOST = np.iinfo(np.uint64).max
+#: Stands for a missing id.
+NONE = (1 << 63) - 1
 #: Bytes that words are made of: ASCII digits and letters, and all bytes of other characters.
 IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
@@ -93,7 +101,9 @@ def sketches(hashes: np.ndarray, count: np.ndarray, bands: int = BANDS, take: in
     size = shingles[full]
     begin = np.append(0, np.cumsum(size)[:-1])
     row = np.repeat(np.arange(len(full)), size)
-    at = np.arange(len(row)) - begin[row] + first[full][row]
+    places = np.arange(len(row))
+    spot = places - begin[row]  # of a shingle in its text
+    at = spot + first[full][row]
     end = (first + count)[full][row]
     grams = np.zeros(len(row), U64)
     padded = np.append(hashes, np.zeros(SHINGLE, U64))
@@ -105,23 +115,24 @@ def sketches(hashes: np.ndarray, count: np.ndarray, bands: int = BANDS, take: in
     order = np.lexsort((grams, row))
     new = np.ones(len(row), bool)
     new[1:] = (grams[order][1:] != grams[order][:-1]) | (row[order][1:] != row[order][:-1])
-    places = np.arange(len(row))
     occurrence = np.empty(len(row), np.int64)
     occurrence[order] = places - np.maximum.accumulate(np.where(new, places, 0))
     labelled = mixed(grams + occurrence.astype(U64) * MIX[0])
-    seeds = mixed(np.arange(1, bands + 1, dtype=U64) * MIX[2])
+    # The low bits of a seeded hash make room for the shingle's place, so that the least hash names it.
+    bits = U64(max(24, int(size.max()).bit_length()))
+    low, place = (U64(1) << bits) - U64(1), spot.astype(U64)
+    seeds = mixed(np.arange(1, bands + 1, dtype=U64) * MIX[2]) | U64(1)
+    v = np.empty_like(labelled)
     for b in range(bands):
-        v = (labelled ^ seeds[b]) * MIX[1]
-        v ^= v >> U64(32)
-        v *= MIX[4]
+        np.multiply(labelled, seeds[b], out=v)
+        v &= ~low
+        v |= place
         spots = np.full((take, len(full)), -1, np.int64)
         for k in range(take):
-            low = np.minimum.reduceat(v, begin)
-            hit = np.flatnonzero(v == low[row])
-            hit = hit[v[hit] != MOST]
-            own, pick = np.unique(row[hit], return_index=True)
-            spots[k, own] = hit[pick]
-            v[hit[pick]] = MOST
+            least = np.minimum.reduceat(v, begin)
+            more = size > k
+            spots[k, more] = (begin + (least & low).astype(np.int64))[more]
+            v[spots[k, more]] = MOST
         spots.sort(axis=0)  # text order; texts with fewer shingles keep -1 in front
         key = np.full(len(full), seeds[b])
         for k in range(take):
@@ -236,8 +247,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("similarity", pa.float64())])
-SETTLED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("root", pa.int64())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
 def similar(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -248,190 +258,238 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> tupl
     return d <= most, 1 - d / np.maximum(longest, 1)
 
 
-def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                hashes, count = word_hashes(batch.column(2).to_pylist() + batch.column(3).to_pylist())
-                parts, n = np.split(hashes, np.cumsum(count)[:-1]), batch.num_rows
-                linked, sim = similar(parts[:n], parts[n:], similarity)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), pa.array(sim)], schema=LINK)
-
-    return run
-
-
-def settle(groups: list[tuple[list, ...]], similarity: float) -> list[tuple[int, int, float, int]]:
-    """Links of groups (nodes, keys, texts, roots, sides, owners): every pair of a group that shares a key is aligned
-    or joined by links, given ones (equal roots) or found ones.
-
-    Of a group with two sides only pairs across them count; with an owner only those whose first common key it is.
-    The last of a link is the smallest node of its component, as far as the group shows it.
-    """
-    nodes = [v for g in groups for v in g[0]]
-    hashes, count = word_hashes([t for g in groups for t in g[2]])
-    words = np.split(hashes, np.cumsum(count)[:-1])
-    keys = np.array([k for g in groups for k in g[1]], np.int64).reshape(len(nodes), -1)
-    side = np.array([x for g in groups for x in g[4]])
-    bag = np.bincount(np.repeat(np.arange(len(nodes)), count) * BAG + (hashes % U64(BAG)).astype(np.int64), minlength=len(nodes) * BAG).reshape(-1, BAG).astype(np.int32)
-    most = np.floor((1 - similarity) * np.arange(int(count.max(initial=0)) + 1) + 1e-9).astype(np.int64)
-    part = np.repeat(np.arange(len(groups)), [len(g[0]) for g in groups])
-    ends = np.append(0, np.cumsum([len(g[0]) for g in groups]))
-    comp = np.empty(len(nodes), np.int64)
-    for lo, g in zip(ends, groups, strict=False):
-        first: dict[int, int] = {}
-        for i, r in enumerate(g[3], int(lo)):
-            comp[i] = first.setdefault(r, i)
-    links, asked = [], []
-
-    def align() -> None:
-        for lo in range(0, len(asked), 1024):
-            todo = [(i, j) for i, j in asked[lo : lo + 1024] if comp[i] != comp[j]]
-            if not todo:
+def bags(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(texts, BAG) numbers of words in each slot."""
+    at = np.repeat(np.arange(len(count)), count) * BAG + (hashes % U64(BAG)).astype(np.int64)
+    return np.bincount(at, minlength=len(count) * BAG).reshape(-1, BAG).astype(np.int32)
+
+
+class Pairs:
+    """The pairs of a unit that a link may join: sides differ if the unit has several, components differ, and neither
+    the lengths nor the bags (words of one slot count as equal, words that the other text lacks are edits) rule it out."""
+
+    def __init__(self, bag: np.ndarray, side: np.ndarray, similarity: float) -> None:
+        n_words = bag.sum(1, dtype=np.int64)
+        self.order = np.argsort(n_words, kind="stable")
+        self.bag, self.side, self.length = bag[self.order], side[self.order], n_words[self.order]
+        self.across = len(side) > 0 and (side != side[0]).any()
+        # Words that a partner, not longer than this text, must share.
+        self.shared = self.length - np.floor((1 - similarity) * self.length + 1e-9).astype(np.int64)
+
+    def of(self, i: int, comp: np.ndarray) -> np.ndarray:
+        """Partners of the i-th text by length that come before it; places by length, those with most in common first."""
+        lo = int(np.searchsorted(self.length, self.shared[i]))
+        ok = comp[lo:i] != comp[i]
+        if self.across:
+            ok &= self.side[lo:i] != self.side[i]
+        other = np.flatnonzero(ok) + lo
+        if not len(other):
+            return other
+        both = np.concatenate([np.minimum(self.bag[other[at : at + 4096]], self.bag[i]).sum(1, dtype=np.int32) for at in range(0, len(other), 4096)])
+        good = np.flatnonzero(both >= self.shared[i])
+        return other[good[np.argsort(-both[good], kind="stable")]]
+
+
+class Unit:
+    """Nodes whose pairs are to be settled: those that share one of their ``keys``, and if the unit has an owner, those
+    whose least common key it is."""
+
+    def __init__(self, columns: tuple[list, ...], bag: np.ndarray, similarity: float) -> None:
+        nodes, roots, sides, owners, keys = columns[:5]
+        pairs = Pairs(bag, np.array(sides), similarity)
+        self.order, self.nodes = pairs.order, nodes
+        self.comp = np.unique(np.array(roots, np.int64)[pairs.order], return_inverse=True)[1].reshape(-1)
+        self.todo: dict[int, np.ndarray] = {}
+        own, owner = [np.array(keys[i], np.int64) for i in pairs.order], owners[0]
+        for i in range(1, len(nodes)):
+            other = pairs.of(i, self.comp)
+            if not len(other):
                 continue
-            good, sim = similar([words[i] for i, _ in todo], [words[j] for _, j in todo], similarity)
-            for (i, j), ok, x in zip(todo, good, sim, strict=True):
+            flat = np.concatenate([own[j] for j in other])
+            least = np.minimum.reduceat(np.where(np.isin(flat, own[i]), flat, NONE), np.append(0, np.cumsum([len(own[j]) for j in other])[:-1]))
+            other = other[least < NONE if owner is None else least == owner]
+            if len(other):
+                self.todo[i] = other
+
+    def asked(self) -> list[tuple[int, int]]:
+        """For each text the next partner that links do not join with it yet."""
+        out = []
+        for i, other in list(self.todo.items()):
+            other = other[self.comp[other] != self.comp[i]]
+            if len(other):
+                out.append((i, int(other[0])))
+                self.todo[i] = other[1:]
+            else:
+                del self.todo[i]
+        return out
+
+    def join(self, i: int, j: int) -> None:
+        self.comp[self.comp == self.comp[j]] = self.comp[i]
+
+
+def settle(units: list[tuple[list, ...]], similarity: float) -> list[tuple[int, int, float]]:
+    """Links of units (nodes, roots, sides, owners, keys, texts): every pair of a unit (see ``Unit``; across its sides, if
+    it has several) is aligned, ruled out by a bound, or joined by links, given ones (equal roots) or found ones."""
+    hashes, count = word_hashes([t for u in units for t in u[5]])
+    words, bag = np.split(hashes, np.cumsum(count)[:-1]), bags(hashes, count)
+    start = np.append(0, np.cumsum([len(u[0]) for u in units]))
+    live = [(Unit(u, bag[lo : lo + len(u[0])], similarity), int(lo)) for u, lo in zip(units, start, strict=False)]
+    links = []
+    while live:
+        todo = [(u, lo, i, j) for u, lo in live for i, j in u.asked()]
+        for at in range(0, len(todo), 1024):
+            part = [x for x in todo[at : at + 1024] if x[0].comp[x[2]] != x[0].comp[x[3]]]
+            good, sim = similar([words[lo + u.order[i]] for u, lo, i, _ in part], [words[lo + u.order[j]] for u, lo, _, j in part], similarity) if part else ((), ())
+            for (u, _, i, j), ok, x in zip(part, good, sim, strict=True):
                 if ok:
-                    links.append((i, j, float(x)))
-                    own = comp[ends[part[i]] : ends[part[i] + 1]]
-                    own[own == comp[j]] = comp[i]
-        asked.clear()
-
-    for at, g in enumerate(groups):
-        hi, owner = int(ends[at + 1]), g[5][0]
-        across = len(set(g[4])) > 1
-        for i in range(int(ends[at]), hi - 1):
-            same = keys[i + 1 : hi] == keys[i]
-            ok = same.any(1) & (comp[i + 1 : hi] != comp[i])
-            if owner is not None:
-                ok &= keys[i][same.argmax(1)] == owner
-            if across:
-                ok &= side[i + 1 : hi] != side[i]
-            other = np.flatnonzero(ok) + i + 1
-            # Words that the other text lacks are edits; words of one slot of a bag count as equal.
-            longest = np.maximum(count[other], count[i])
-            for lo in range(0, len(other), 4096):
-                cut = other[lo : lo + 4096]
-                most_here = longest[lo : lo + 4096]
-                near = most_here - np.minimum(bag[cut], bag[i]).sum(1) <= most[most_here]
-                asked.extend((i, j) for j in cut[near].tolist())
-            if len(asked) >= 512:
-                align()
-    align()
-    low: dict[int, int] = {}
-    for i, v in enumerate(nodes):
-        low[comp[i]] = min(low.get(comp[i], v), v)
-    return [(nodes[i], nodes[j], x, low[comp[i]]) for i, j, x in links]
+                    links.append((u.nodes[u.order[i]], u.nodes[u.order[j]], float(x)))
+                    u.join(i, j)
+        live = [x for x in live if x[0].todo]
+    return links
+
+
+def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit; those of one stand next to each other."""
+    current, held = None, []
+    for batch in batches:
+        unit = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)] if len(unit) else []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if held and unit[lo] != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = unit[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _settle(similarity: float):
-    """Rows (part, node, keys, text, root, side, owner), those of a group next to each other, to links."""
+    """Rows (unit, node, root, side, owner, keys, text), those of a unit next to each other, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, current, size = [], None, 0
-        group = tuple([] for _ in range(6))
-
-        def flush(groups: list) -> pa.RecordBatch:
-            links = settle(groups, similarity)
-            cols = zip(*links, strict=True) if links else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SETTLED, strict=True)], schema=SETTLED)
-
-        for batch in batches:
-            for part, *values in zip(*(batch.column(i) for i in range(7)), strict=True):
-                part = part.as_py()
-                if part != current:
-                    if group[0]:
-                        waiting.append(group)
-                    current, group = part, tuple([] for _ in range(6))
-                    if size > SLICE_BYTES:
-                        yield flush(waiting)
-                        waiting, size = [], 0
-                for held, value in zip(group, values, strict=True):
-                    held.append(value.as_py())
-                size += len(group[2][-1])
-        if group[0]:
-            waiting.append(group)
+        waiting, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            links = settle(waiting, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links, strict=True) if links else [()] * 3, LINKS, strict=True)], schema=LINKS)
+
+        for table in by_unit(batches):
+            waiting.append(tuple(table.column(k).to_pylist() for k in range(1, 7)))
+            size += table.column(6).nbytes
+            if size > SLICE_BYTES:
+                yield flush()
+                waiting, size = [], 0
         if waiting:
-            yield flush(waiting)
-        del waiting, group
+            yield flush()
+        del waiting
         trim()
 
     return run
 
 
-NONE = (1 << 63) - 1
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+        found = bags(*word_hashes(batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x.astype(np.uint16) if x.max() < 1 << 16 else x).tobytes() for x in found], pa.binary())], names=["node", "bag"])
+
+
+def _near(similarity: float):
+    """Of rows (unit, node, root, side, owner, bag), those of a unit next to each other, the ones with a partner that neither
+    links nor bounds rule out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_unit(batches):
+            table = table.combine_chunks()
+            bag = np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * BAG else np.int32) for x in table.column(5).to_pylist()])
+            pairs = Pairs(bag, table.column(3).to_numpy(), similarity)
+            comp, marked = table.column(2).to_numpy()[pairs.order], np.zeros(len(bag), bool)
+            for i in range(1, len(bag)):
+                other = pairs.of(i, comp)
+                marked[pairs.order[other]] = True
+                marked[pairs.order[i]] |= len(other) > 0
+            if marked.any():
+                yield from table.select([0, 1, 2, 3, 4]).filter(pa.array(marked)).combine_chunks().to_batches()
+
+    return run
 
-def with_node(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Adds __id (largest where null), __text and __node, the hash that stands for the text."""
+
+def with_node(key: str, text: str) -> list[Column]:
+    """id (largest where null), node (the hash that stands for the text) and text."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("__id"), t.alias("__text"), F.xxhash64(t).alias("__node"))
+    return [F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(t).alias("node"), t.alias("text")]
 
 
-def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP, cell: int = CELL) -> tuple[DataFrame, DataFrame, bool]:
-    """(rows, links, closed): rows (id, node, n_words) has each row with its class of equal texts; links (a, b,
-    similarity, root) joins the nodes of classes found similar. ``closed``: every group was settled in a
-    task, so that ``root`` is the smallest node of the component."""
-    texts = with_node(docs, key, text).select(F.col("__id").alias("id"), F.col("__node").alias("node"), F.col("__text").alias("text"))
-    rows = materialise(texts.mapInArrow(_sketch, "id long, node long, n_words int, keys array<long>"), "sketches")
-    classes = rows.groupBy("node").agg(F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys"))
+def meet(many: DataFrame, few: DataFrame, on: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join of ``many`` with the one row of ``few`` for each value of ``on``; rows of one value are dealt over
+    ``SALTS`` tasks by a hash of ``spread``."""
+    dealt = few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(dealt, [on, "salt"], how).drop("salt")
+
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with those of a unit next to each other."""
+    return rows.repartition("unit").sortWithinPartitions("unit")
+
+
+def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chunk: int = CHUNK, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, roots): rows (id, node, n_words) has each row with its class of equal texts; links (a, b,
+    similarity) joins the nodes of classes found similar; roots (v, root) has the smallest node of the component
+    of each linked node."""
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(*with_node(key, text))
+    rows = scratch.keep("sketches", texts.mapInArrow(_sketch, "id long, node long, n_words int, keys array<long>"))
+    classes = rows.groupBy("node").agg(F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys"))
     postings = classes.select(F.explode("keys").alias("key"), "node", "n_words")
-    several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    left = materialise(postings.join(several, "key"), "postings")
-    # Only texts that share a key with another are ever aligned; they alone are dealt out.
-    shared = left.select("node").distinct().join(classes.select("node", "keys"), "node")
-    # They travel by shuffle at every size: the plan is the one that large inputs need.
-    held = materialise(texts.select("node", "text").join(shared.hint("merge"), "node").groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("text").alias("text")), "texts")
-    if left.isEmpty():
-        links = rows.select(F.col("id").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity"), F.col("node").alias("root")).limit(0)
-        return rows.select("id", "node", "n_words"), links, True
-    kind = "a long, b long, similarity double, root long"
-    low = left.groupBy("key").agg(F.min("node").alias("a"))
-    parts = materialise(components(left.join(low, "key").select("a", F.col("node").alias("b"))), "groups").select(F.col("v").alias("node"), F.col("root").alias("part"))
-    sizes = parts.join(left.select("node", "n_words").distinct(), "node").groupBy("part").agg(((F.count("*") <= group) & (F.sum("n_words") <= GROUP_WORDS)).alias("small"))
-    ready = parts.join(sizes.filter("small"), "part").select("part", "node")
-    dealt = held.join(ready, "node").select("part", "node", "keys", "text", F.col("node").alias("root"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("owner"))
-    links = materialise(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_settle(similarity), kind), "links")
-    rest = materialise(left.join(parts.join(sizes.filter("not small"), "part").select("node"), "node"), "large")
-    if rest.isEmpty():
-        return rows.select("id", "node", "n_words"), links, True
-
-    # Large groups: one star under each key joins most of what is alike, in linear pairs.
-    centre = rest.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("c"))
-    met = rest.join(centre, "key").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("c.n_words").alias("na"), F.col("node").alias("b"), F.col("n_words").alias("nb"))
-    # Texts whose lengths differ by more than the allowed share cannot be similar.
-    pairs = met.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b").distinct()
-    with_a = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    stars = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, linked boolean, similarity double"), "stars").filter("linked")
-    # Then all pairs of a key that links do not join yet, in cells of two blocks of its members.
-    roots = components(stars.select("a", "b"))
-    at = materialise(rest.join(roots, rest.node == roots.v, "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    still = at.groupBy("key").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"), (F.min("root") < F.max("root")).alias("open")).filter("open").drop("open")
-    sides = at.join(still, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = sides.select(F.concat_ws(":", "key", F.least("side", "other"), F.greatest("side", "other")).alias("part"), "node", "root", "side", F.col("key").alias("owner"))
-    dealt = cells.join(held, "node").select("part", "node", "keys", "text", "root", "side", "owner").repartition("part").sortWithinPartitions("part")
-    across = materialise(dealt.mapInArrow(_settle(similarity), kind), "across")
-    links = links.unionByName(stars.select("a", "b", "similarity", F.col("a").alias("root"))).unionByName(across)
-    return rows.select("id", "node", "n_words"), links, False
-
-
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP, cell: int = CELL) -> DataFrame:
+    # A block of a key's classes holds about ``cell`` of them, and not too many words.
+    several = postings.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.min(F.struct("node", "n_words")).alias("c")).filter("n > 1")
+    size = lambda n, words, most: F.ceil(F.greatest(F.col(n) / most, F.col(words) / (most * 1000))).cast("int")
+    several = several.select("key", "n", size("n", "words", chunk).alias("chunks"), F.col("c.node").alias("c"), F.col("c.n_words").alias("c_words"))
+    left = scratch.keep("postings", meet(postings, several, "key", "node"))
+
+    # Of each class that shares a key with another: one text, the keys it shares (``BANDS`` at most), and the least
+    # centre of its keys; texts whose lengths are further apart cannot be linked.
+    far = F.least("n_words", "c_words") < similarity * F.greatest("n_words", "c_words")
+    nodes = left.groupBy("node").agg(F.collect_list("key").alias("keys"), F.min(F.when((F.col("node") != F.col("c")) & ~far, F.struct("c", "chunks"))).alias("star"))
+    least = rows.groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node")
+    held = texts.join(least.hint("merge"), ["id", "node"]).groupBy("node").agg(F.any_value("star").alias("star"), F.any_value("keys").alias("keys"), F.any_value("text").alias("text"))
+    held = scratch.keep("texts", held)
+
+    # Stars: chunks of the classes of one centre, with the centre.
+    pairs = held.filter("star is not null").select("star.*", "node")
+    pairs = pairs.select("c", "node", F.xxhash64("c", "chunks", F.pmod("node", "chunks")).alias("unit"))
+    sides = pairs.select("unit", "node").unionByName(pairs.select("unit", F.col("c").alias("node")).distinct())
+    kind = "a long, b long, similarity double"
+    stars = sides.join(held, "node").select("unit", "node", F.col("node").alias("root"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("owner"), "keys", "text")
+    stars = scratch.keep("stars", dealt(stars).mapInArrow(_settle(similarity), kind))
+    roots = scratch.keep("roots", components(stars.select("a", "b")))
+
+    # Cells: of keys whose classes are not all joined, blocks of them against blocks.
+    at = left.join(roots, F.col("node") == F.col("v"), "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
+    still = at.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum("n_words").alias("words")).filter("open")
+    at = meet(at.drop("n_words"), still.select("key", size("n", "words", cell).alias("blocks")), "key", "node")
+    at = at.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = scratch.keep("cells", at.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "node", "root", "side", F.col("key").alias("owner")))
+    signs = held.join(cells.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node long, bag binary")
+    near = scratch.keep("near", dealt(cells.join(signs, "node").select("unit", "node", "root", "side", "owner", "bag")).mapInArrow(_near(similarity), "unit long, node long, root long, side int, owner long"))
+    across = scratch.keep("across", dealt(near.join(held, "node").select("unit", "node", "root", "side", "owner", "keys", "text")).mapInArrow(_settle(similarity), kind))
+    if not across.isEmpty():
+        roots = scratch.keep("all_roots", components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(across.select("a", "b"))))
+    scratch.drop("postings", "texts", "cells", "near")
+    return rows.select("id", "node", "n_words"), stars.unionByName(across), roots
+
+
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chunk: int = CHUNK, cell: int = CELL) -> DataFrame:
     """(id, node, n_words, least): each row with the smallest (id, node) of its class of near-duplicates."""
-    rows, links, closed = find_links(docs, key, text, similarity, group, cell)
-    if closed:
-        roots = links.select(F.explode(F.array("a", "b")).alias("v"), "root").distinct()
-    else:
-        roots = components(links.select("a", "b"))
-    out = rows.join(roots, rows.node == roots.v, "left").select("id", "node", "n_words", F.coalesce("root", "node").alias("root"))
-    least = out.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least"))
-    return out.join(least, "root").drop("root")
+    rows, _, roots = find_links(docs, key, text, similarity, chunk, cell)
+    out = meet(rows, roots.withColumnRenamed("v", "node"), "node", "id", "left").withColumn("root", F.coalesce("root", "node"))
+    least = out.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return meet(out, least, "root", "id", "left").select("id", "node", "n_words", F.coalesce("least", F.struct("id", "node")).alias("least"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP, cell: int = CELL) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chunk: int = CHUNK, cell: int = CELL) -> DataFrame:
     """(key, component_id, kept, n_words): class id (its smallest id) of each row, and whether it stays."""
-    out = classes_of(docs, key, text, similarity, group, cell)
+    out = classes_of(docs, key, text, similarity, chunk, cell)
     return out.select(
         F.when(F.col("id") != NONE, F.col("id")).alias(key),
         F.when(F.col("least.id") != NONE, F.col("least.id")).alias("component_id"),
@@ -445,9 +503,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
 
     Of repeated rows (equal id and text) that would stay, one does.
     """
+    i, v, n, own_i, own_v = fresh(docs, "id", "node", "copies", "own_id", "own_node")
     roots = classes_of(docs, key, text, similarity).filter((F.col("id") == F.col("least.id")) & (F.col("node") == F.col("least.node")))
-    roots = roots.groupBy(F.col("id").alias("__r_id"), F.col("node").alias("__r_node")).agg(F.count("*").alias("__r_n"))
-    marked = with_node(docs, key, text).drop("__text")
-    held = materialise(marked.join(roots, (F.col("__id") == F.col("__r_id")) & (F.col("__node") == F.col("__r_node"))).select(*docs.columns, "__r_id", "__r_node", "__r_n"), "kept")
-    once, again = held.filter("__r_n = 1"), held.filter("__r_n > 1").dropDuplicates(["__r_id", "__r_node"])
+    roots = roots.groupBy(F.col("id").alias(i), F.col("node").alias(v)).agg(F.count("*").alias(n))
+    own = with_node(key, text)
+    marked = docs.select("*", own[0].alias(own_i), own[1].alias(own_v))
+    held = Scratch(docs.sparkSession).keep("kept", marked.join(roots, (F.col(own_i) == F.col(i)) & (F.col(own_v) == F.col(v))).select(*docs.columns, i, v, n))
+    once, again = held.filter(F.col(n) == 1), held.filter(F.col(n) > 1).dropDuplicates([i, v])
     return once.unionByName(again).select(*docs.columns)
