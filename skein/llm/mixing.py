@@ -8,10 +8,9 @@ so each source stays less than one block from its share at every slot.
 Weights are taken as exact fractions. The driver plans the slot of each block from counts alone, 8 bytes for
 ``BLOCK`` documents, and the plan is joined as a table. When a source runs out, the weights of those left are
 scaled up and a new phase begins, so no document is dropped or repeated; sources of weight zero come after
-all others. Only a caller that gives a ``period`` gets a schedule that repeats: its weights are rounded to tickets
-of that many slots (at least one each), so it follows the tickets, not the weights. At most ``MAX_SOURCES``
-sources can be planned. Within a source the order is that of a hash of the key; ranks
-come from counts of hash buckets, so a source of any size is never gathered in one task.
+all others. Within a source the order is that of a hash of the key; ranks
+come from counts of hash buckets of about ``BUCKET_ROWS`` rows of all sources, so a source of any size is never
+gathered in one task.
 
 Defined results: a null source is a source of its own; a source without a target weight gets the
 ``default`` weight; repeated rows take one place each; the last block of a source may be short; an
@@ -31,86 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BLOCK = 64
-PERIOD = 1000
-MAX_SOURCES = 2000
 #: Without target weights, a source of n documents weighs n to this power.
 TEMPERATURE = 0.7
-#: Documents that a hash bucket of a source holds, about.
-BUCKET_ROWS = 20_000
-
-
-def tickets(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source: at least one, the rest by largest remainder."""
-    period = max(period, len(weights))
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in order[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def period_slots(share: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    period = sum(share.values())
-    waiting = [(0, s, 0) for s in share]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-((i + 1) * period // -share[s]), s, i))
-        due, s, i = heapq.heappop(ready)
-        assert slot < due, "a deadline was missed"
-        out.append(s)
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * period // share[s], s, i + 1))
-    return out
-
-
-def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[tuple]:
-    """Rows (source, first block, end block, base slot, period, slots of the source in a period).
-
-    Block ``b`` of the source has slot ``base + (b - first) div q * period + slots[(b - first) mod q]``.
-    """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    base, out = 0, []
-    while left:
-        share = tickets({s: weights[s] for s in left}, period)
-        order = period_slots(share)
-        size = len(order)
-        whole = min(left[s] // share[s] for s in left)
-        slots: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(order):
-            slots[s].append(slot)
-        # After the whole periods, a last one runs until the slot at which a source is out of blocks.
-        rest = {s: left[s] - whole * share[s] for s in left}
-        end = min(0 if rest[s] == 0 else slots[s][rest[s] - 1] + 1 if rest[s] <= share[s] else size for s in left)
-        for s in list(left):
-            used = whole * share[s] + sum(x < end for x in slots[s])
-            if used:
-                out.append((s, done[s], done[s] + used, base, size, slots[s]))
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
-        base += whole * size + end
-    return out
+#: Documents that a hash bucket holds, about, of all sources together.
+BUCKET_ROWS = 2000
 
 
 def exact_slots(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, array]:
     """The slot of every block of each source, by the exact weights."""
     left = {s: n for s, n in blocks.items() if n > 0}
     out = {s: array("q") for s in blocks}
+    exact = {s: Fraction(weights[s]) for s in left}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
     base = 0
     while left:
-        live = {s: Fraction(weights[s]) for s in left if weights[s] > 0} or {s: Fraction(1) for s in left}
-        scale = lcm(*(w.denominator for w in live.values()))
-        share = {s: int(w * scale) for s, w in live.items()}
+        share = {s: whole[s] for s in left if whole[s] > 0} or dict.fromkeys(left, 1)
         total, slot = sum(share.values()), 0
         waiting = [(0, s, 0) for s in share]
         heapq.heapify(waiting)
@@ -120,7 +58,8 @@ def exact_slots(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict
                 _, s, i = heapq.heappop(waiting)
                 heapq.heappush(ready, (-((i + 1) * total // -share[s]), s, i))
             due, s, i = heapq.heappop(ready)
-            assert slot < due, "a deadline was missed"
+            if slot >= due:
+                raise AssertionError("a deadline was missed")
             out[s].append(base + slot)
             slot += 1
             left[s] -= 1
@@ -132,41 +71,28 @@ def exact_slots(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict
     return out
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, period: int | None = None, default: float | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, default: float | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
     """(key, source, block, slot, position) of every row; ``position`` orders the mixed corpus."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("s"), F.xxhash64(key).alias("h"))
-    sizes = {r.s: r.n for r in rows.groupBy("s").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
+    sizes = {r.s: r.n for r in rows.groupBy("s").agg(F.count("*").alias("n")).collect()}
     weigh = {s: n**TEMPERATURE for s, n in sizes.items()}
     if weights is not None:
         low = default if default is not None else min([w for w in weights.values() if w > 0], default=1.0)
         weigh = {s: weights.get(s, low) for s in sizes}
-    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    slots = exact_slots({s: -(-n // block) for s, n in sizes.items()}, weigh)
+    columns = {
+        "s": pa.array([s for s, x in slots.items() for _ in x], pa.string()),
+        "block": pa.array([b for x in slots.values() for b in range(len(x))], pa.int64()),
+        "slot": pa.array([t for x in slots.values() for t in x], pa.int64()),
+    }
     buckets = max(1, sum(sizes.values()) // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = rows.groupBy("s", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("s", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("s", "bucket").orderBy("h", "key")) - 1).join(before, ["s", "bucket"])
     ranked = ranked.withColumn("rank", F.col("i") + F.col("before")).withColumn("block", F.expr(f"rank div {block}"))
-    if period is None:
-        slots = exact_slots(blocks, weigh)
-        columns = {
-            "s": pa.array([s for s, x in slots.items() for _ in x], pa.string()),
-            "block": pa.array([b for x in slots.values() for b in range(len(x))], pa.int64()),
-            "slot": pa.array([t for x in slots.values() for t in x], pa.int64()),
-        }
-        placed = ranked.join(spark.createDataFrame(pa.table(columns)), ["s", "block"])
-    else:
-        planned = plan(blocks, weigh, period)
-        phases: dict[str, list[tuple]] = {s: [] for s in sizes}
-        for s, *phase in planned:
-            phases[s].append(tuple(phase))
-        kind = "s string, phases array<struct<first:long,end:long,base:long,period:long,slots:array<int>>>"
-        table = spark.createDataFrame([(s, p) for s, p in phases.items()], kind)
-        placed = ranked.join(F.broadcast(table), "s").withColumn("p", F.expr("filter(phases, p -> block >= p.first and block < p.end)[0]"))
-        placed = placed.withColumn("slot", F.expr("p.base + (block - p.first) div size(p.slots) * p.period + p.slots[int((block - p.first) % size(p.slots))]"))
+    placed = ranked.join(spark.createDataFrame(pa.table(columns)), ["s", "block"])
     return placed.select(F.col("key").alias(key), F.col("source").alias(source), "block", "slot", (F.col("slot") * block + F.col("rank") % block).alias("position"))
 
 
@@ -175,7 +101,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
 
     Rows with equal keys share the places of their key, in any order.
     """
-    held = "__position"
-    places = schedule(docs, weights, block, key=key, source=source).groupBy(F.col(key).alias("__key")).agg(F.min("position").alias(held))
-    out = docs.join(places, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
-    return out.repartitionByRange(held).sortWithinPartitions(held).select(*docs.columns)
+    own, place = fresh(docs, "key", "position")
+    places = schedule(docs, weights, block, key=key, source=source).groupBy(F.col(key).alias(own)).agg(F.min("position").alias(place))
+    out = docs.join(places, F.col(key).eqNullSafe(F.col(own)))
+    return out.repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns)

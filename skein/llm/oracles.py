@@ -57,14 +57,16 @@ tested AS (SELECT lang, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILT
            FROM seen, ({grid}) GROUP BY lang, rule, cutoff),
 p AS (SELECT *, CASE WHEN n = 0 OR k >= {share} * n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
         lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END AS p FROM tested),
-best AS (SELECT lang, rule, cutoff FROM p WHERE p <= {quality.DELTA} / ({len(rules)} * (SELECT greatest(1, count(DISTINCT coalesce(lang, ''))) FROM seen)) AND bad - {quality.COST} * k > 0
+best AS (SELECT lang, rule, cutoff FROM p WHERE p <= {quality.DELTA} / ({len(rules)} * (SELECT greatest(1, count(DISTINCT {{'s': lang}})) FROM seen)) AND bad - {quality.COST} * k > 0
          QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad - {quality.COST} * k DESC, cutoff DESC) = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept FROM f
 """
 
 
 def license_sql() -> str:
-    """The cosine of every cue unit with every template, then the nearest ancestor by joins."""
+    """The cosine of every cue unit with every template, then the nearest ancestor by joins.
+
+    The full licence texts are left out: no whole text of the tables is one."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     templates = ", ".join(f"({i}, {quote(name)}, {quote(t)})" for i, (name, t) in enumerate(license.TEMPLATES))
     terms = "regexp_extract_all(lower({}), '[0-9]+(?:\\.[0-9]+)+|[\\p{{L}}\\p{{N}}]+')".format
@@ -79,12 +81,12 @@ tn AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY te
 cut AS (SELECT r, unnest(list_concat(list_concat(
           list_transform(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {cue})), lambda x: {{'whole': false, 't': x}}),
           list_transform(CASE WHEN len(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n')) > 1 THEN list_filter(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'), lambda x: regexp_matches(x, {cue})) ELSE [] END, lambda x: {{'whole': false, 't': x}})),
-          CASE WHEN len(regexp_split_to_array(t, '\\s+')) <= {license.WHOLE_WORDS} THEN [{{'whole': true, 't': t}}] ELSE [] END)) AS u FROM d WHERE regexp_matches(t, {cue})),
+          [{{'whole': true, 't': t}}])) AS u FROM d WHERE regexp_matches(t, {cue})),
 unit AS (SELECT r, row_number() OVER () AS u, u.whole AS whole, u.t AS t FROM cut),
 tf AS (SELECT r, u, whole, term, count(*) * coalesce(any_value(idf), {license.UNKNOWN_IDF}) AS w FROM (SELECT r, u, whole, unnest({terms('t')}) AS term FROM unit) LEFT JOIN idf USING (term) GROUP BY r, u, whole, term),
 score AS (SELECT r, license, template, whole, round(dot / n, 6) AS score FROM (SELECT r, u, whole, template, license, sum(w * tw) AS dot FROM tf JOIN tn USING (term) GROUP BY ALL) JOIN (SELECT u, sqrt(sum(w * w)) AS n FROM tf GROUP BY u) USING (u)
           UNION ALL SELECT r, regexp_extract(t, {quote(license.SPDX)}, 1), -1, false, 1.0 FROM unit WHERE regexp_matches(t, {quote(license.SPDX)})),
-own AS (SELECT r, arg_max(license, score * 1000 - template / 1000000) AS license, max(score) AS score, arg_max(license, score * 1000 - template / 1000000) FILTER (whole) AS whole_license FROM score WHERE score >= {license.MIN_SCORE} GROUP BY r),
+own AS (SELECT r, arg_max(license, score * 1000 - template / 1000000) AS license, max(score) AS score, CAST(NULL AS VARCHAR) AS whole_license FROM score WHERE score >= {license.MIN_SCORE} GROUP BY r),
 named AS (SELECT d.r, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, license, score, whole_license, license IS NOT NULL AND (whole_license IS NOT NULL OR regexp_matches(path, {quote(license.FILE_NAME)})) AS is_file FROM d LEFT JOIN own USING (r)),
 holder AS (SELECT dir AS above, coalesce(whole_license, license) AS h_license, doc_id AS h_from, score AS h_score FROM named WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, doc_id) = 1),
 near AS (SELECT n.r, h.* FROM named n JOIN holder h ON h.above = '' OR n.dir = h.above OR starts_with(n.dir, h.above || '/') WHERE n.license IS NULL QUALIFY row_number() OVER (PARTITION BY n.r ORDER BY length(h.above) DESC) = 1)

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: A span that the base does not hold is kept from this score on.
 MIN_SCORE = 0.5
 #: Code points in front of a match that are searched for context words.
@@ -132,7 +134,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = {k.name: kind_spans(k, i, text) for i, k in enumerate(KINDS)}
     names = "array(" + ", ".join(f"'[{k.name.upper()}]'" for k in KINDS) + ")"
     all_spans = F.array_sort(F.concat(*spans.values()))
-    held = "__pii_spans"
+    (held,) = fresh(docs, "spans")
     rows = rows.withColumn(held, F.when(F.col(text).isNotNull(), all_spans))
     out = F.expr(f"""
         aggregate(`{held}`, struct(0 AS at, cast(array() AS array<string>) AS parts),

@@ -31,8 +31,8 @@ ALPHA = 0.05
 DELTA = 0.05
 COST = 10
 WINDOW = 8
-#: Strata that can have cutoffs, those with most labels first: bounds the table that is broadcast.
-MAX_STRATA = 10_000
+#: Cutoffs of so many strata are broadcast.
+BROADCAST_STRATA = 10_000
 
 SPACES = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -125,18 +125,17 @@ def certify(values: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     )
     tail = binomial_tail("n_good", "good_rejected", share)
     p = F.expr(f"if(n_good = 0 or good_rejected >= {share}D * n_good, 1D, if(good_rejected = 0, exp(n_good * ln(1 - {share}D)), {tail}))")
-    strata = seen.agg(F.count_distinct(F.coalesce(F.col("stratum"), F.lit(""))).alias("strata"))
+    strata = seen.agg(F.count_distinct(F.struct("stratum")).alias("strata"))
     level = F.lit(delta) / (len(RULES) * F.greatest(F.col("strata"), F.lit(1)))
     return tested.withColumn("p_value", p).join(F.broadcast(strata)).withColumn("certified", F.col("p_value") <= level).drop("strata")
 
 
-def choose(tested: DataFrame, cost: float = COST, max_strata: int = MAX_STRATA) -> DataFrame:
+def choose(tested: DataFrame, cost: float = COST) -> DataFrame:
     """(stratum, cut: cutoff per rule, null where off): the certified cutoff of best yield, the most lenient on ties."""
     good = tested.filter(F.col("certified")).withColumn("gain", F.col("bad_rejected") - cost * F.col("good_rejected")).filter("gain > 0")
-    best = good.groupBy("stratum").agg(
-        F.sum("n_good").alias("n"), *(F.max(F.when(F.col("rule") == i, F.struct("gain", "cutoff")))["cutoff"].alias(f"cut_{r.name}") for i, r in enumerate(RULES))
+    return good.groupBy("stratum").agg(
+        *(F.max(F.when(F.col("rule") == i, F.struct("gain", "cutoff")))["cutoff"].alias(f"cut_{r.name}") for i, r in enumerate(RULES))
     )
-    return best.orderBy(F.desc("n"), "stratum").limit(max_strata).drop("n")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", text: str = "text", good: str = "quality") -> DataFrame:
@@ -144,7 +143,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     narrow = docs.select(F.col(key).alias("key"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
     values = with_values(materialise(counts(narrow, "key", "text", ("stratum",)), "quality"))
     cuts = choose(certify(values, labels.select(F.col(key).alias("key"), (F.col(good) == 1).alias("good")))).withColumnRenamed("stratum", "of")
-    out = values.join(F.broadcast(cuts), F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of")
+    cuts = materialise(cuts, "cutoffs")
+    # Few cutoffs are broadcast; many, of strata with many values, meet their rows by shuffle.
+    few = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
+    out = values.join(few, F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of")
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(f"v_{r.name}") > F.col(f"cut_{r.name}"), F.lit(False))

@@ -186,44 +186,48 @@ def _rows(batches_of: Iterator[tuple], size: int = 4096) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
 
+def _at(archive: bytes, spots: list[dict], with_payload: bool) -> Iterator[tuple]:
+    """The records at places of the index, frame by frame; each must be the one that the index names, of its length."""
+    table, current, data = frames(archive), -1, b""
+    for s in sorted(spots, key=lambda s: (s["frame"], s["offset"])):
+        if s["frame"] != current:
+            current, data = s["frame"], read_frame(archive, s["frame"], table)
+        head, block, end = parse(data, s["offset"])
+        if head["WARC-Record-ID"] != f"<{s['record_id']}>" or end - s["offset"] != s["length"]:
+            raise ValueError(f"the index is wrong about {s['record_id']}")
+        yield _row(head, block, with_payload)
+
+
 def read(bundles: DataFrame, key_type: str = "bigint", with_payload: bool = True) -> DataFrame:
-    """Every record of the bundles, each payload checked against its digest; revisits have no payload."""
+    """Every record of the bundles by its place in the index, each payload checked against its digest; revisits have
+    no payload. Of each bundle the records of the index must fill the frames to the last byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in batches:
-                for value in batch.column(0):
-                    archive = value.as_py()
-                    table = frames(archive)
-                    for k in range(len(table)):
-                        data, at = read_frame(archive, k, table), 0
-                        while at < len(data):
-                            head, block, at = parse(data, at)
-                            yield _row(head, block, with_payload)
+                for value, held in zip(batch.column(0), batch.column(1), strict=True):
+                    archive, spots = value.as_py(), held.as_py()
+                    if sum(s["length"] for s in spots) != sum(d for _, _, d in frames(archive)):
+                        raise ValueError("the index does not hold every record")
+                    yield from _at(archive, spots, with_payload)
 
         yield from _rows(each())
 
-    rows = bundles.select("archive").mapInArrow(run, RECORD_SCHEMA.format(kind="string"))
+    rows = bundles.select("archive", "records").mapInArrow(run, RECORD_SCHEMA.format(kind="string"))
     return rows.withColumns({c: F.col(c).cast(key_type) for c in ("page_id", "refers_to")})
 
 
 def fetch(bundles: DataFrame, ids: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """The records of ``ids`` (column page_id), reading only the frames that hold them."""
+    """The records of ``ids`` (column page_id). Of the bundles that hold them only their frames are unpacked; a bundle
+    is a cell of the table and is read whole."""
     wanted = ids.select(F.concat(F.lit(ID_PREFIX), F.col("page_id").cast("string")).alias("record_id")).distinct()
-    places = index(bundles).join(wanted, "record_id", "left_semi").groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("at"))
+    places = index(bundles).join(wanted, "record_id", "left_semi").groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for value, at in zip(batch.column(0), batch.column(1), strict=True):
-                    archive, spots = value.as_py(), at.as_py()
-                    table = frames(archive)
-                    for k in sorted({s["frame"] for s in spots}):
-                        data = read_frame(archive, k, table)
-                        for s in spots:
-                            if s["frame"] == k:
-                                head, block, _ = parse(data, s["offset"])
-                                yield _row(head, block, True)
+                    yield from _at(value.as_py(), at.as_py(), True)
 
         yield from _rows(each())
 

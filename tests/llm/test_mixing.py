@@ -1,28 +1,52 @@
 from collections import Counter
+from fractions import Fraction
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from skein.llm import mixing
 
 
-def test_every_source_stays_within_one_block_of_its_share():
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    share = mixing.tickets(weights, 100)
-    seen = Counter()
-    for t, s in enumerate(mixing.period_slots(share) * 3, 1):
+def deviations(order, weights):
+    """The largest distance, in blocks, of any source from its exact share after any slot."""
+    total, seen, worst = sum(map(Fraction, weights.values())), Counter(), Fraction(0)
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    last = dict.fromkeys(weights, 0)
+    for t, s in enumerate(order, 1):
+        # Between two of its blocks a source only falls behind: its extremes are just before and just after a block.
+        worst = max(worst, abs(seen[s] - (t - 1) * share[s]), abs(seen[s] + 1 - t * share[s]))
         seen[s] += 1
-        assert all(abs(seen[x] - t * share[x] / 100) < 1 for x in share)
+        last[s] = t
+    return max([worst, *(abs(seen[s] - len(order) * share[s]) for s in weights)])
+
+
+def in_order(slots):
+    out = {t: s for s, x in slots.items() for t in x}
+    return [out[t] for t in range(len(out))]
+
+
+def test_every_source_stays_within_one_block_of_its_exact_weight():
+    weights = {"a": 0.618, "b": 0.38, "c": 0.0015, "d": 0.0005}
+    blocks = {s: int(w * 50_000) + 100 for s, w in weights.items()}
+    order = in_order(mixing.exact_slots(blocks, weights))
+    assert len(order) == sum(blocks.values()) and deviations(order[:50_000], weights) < 1
 
 
-def test_plan_uses_each_block_and_slot_once():
-    blocks = {"a": 1000, "b": 37, "c": 5, "d": 400, "e": 1}
-    rows = mixing.plan(blocks, {"a": 1, "b": 4, "c": 2, "d": 0.1, "e": 9}, 50)
-    slots, seen = [], Counter()
-    for s, first, end, base, period, at in rows:
-        for b in range(first, end):
-            k, j = divmod(b - first, len(at))
-            slots.append(base + k * period + at[j])
-            seen[s, b] += 1
-    assert sorted(slots) == list(range(sum(blocks.values())))
-    assert seen == Counter((s, b) for s, n in blocks.items() for b in range(n))
+def test_five_thousand_sources_and_a_hot_one():
+    weights = {"hot": 1 / 3} | {f"s{i}": 2 / 3 / 5000 * (1 + i % 7 / 10) for i in range(5000)}
+    blocks = {s: int(w * 60_000) + 3 for s, w in weights.items()}
+    order = in_order(mixing.exact_slots(blocks, weights))
+    assert len(order) == sum(blocks.values()) and deviations(order[:50_000], weights) < 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(1e-4, 1), min_size=1, max_size=12), st.integers(1, 40))
+def test_any_weights_keep_the_bound_until_a_source_runs_out(weights, n):
+    weights = {f"s{i}": w for i, w in enumerate(weights)}
+    slots = mixing.exact_slots(dict.fromkeys(weights, n), weights)
+    order = in_order(slots)
+    first_out = min(x[-1] for x in slots.values()) + 1
+    assert len(order) == n * len(weights) and deviations(order[:first_out], weights) < 1
 
 
 def docs(spark):
@@ -32,17 +56,25 @@ def docs(spark):
 
 def test_schedule_places_each_row_once_and_follows_weights(spark):
     d = docs(spark)
-    got = mixing.schedule(d, {"hot": 0.5, "s1": 0.25}, block=10, period=40).collect()
+    weights = {"hot": 0.5, "s1": 0.25}
+    got = mixing.schedule(d, weights, block=10).collect()
     assert len(got) == 3002 and len({r.position for r in got}) == 3002
     assert Counter((r.doc_id, r.source) for r in got) == Counter((r.doc_id, r.source) for r in d.collect())
     order = [r.source for r in sorted(got, key=lambda r: r.position)]
-    share = mixing.tickets({"hot": 0.5, "s1": 0.25, "s2": 0.25, "s3": 0.25, "\0": 0.25, "s0": 0.25}, 40)
-    for t in range(10, 800, 10):
-        assert abs(order[:t].count("hot") - t * share["hot"] / 40) < 10
+    share = {"hot": 0.5} | dict.fromkeys(("s0", "s1", "s2", "s3", None), 0.25)
+    assert deviations([order[t] for t in range(0, 800, 10)], share) < 1
+
+
+def test_ties_of_weights_and_of_keys_have_a_fixed_order(spark):
+    rows = [(i % 50, s) for i in range(400) for s in "ba"]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    first, again = (sorted((r.position, r.source, r.doc_id) for r in mixing.schedule(x, {"a": 1, "b": 1}, block=4).collect()) for x in (d, d.repartition(7)))
+    assert first == again and [s for _, s, _ in first[:8]] == ["a"] * 4 + ["b"] * 4
 
 
 def test_mix_keeps_rows_and_columns_and_empty_table(spark):
     d = docs(spark)
+    d = d.selectExpr("*", "1 as __key", "2 as __Position", "3 as position", "4 as bucket", "5 as s", "6 as h")
     out = mixing.mix(d)
     assert out.columns == d.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, d.collect()))
     assert mixing.schedule(d.limit(0)).count() == 0

@@ -74,3 +74,8 @@ def test_redaction_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "to a@b.cc or 10.0.0.1 now", 7), (2, None, 8), (3, "clean", 9)], "doc_id long, text string, extra int")
     assert [tuple(r) for r in pii.redact(docs).orderBy("doc_id").collect()] == [(1, "to [EMAIL] or [IP] now", 7), (2, None, 8), (3, "clean", 9)]
     assert pii.digest(docs.limit(0)).count() == 0
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.example", 7, 8)], "doc_id long, text string, __spans int, __pii_spans int")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "mail [EMAIL]", 7, 8)]

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import numpy as np
 
-from skein.llm import bpe, mixing, omh, warc
+from skein.llm import bpe, omh, warc
 from skein.llm import suffix_dedup as sd
 
 
@@ -53,27 +53,6 @@ def test_seek_table_round_trip(parts):
     assert [warc.read_frame(archive, k) for k in range(len(parts))] == parts
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.text(alphabet="abcdef", min_size=1, max_size=2), st.floats(0.01, 100), min_size=1, max_size=6), st.integers(1, 60))
-def test_periods_meet_every_deadline(weights, period):
-    share = mixing.tickets(weights, period)
-    order = mixing.period_slots(share)
-    assert len(order) == sum(share.values()) == max(period, len(weights))
-    seen = dict.fromkeys(share, 0)
-    for t, s in enumerate(order, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * share[x] / len(order)) < 1 for x in share)
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=2), st.integers(0, 60), min_size=1, max_size=5), st.integers(1, 30))
-def test_plans_fill_every_slot(blocks, period):
-    slots = []
-    for _, first, end, base, size, at in mixing.plan(blocks, dict.fromkeys(blocks, 1.0), period):
-        slots += [base + (b - first) // len(at) * size + at[(b - first) % len(at)] for b in range(first, end)]
-    assert sorted(slots) == list(range(sum(blocks.values())))
-
-
 words = st.lists(st.integers(1, 4), max_size=25)
 
 

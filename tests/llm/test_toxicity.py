@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -85,3 +86,43 @@ def test_no_labels_and_empty_table(tables):
     assert tox.keep_clean(docs, None).count() == docs.count()
     model = tox.fit([t for _, t, _ in corpus(60)], [y for *_, y in corpus(60)], epochs=1)
     assert tox.score(docs.limit(0), model).count() == 0 and tox.keep_clean(docs, model).columns == docs.columns
+
+
+def plain_scores(model, texts):
+    """Scores by the recurrences written out word by word, window by window, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in model.net.p.items()}
+    h = tox.HIDDEN
+    s = lambda x: 1 / (1 + np.exp(-x))
+    out = []
+    for text in texts:
+        words = re.findall(r"\w+", (text or "").lower())
+        n, logits = len(words), []
+        first = [*range(0, n - tox.WINDOW, tox.STRIDE), n - tox.WINDOW] if n > tox.WINDOW else [0]
+        for lo in first:
+            window = words[lo : lo + tox.WINDOW]
+            xs = [model.inputs([w])[0].astype(np.float64) for w in window] + [np.zeros(tox.WORD_DIM + tox.CHAR_DIM)] * (tox.WINDOW - len(window))
+            states = {}
+            for side, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+                state = np.zeros(h)
+                for t in order:
+                    a, m = xs[t] @ p[f"W{side}"] + p[f"c{side}"], state @ p[f"U{side}"]
+                    z, r = s(a[:h] + m[:h]), s(a[h : 2 * h] + m[h : 2 * h])
+                    new = np.tanh(a[2 * h :] + r * (m[2 * h :] + p[f"e{side}"]))
+                    state = (1 - z) * new + z * state
+                    states[side, t] = state
+            both = [np.concatenate([states["f", t], states["b", t]]) for t in range(len(xs))]
+            weight = [np.exp(np.tanh(x @ p["A"] + p["a"]) @ p["v"]) if t < len(window) else np.exp(-30.0) for t, x in enumerate(both)]
+            pooled = sum(w * x for w, x in zip(weight, both, strict=True)) / sum(weight)
+            logits.append(pooled @ p["o"] + p["q"][0])
+        a, b, c = model.line
+        out.append(float(s(a * max(logits) + b * sum(logits) / len(logits) + c)))
+    return out
+
+
+def test_scores_equal_plain_recurrences(spark):
+    rows = corpus(120, seed=4)
+    model = tox.fit([t for _, t, _ in rows], [y for *_, y in rows], epochs=2)
+    texts = [t for _, t, _ in rows[:12]] + [None, "", "!!", "one", "x " * 64, "y z " * 500, rows[0][1] * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r.score for r in tox.score(docs, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, plain_scores(model, texts), atol=2e-4)

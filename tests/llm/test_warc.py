@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pytest
 import zstandard
 
 from skein.llm import warc
@@ -43,3 +44,16 @@ def test_small_payloads_are_responses_and_empty_table(spark):
     kinds = {(r.page_id, r.record_type) for r in warc.round_trip(pages(spark), min_bytes=1).collect() if r.page_id in (1, 2)}
     assert kinds == {(1, "response"), (2, "response")}
     assert warc.round_trip(pages(spark).limit(0)).count() == 0
+
+
+def test_an_index_that_is_wrong_is_noticed(spark):
+    bundles = warc.write(warc.mark(pages(spark)).coalesce(1))
+    for broken in ("slice(records, 2, 100)", "transform(records, r -> named_struct('record_id', 'urn:page:0', 'frame', r.frame, 'offset', r.offset, 'length', r.length))"):
+        with pytest.raises(Exception, match="index"):
+            warc.read(bundles.selectExpr("archive", f"{broken} AS records")).collect()
+
+
+def test_payload_longer_than_a_bundle(spark):
+    long = "abc " * 3_000_000  # 12 MB
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.round_trip(spark.createDataFrame([(1, "u", long), (2, "u", "x"), (3, "u", long)], "page_id long, url string, html string")).collect()}
+    assert got == {1: (12_000_000, "response"), 2: (1, "response"), 3: (12_000_000, "revisit")}
