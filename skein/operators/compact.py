@@ -1,0 +1,133 @@
+"""Graphs of few edges, whole in the memory of one task: numpy instead of rounds of shuffles.
+
+``MOST_EDGES`` bounds what a task (or a broadcast) holds, 16 bytes an edge; larger graphs take the joins of
+``graph``, with the same results. Ids may be of any type that Arrow sorts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+MOST_EDGES = 1 << 20
+
+
+class Graph:
+    """Distinct edges as two arrays of codes, those of one source next to each other; codes follow the order of ids."""
+
+    def __init__(self, table: pa.Table) -> None:
+        ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks], table.schema.field(0).type)
+        ids = pc.unique(ends)
+        self.ids = ids.take(pc.sort_indices(ids))
+        code = pc.index_in(ends, self.ids).to_numpy()
+        src, dst = code[: table.num_rows], code[table.num_rows :]
+        order = np.lexsort((dst, src))
+        self.src, self.dst, self.n = src[order], dst[order], len(self.ids)
+        self.start = np.searchsorted(self.src, np.arange(self.n + 1))
+
+    def levels(self, root: int, most: int | None) -> np.ndarray:
+        """The least number of steps from the root to each node; -1 where there is no path."""
+        level = np.full(self.n, -1, np.int32)
+        level[root], front, depth = 0, np.array([root]), 0
+        while len(front) and (most is None or depth < most):
+            depth += 1
+            lo, size = self.start[front], self.start[front + 1] - self.start[front]
+            at = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            front = np.unique(self.dst[at])
+            front = front[level[front] < 0]
+            level[front] = depth
+        return level
+
+    def ranks(self, damping: float, rounds: int) -> np.ndarray:
+        """PageRank divided by the largest rank; dangling mass is dropped."""
+        out = np.diff(self.start)[self.src]
+        rank = np.full(self.n, 1.0 / max(1, self.n))
+        for _ in range(rounds):
+            rank = (1 - damping) / self.n + damping * np.bincount(self.dst, rank[self.src] / out, self.n)
+        return rank / rank.max(initial=0) if self.n and rank.max() > 0 else rank * 0
+
+    def strong(self) -> np.ndarray:
+        """The smallest node of each node's strongly connected component, by Tarjan's method without recursion."""
+        index, low, comp = np.full(self.n, -1), np.zeros(self.n, np.int64), np.full(self.n, -1)
+        start, dst, count, stack = self.start.tolist(), self.dst.tolist(), 0, []
+        for root in range(self.n):
+            if index[root] >= 0:
+                continue
+            work = [(root, start[root])]
+            index[root] = low[root] = count
+            count += 1
+            stack.append(root)
+            while work:
+                v, at = work.pop()
+                if at < start[v + 1]:
+                    work.append((v, at + 1))
+                    w = dst[at]
+                    if index[w] < 0:
+                        index[w] = low[w] = count
+                        count += 1
+                        stack.append(w)
+                        work.append((w, start[w]))
+                    elif comp[w] < 0:
+                        low[v] = min(low[v], index[w])
+                    continue
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    own = [stack.pop()]
+                    while own[-1] != v:
+                        own.append(stack.pop())
+                    comp[own] = min(own)
+        return comp
+
+
+def kind_of(pairs: DataFrame) -> str:
+    return pairs.schema["src"].dataType.simpleString()
+
+
+def of_all(pairs: DataFrame, schema: str, make) -> DataFrame:
+    """``make(Graph)``, columns of ``schema``, computed in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held and sum(b.num_rows for b in held):
+            yield pa.RecordBatch.from_arrays(*make(Graph(pa.Table.from_batches(held))))
+
+    return pairs.select("src", "dst").coalesce(1).mapInArrow(run, schema)
+
+
+def pagerank(pairs: DataFrame, damping: float, rounds: int) -> DataFrame:
+    return of_all(pairs, f"id {kind_of(pairs)}, centrality double", lambda g: ([g.ids, pa.array(g.ranks(damping, rounds))], ["id", "centrality"]))
+
+
+def strong_components(pairs: DataFrame) -> DataFrame:
+    def make(g: Graph) -> tuple[list, list]:
+        comp = g.strong()
+        big = np.flatnonzero(np.bincount(comp, minlength=g.n)[comp] > 1)
+        return [g.ids.take(pa.array(big)), g.ids.take(pa.array(comp[big]))], ["id", "component"]
+
+    return of_all(pairs, "id {0}, component {0}".format(kind_of(pairs)), make)
+
+
+def bfs(pairs: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
+    """(root, id, level). The edges, few as they are, travel to every task; roots are dealt out."""
+    held = pairs.sparkSession.sparkContext.broadcast(pairs.select("src", "dst").toArrow())
+    kind = start.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Graph(held.value)
+        for batch in batches:
+            known = pc.index_in(batch.column(0).cast(g.ids.type), g.ids) if g.n else pa.nulls(batch.num_rows, pa.int32())
+            for i, code in enumerate(known.to_pylist()):
+                if code is None:
+                    root = batch.column(0).slice(i, 1)
+                    yield pa.RecordBatch.from_arrays([root, root, pa.array([0], pa.int32())], names=["root", "id", "level"])
+                    continue
+                level = g.levels(code, max_depth)
+                at = np.flatnonzero(level >= 0)
+                yield pa.RecordBatch.from_arrays([g.ids.take(pa.array(np.full(len(at), code))), g.ids.take(pa.array(at)), pa.array(level[at])], names=["root", "id", "level"])
+
+    return start.select("id").distinct().mapInArrow(run, f"root {kind}, id {kind}, level int")

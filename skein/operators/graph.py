@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..lineage import components, materialise
+from ..lineage import components, materialise, written
+from . import compact as C
 
 DAMPING, ROUNDS = 0.85, 20
 
@@ -27,13 +28,19 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
-def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def held(edges: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(distinct edges as a table, whether they are few enough for one task)."""
+    pairs, (n, _), _ = written(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "pairs")
+    return pairs, n <= most
+
+
+def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, most: int = C.MOST_EDGES) -> DataFrame:
     """(id, centrality): ranks after a fixed number of rounds, divided by the largest; dangling mass is dropped."""
-    pairs = materialise(edges.select("src", "dst").distinct(), "edges")
+    pairs, few = held(edges, most)
+    if few:
+        return C.pagerank(pairs, damping, rounds)
     all_nodes = materialise(nodes(pairs), "nodes")
     n = all_nodes.count()
-    if not n:
-        return all_nodes.withColumn("centrality", F.lit(0.0))
     out = pairs.groupBy("src").agg(F.count("*").alias("out"))
     links = materialise(pairs.join(out, "src"), "links")
     ranks = all_nodes.withColumn("rank", F.lit(1.0 / n))
@@ -53,18 +60,20 @@ def dependency_metrics(edges: DataFrame) -> DataFrame:
     return d.select("id", "fan_in", "fan_out", *(F.round(c, 4).alias(c) for c in ("instability", "spof_score", "centrality")))
 
 
-def bfs(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, start: DataFrame, max_depth: int | None = None, most: int = C.MOST_EDGES) -> DataFrame:
     """(root, id, level): the least level at which each node is reached from each root of ``start`` (id)."""
-    pairs = materialise(edges.select("src", "dst").distinct(), "edges")
-    seen = materialise(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("level")).distinct(), "seen")
-    frontier, depth = seen, 0
+    pairs, few = held(edges, most)
+    if few:
+        return C.bfs(pairs, start, max_depth)
+    frontier = materialise(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("level")).distinct(), "level")
+    seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(pairs, frontier.id == pairs.src).select("root", F.col("dst").alias("id")).distinct()
-        frontier = materialise(step.join(seen, ["root", "id"], "left_anti").withColumn("level", F.lit(depth)), "frontier")
+        frontier = materialise(step.join(seen, ["root", "id"], "left_anti").withColumn("level", F.lit(depth)), "level")
         if frontier.isEmpty():
             break
-        seen = materialise(seen.unionByName(frontier), "seen")
+        seen = seen.unionByName(frontier)  # a table of each level, none is written twice
     return seen
 
 
@@ -75,23 +84,16 @@ def neighbourhood(edges: DataFrame, start: DataFrame, max_depth: int = 2, max_no
     return found.withColumn("n", order).filter(F.col("n") <= max_nodes).drop("n")
 
 
-def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, id): everything reachable in one step or more."""
-    first = start.join(edges, start.id == edges.src).select(F.col("id").alias("root"), F.col("dst").alias("node")).distinct()
-    reached = bfs(edges, first.select(F.col("node").alias("id")).distinct())
-    return first.join(reached, first.node == reached.root).select(first.root, reached.id).distinct()
-
-
 def closure_sizes(edges: DataFrame) -> DataFrame:
     """(root, reached): how many nodes each node with an edge reaches in one step or more; itself counts on a cycle."""
     pairs = materialise(edges.select("src", "dst").distinct(), "pairs")
-    levels = bfs(pairs, nodes(pairs))
+    levels = materialise(bfs(pairs, nodes(pairs)), "levels")
     others = levels.filter("level > 0").select("root", "id")
     back = levels.join(pairs, (levels.id == pairs.src) & (levels.root == pairs.dst)).select("root", F.col("root").alias("id")).distinct()
     return others.unionByName(back).groupBy("root").agg(F.count("*").alias("reached"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 20) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(a, b, distance, path) of each pair, edges taken both ways; the lexicographically least of shortest paths.
 
     One path per reached node travels with the frontier, the least among those of its length.
@@ -99,14 +101,17 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 20) -> Da
     both = materialise(edges.select("src", "dst").unionByName(reverse(edges)).distinct(), "edges")
     starts = pairs.select("a").distinct()
     seen = materialise(starts.select("a", F.col("a").alias("id"), F.array(F.col("a")).alias("path")), "paths")
-    frontier = seen
-    for _ in range(max_hops):
+    frontier, hops = seen, 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
         step = frontier.join(both, frontier.id == both.src).select("a", F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.groupBy("a", "id").agg(F.min("path").alias("path"))
         frontier = materialise(step.join(seen.select("a", "id"), ["a", "id"], "left_anti"), "paths")
         if frontier.isEmpty():
             break
-        seen = materialise(seen.unionByName(frontier), "paths")
+        seen = seen.unionByName(frontier)
+        if pairs.join(seen.withColumnRenamed("id", "b"), ["a", "b"], "left_anti").isEmpty():
+            break
     out = pairs.join(seen.withColumnRenamed("id", "b"), ["a", "b"], "left")
     return out.select("a", "b", (F.size("path") - 1).alias("distance"), "path")
 
@@ -118,14 +123,16 @@ def weak_components(edges: DataFrame, min_size: int = 1) -> DataFrame:
     return found.join(sizes, "component").select("id", "component", "size")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, most: int = C.MOST_EDGES) -> DataFrame:
     """(id, component) of strongly connected components of two nodes or more, by forward colouring.
 
     Each round spreads the largest id along the edges as a colour; the nodes of a colour from which its
     own node can be reached backwards within the colour are a component. They leave, and the rest goes on.
     Edges whose ends differ in colour can lie in no component and leave too.
     """
-    left = materialise(edges.select("src", "dst").filter("src <> dst").distinct(), "scc")
+    left, few = held(edges.filter("src <> dst"), most)
+    if few:
+        return C.strong_components(left)
     found = None
     while not left.isEmpty():
         colour = materialise(nodes(left).withColumn("colour", F.col("id")), "colour")
@@ -163,24 +170,31 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return pairs.join(back, ["src", "dst"], "left_semi").filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def impact(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, direct, transitive, fan_out, risk): dependents of each root along reversed edges."""
+def impact(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(root, direct, transitive, fan_out, risk): dependents of each root (of every node) along reversed edges."""
     pairs = edges.select("src", "dst").distinct()
+    start = nodes(pairs) if start is None else start
     levels = bfs(reverse(pairs), start)
     counts = levels.groupBy("root").agg(F.count_if(F.col("level") == 1).alias("direct"), F.count_if(F.col("level") > 1).alias("transitive"))
     out = pairs.join(start, pairs.src == start.id).groupBy(F.col("src").alias("root")).agg(F.count("*").alias("fan_out"))
     return counts.join(out, "root", "left").select("root", "direct", "transitive", F.coalesce("fan_out", F.lit(0)).alias("fan_out"), S.risk_class(F.col("direct")).alias("risk"))
 
 
-def blast_radius(axes: dict[str, tuple[DataFrame, float]], start: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(affected, confidence, risk, reasons): what depends on the roots along several kinds of edges.
-
-    ``axes``: name -> (edges, confidence). The highest risk counts; two low ones make a medium.
-    """
+def reached_by(axes: dict[str, tuple[DataFrame, float]], start: DataFrame, max_depth: int) -> DataFrame:
+    """(root, id, axis, confidence): what depends on the roots along each kind of edges."""
     parts = None
     for name, (edges, confidence) in sorted(axes.items()):
         one = bfs(reverse(edges), start, max_depth).filter("level > 0").select("root", "id", F.lit(name).alias("axis"), F.lit(confidence).alias("confidence"))
         parts = one if parts is None else parts.unionByName(one)
+    return materialise(parts, "axes")
+
+
+def blast_radius(axes: dict[str, tuple[DataFrame, float]], start: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(root, affected, confidence, risk, reasons): what depends on the roots along several kinds of edges.
+
+    ``axes``: name -> (edges, confidence). The highest risk counts; two low ones make a medium.
+    """
+    parts = reached_by(axes, start, max_depth)
     per_axis = parts.groupBy("root", "axis", "confidence").agg(F.count_distinct("id").alias("affected"))
     risks = {"none": 0, "low": 1, "medium": 2, "high": 3}
     risk = S.risk_class(F.col("affected"))
@@ -191,7 +205,8 @@ def blast_radius(axes: dict[str, tuple[DataFrame, float]], start: DataFrame, max
     summary = full.groupBy("root").agg(
         F.round(F.sum((F.col("affected") + 1) * F.col("confidence")) / F.sum(F.col("affected") + 1), 2).alias("confidence"), F.max(order).alias("r"), F.count_if(risk == "low").alias("lows")
     )
-    union = parts.groupBy("root").agg(F.count_distinct("id").alias("affected"))
+    # The axes that reach something are the reasons; there are no more of them than axes.
+    union = parts.groupBy("root").agg(F.count_distinct("id").alias("affected"), F.array_sort(F.collect_set("axis")).alias("reasons"))
     names = F.array(*(F.lit(n) for n in risks))
     level = F.when((F.col("r") == 1) & (F.col("lows") >= 2), 2).otherwise(F.col("r"))
-    return summary.join(union, "root", "left").select("root", F.coalesce("affected", F.lit(0)).alias("affected"), "confidence", F.element_at(names, level.cast("int") + 1).alias("risk"))
+    return summary.join(union, "root", "left").select("root", F.coalesce("affected", F.lit(0)).alias("affected"), "confidence", F.element_at(names, level.cast("int") + 1).alias("risk"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))

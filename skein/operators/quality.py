@@ -21,10 +21,11 @@ def deltas(df: DataFrame, key: str, order: str, metrics: list[str]) -> DataFrame
     return stepped.filter("place = 1").drop("place")
 
 
-def usage_stats(calls: DataFrame, as_of: Column) -> DataFrame:
-    """(tool, calls, errors, success_rate, avg_latency, boost) of calls (tool, ts, latency_ms, ok)."""
+def usage_stats(calls: DataFrame) -> DataFrame:
+    """(tool, calls, errors, success_rate, avg_latency, boost) of calls (tool, ts, latency_ms, ok), as of the last of all."""
     per = calls.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors"), F.avg("latency_ms").alias("latency"), F.max("ts").alias("last"))
-    days = (F.unix_timestamp(as_of) - F.unix_timestamp("last")) / 86400
+    per = per.join(F.broadcast(per.agg(F.max("last").alias("as_of"))))  # one row
+    days = (F.unix_timestamp("as_of") - F.unix_timestamp("last")) / 86400
     return per.select(
         "tool", "calls", "errors", F.round((F.col("calls") - F.col("errors")) / F.col("calls"), 4).alias("success_rate"), F.round("latency", 4).alias("avg_latency"),
         S.usage_boost(F.col("calls"), F.col("errors"), days).alias("boost"),

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..lineage import materialise
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-BLOCK = 1024
 
 
 def keyword_search(docs: DataFrame, terms: list[str], text: str = "text", every: bool = True) -> DataFrame:
@@ -31,11 +27,12 @@ def keyword_search(docs: DataFrame, terms: list[str], text: str = "text", every:
 def bm25(docs: DataFrame, terms: list[str], key: str = "id", text: str = "text") -> DataFrame:
     """(key, score): BM25 of the documents that hold any term; larger is better.
 
-    Only counts of the query's terms leave a document, so no posting is shuffled.
+    Only counts of the query's terms leave a document, so no posting is shuffled; texts are read and split once, into
+    a table of those counts.
     """
     words = docs.select(key, T.tokens(F.col(text)).alias("ws"))
-    tf = lambda t: F.size(F.filter("ws", lambda w: w == t)).cast("double")
-    counted = words.select(key, F.size("ws").cast("double").alias("dl"), *(tf(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    tf = lambda t: (F.size("ws") - F.size(F.array_remove("ws", t))).cast("double")
+    counted = materialise(words.select(key, F.size("ws").cast("double").alias("dl"), *(tf(t).alias(f"tf{i}") for i, t in enumerate(terms))), "counted")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -52,75 +49,6 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector:
     return vectors.select(key, V.cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def packed(vectors: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """Vectors in blocks of about ``block`` rows: (block, ids, values), each a matrix of one task's size."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-
-
-def matrix_of(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    held = rows.values
-    ids = np.asarray(held.field("id"))
-    flat = held.field("v").flatten()
-    x = np.asarray(flat).reshape(len(ids), -1)
-    size = np.sqrt((x * x).sum(1, keepdims=True))
-    return ids, np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-
-def block_pairs(left: DataFrame, right: DataFrame, only_half: bool = False) -> DataFrame:
-    """Every pair of blocks, one row each: the work list of a blocked all-pairs computation."""
-    a, b = left.select(F.col("block").alias("a"), F.col("rows").alias("left")), right.select(F.col("block").alias("b"), F.col("rows").alias("right"))
-    pairs = a.crossJoin(b)
-    return (pairs.filter("a <= b") if only_half else pairs).repartition("a", "b")
-
-
-def knn_graph(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(id, neighbor, rank, similarity): the k most similar other vectors of each query, exactly.
-
-    Matrices of a thousand rows are multiplied pair by pair; each keeps k rows of a query, and a window
-    keeps the best of those.
-    """
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                qi, q = matrix_of(left)
-                xi, x = matrix_of(right)
-                sim = np.round(q @ x.T, 9)
-                sim[qi[:, None] == xi[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(xi, sim.shape), -sim), axis=1)[:, : k]
-                kept = np.take_along_axis(sim, order, 1)
-                good = np.isfinite(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[good.ravel()]), pa.array(xi[order][good]), pa.array(kept[good])], names=["id", "neighbor", "similarity"])
-
-    found = block_pairs(packed(queries, key, vector), packed(vectors, key, vector)).select("left", "right").mapInArrow(best, "id long, neighbor long, similarity double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbor")))
-    return ranked.filter(F.col("rank") <= k)
-
-
-def similarity_join(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(id_1, id_2, similarity) with id_1 < id_2 of the pairs at or above the threshold, exactly."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                ai, a = matrix_of(left)
-                bi, b = matrix_of(right)
-                same = len(ai) == len(bi) and (ai == bi).all()
-                sim = a @ b.T
-                i, j = np.nonzero(sim >= threshold)
-                s = sim[i, j]
-                one, two = ai[i], bi[j]
-                keep = one < two if same else one != two
-                one, two, s = one[keep], two[keep], s[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s)], names=["id_1", "id_2", "similarity"])
-
-    blocks = packed(vectors, key, vector)
-    return block_pairs(blocks, blocks, only_half=True).select("left", "right").mapInArrow(found, "id_1 long, id_2 long, similarity double")
-
-
 def ranked(df: DataFrame, order: list[Column], limit: int, factor: str, key: str = "id") -> DataFrame:
     """(factor, id, rn): the first ``limit`` rows, numbered from one; ties by key.
 
@@ -149,13 +77,16 @@ def hybrid(vector: DataFrame, keyword: DataFrame, priors: list[tuple[str, DataFr
     return rrf(factors).orderBy(F.desc("score"), "id").limit(k)
 
 
-def rerank_confidence(scores: Column) -> Column:
-    """Sigmoid of 0.4 max + 0.3 mean of the best three + 0.3 upper median of an array of scores."""
-    s = F.sort_array(scores, asc=False)
-    top = F.slice(s, 1, 3)
-    mean = F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)
-    blended = 0.4 * F.element_at(s, 1) + 0.3 * mean + 0.3 * F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
-    return F.when(F.size(scores) > 0, 1 / (1 + F.exp(-blended))).otherwise(0.0)
+def rerank_confidence(scores: DataFrame, group: str, score: str) -> DataFrame:
+    """(group, confidence): sigmoid of 0.4 max + 0.3 mean of the best three + 0.3 upper median of a group's scores.
+
+    Places in the group's order pick the rows that count; no group is collected.
+    """
+    place = scores.filter(F.col(score).isNotNull()).withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score))) - 1).withColumn("n", F.count("*").over(W.partitionBy(group)))
+    best = place.groupBy(group).agg(
+        F.max(score).alias("top"), F.avg(F.when(F.col("place") < 3, F.col(score))).alias("three"), F.max(F.when(F.col("place") == F.expr("n div 2"), F.col(score))).alias("median")
+    )
+    return best.select(group, (1 / (1 + F.exp(-(0.4 * F.col("top") + 0.3 * F.col("three") + 0.3 * F.col("median"))))).alias("confidence"))
 
 
 def rerank(candidates: DataFrame, scorer=None, k: int = 15, most: int = 60) -> DataFrame:
@@ -169,20 +100,36 @@ def rerank(candidates: DataFrame, scorer=None, k: int = 15, most: int = 60) -> D
 
 
 def tfidf_keywords(docs: DataFrame, top: int, group: str, key: str = "id", text: str = "text") -> DataFrame:
-    """(group, term, score, rank): terms of the best mean tf-idf among the documents of each group that hold them."""
-    words = docs.select(group, key, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.IDENTIFIER), F.lit(0))).alias("term"))
-    # Stop-words go by a hash set, once per word; an array function would scan the list for each.
-    tf = words.filter(~F.col("term").isin(*sorted(T.STOP_WORDS))).groupBy(group, key, "term").agg(F.count("*").alias("c"))
-    totals = tf.groupBy(group, key).agg(F.sum("c").alias("total"))
+    """(group, term, score, rank): terms of the best mean tf-idf among the documents of each group that hold them.
+
+    A document's words are counted inside its row (sorted, then cut where they change), so one shuffle of partial sums
+    by (group, term) is all.
+    """
+    words = docs.select(group, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.IDENTIFIER), F.lit(0)).alias("ws"))
+    # Stop-words go by a hash set, once per word.
+    words = words.select(group, F.sort_array(F.filter("ws", lambda w: ~w.isin(*sorted(T.STOP_WORDS)))).alias("ws")).filter(F.size("ws") > 0)
+    cut = words.select(group, "ws", F.size("ws").alias("n"), F.expr("filter(sequence(0, size(ws) - 1), i -> i = 0 or ws[i] <> ws[i - 1])").alias("at"))
+    terms = cut.select(group, "n", F.explode(F.expr("transform(at, (i, k) -> struct(ws[i] AS term, coalesce(get(at, k + 1), n) - i AS c))")).alias("x"))
+    held = terms.groupBy(group, "x.term").agg(F.sum(F.col("x.c") / F.col("n")).alias("share"), F.count("*").alias("df"))
     sizes = docs.groupBy(group).agg(F.count("*").alias("n"))
-    df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
-    share = tf.join(totals, [group, key]).groupBy(group, "term").agg(F.avg(F.col("c") / F.col("total")).alias("tf"))
-    scored = share.join(df, [group, "term"]).join(sizes, group).select(group, "term", F.round(F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1), 9).alias("score"))
+    score = F.round(F.col("share") / F.col("df") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1), 9)
+    scored = held.join(sizes, group).select(group, "term", score.alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "term"))).filter(F.col("rank") <= top)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hashed_embedding(text: Column, dim: int = 384) -> Column:
-    """A normalised bag of hashed tokens: the offline stand-in for a model's embedding; empty text is zero."""
-    buckets = F.transform(T.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return F.transform(counts, lambda x: (x / F.greatest(V.norm(counts), F.lit(1e-12))).cast("float"))
+    """A normalised bag of hashed tokens: the offline stand-in for a model's embedding; empty text is zero.
+
+    One entry for each slot beside the tokens' own makes every slot occur: in sorted order a slot's run, less one, is
+    its count.
+    """
+    slots = F.transform(T.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+    every = F.sort_array(F.concat(slots, F.sequence(F.lit(0), F.lit(dim - 1))))
+    ends = bound(every, lambda e: F.filter(F.transform(e, lambda x, i: F.when(F.coalesce(F.get(e, i + 1), F.lit(-1)) != x, i)), lambda i: i.isNotNull()))
+    counts = bound(ends, lambda e: F.transform(e, lambda x, k: (x - F.coalesce(F.get(e, k - 1), F.lit(-1)) - 1).cast("double")))
+    return bound(counts, lambda c: bound(F.greatest(V.norm(c), F.lit(1e-12)), lambda n: F.transform(c, lambda x: (x / n).cast("float"))))

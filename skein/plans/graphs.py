@@ -10,11 +10,11 @@ from ..session import table
 from ..sources import views as V
 from .catalogue import query
 
-SPARSE = V.with_views("steps", "sparse")
-RECURSIVE = SPARSE.replace("WITH ", "WITH RECURSIVE ", 1)
-ROOT = "(SELECT min(src) FROM sparse)"
-BOTH = "both_ways AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse)"
-REACH = "reach(a, b) AS (SELECT src, dst FROM sparse UNION SELECT a, dst FROM reach JOIN sparse ON b = src)"
+GRAPH = V.with_views("steps", "graph")
+RECURSIVE = GRAPH.replace("WITH ", "WITH RECURSIVE ", 1)
+ROOT = "(SELECT min(src) FROM graph)"
+BOTH = "both_ways AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph)"
+REACH = "reach(a, b) AS (SELECT src, dst FROM graph UNION SELECT a, dst FROM reach JOIN graph ON b = src)"
 
 
 def root(edges):
@@ -31,51 +31,51 @@ def fan_in_out(spark, d):
 
 
 def pagerank_sql(rounds: int = G.ROUNDS) -> str:
-    out = SPARSE + ", nodes AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse), n AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS o FROM sparse GROUP BY src), r0 AS (SELECT id, 1.0 / n AS r FROM nodes, n)"
+    out = GRAPH + ", nodes AS (SELECT src AS id FROM graph UNION SELECT dst FROM graph), n AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS o FROM graph GROUP BY src), r0 AS (SELECT id, 1.0 / n AS r FROM nodes, n)"
     for i in range(1, rounds + 1):
-        out += f", r{i} AS MATERIALIZED (SELECT nodes.id, 0.15 / n + 0.85 * coalesce(g, 0) AS r FROM nodes CROSS JOIN n LEFT JOIN (SELECT dst, sum(r / o) AS g FROM sparse JOIN r{i - 1} ON src = id JOIN deg USING (src) GROUP BY dst) ON id = dst)"
+        out += f", r{i} AS MATERIALIZED (SELECT nodes.id, 0.15 / n + 0.85 * coalesce(g, 0) AS r FROM nodes CROSS JOIN n LEFT JOIN (SELECT dst, sum(r / o) AS g FROM graph JOIN r{i - 1} ON src = id JOIN deg USING (src) GROUP BY dst) ON id = dst)"
     return out + f", pr AS (SELECT id, r / (SELECT max(r) FROM r{rounds}) AS centrality FROM r{rounds})\n"
 
 
 @query(pagerank_sql() + "SELECT id, round(centrality, 6) AS centrality FROM pr")
 def pagerank(spark, d):
-    return G.pagerank(V.sparse_edges(spark, d)).select("id", F.round("centrality", 6).alias("centrality"))
+    return G.pagerank(V.pairs(spark, d)).select("id", F.round("centrality", 6).alias("centrality"))
 
 
 @query(
     pagerank_sql()
     + """SELECT id, i AS fan_in, o AS fan_out, round(o / (i + o), 4) AS instability, round(least(1, ln(1 + i) * (1 - o / (i + o)) / ln(100)), 4) AS spof_score, round(centrality, 4) AS centrality
-    FROM (SELECT id, CAST(sum(i) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o FROM (SELECT src AS id, 0 AS i, 1 AS o FROM sparse UNION ALL SELECT dst, 1, 0 FROM sparse) GROUP BY id) JOIN pr USING (id)"""
+    FROM (SELECT id, CAST(sum(i) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o FROM (SELECT src AS id, 0 AS i, 1 AS o FROM graph UNION ALL SELECT dst, 1, 0 FROM graph) GROUP BY id) JOIN pr USING (id)"""
 )
 def dependency_metrics(spark, d):
-    return G.dependency_metrics(V.sparse_edges(spark, d))
+    return G.dependency_metrics(V.pairs(spark, d))
 
 
 @query(pagerank_sql() + "SELECT id, round(centrality, 6) AS centrality FROM pr ORDER BY pr.centrality DESC, id LIMIT 10")
 def centrality_hotspots(spark, d):
-    return G.pagerank(V.sparse_edges(spark, d)).orderBy(F.desc("centrality"), "id").limit(10).select("id", F.round("centrality", 6).alias("centrality"))
+    return G.pagerank(V.pairs(spark, d)).orderBy(F.desc("centrality"), "id").limit(10).select("id", F.round("centrality", 6).alias("centrality"))
 
 
 LEVELS = "lv(id, level) AS (SELECT {root}, 0 UNION SELECT dst, level + 1 FROM lv JOIN {edges} ON id = src WHERE level < {depth})"
 
 
-@query(RECURSIVE + ", " + LEVELS.format(root=ROOT, edges="sparse", depth=6) + " SELECT id, min(level) AS level FROM lv GROUP BY id")
+@query(RECURSIVE + ", " + LEVELS.format(root=ROOT, edges="graph", depth=6) + " SELECT id, min(level) AS level FROM lv GROUP BY id")
 def bfs_levels(spark, d):
-    e = V.sparse_edges(spark, d)
+    e = V.pairs(spark, d)
     return G.bfs(e, root(e), 6).select("id", "level")
 
 
-@query(RECURSIVE + ", " + LEVELS.format(root=ROOT, edges="sparse", depth=3) + " SELECT id, min(level) AS level FROM lv GROUP BY id ORDER BY level, id LIMIT 20")
+@query(RECURSIVE + ", " + LEVELS.format(root=ROOT, edges="graph", depth=3) + " SELECT id, min(level) AS level FROM lv GROUP BY id ORDER BY level, id LIMIT 20")
 def neighborhood(spark, d):
-    e = V.sparse_edges(spark, d)
+    e = V.pairs(spark, d)
     return G.neighbourhood(e, root(e), 3, 20).select("id", "level")
 
 
 @query(
-    RECURSIVE + f", {BOTH}, " + LEVELS.format(root=ROOT, edges="both_ways", depth=12) + " SELECT (SELECT min(src) FROM sparse) AS a, t.b, (SELECT min(level) FROM lv WHERE id = t.b) AS distance FROM (SELECT max(dst) AS b FROM sparse) t"
+    RECURSIVE + f", {BOTH}, " + LEVELS.format(root=ROOT, edges="both_ways", depth=12) + " SELECT (SELECT min(src) FROM graph) AS a, t.b, (SELECT min(level) FROM lv WHERE id = t.b) AS distance FROM (SELECT max(dst) AS b FROM graph) t"
 )
 def shortest_path(spark, d):
-    e = V.sparse_edges(spark, d)
+    e = V.pairs(spark, d)
     ends = e.agg(F.min("src").alias("a"), F.max("dst").alias("b"))
     return G.shortest_paths(e, ends, 12).select("a", "b", "distance")
 
@@ -85,12 +85,12 @@ def shortest_path(spark, d):
     " SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM c"
 )
 def wcc(spark, d):
-    return G.weak_components(V.sparse_edges(spark, d))
+    return G.weak_components(V.pairs(spark, d))
 
 
 @query(RECURSIVE + f", {REACH} SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a")
 def scc(spark, d):
-    return G.strong_components(V.sparse_edges(spark, d))
+    return G.strong_components(V.pairs(spark, d))
 
 
 @query(V.with_views("steps", "edges") + ", p AS (SELECT DISTINCT src, dst FROM edges) SELECT p.src AS a, p.dst AS b FROM p JOIN p q ON p.src = q.dst AND p.dst = q.src WHERE p.src < p.dst")
@@ -98,46 +98,62 @@ def two_cycles(spark, d):
     return G.two_cycles(V.edges(spark, d))
 
 
-REV = "rev AS (SELECT dst AS src, src AS dst FROM sparse)"
+REV = "rev AS (SELECT dst AS src, src AS dst FROM graph)"
 
 
-@query(RECURSIVE + f", {REV}, " + LEVELS.format(root="(SELECT min(dst) FROM sparse)", edges="rev", depth=5) + " SELECT id, min(level) AS level FROM lv GROUP BY id HAVING min(level) > 0")
+@query(RECURSIVE + f", {REV}, " + LEVELS.format(root="(SELECT min(dst) FROM graph)", edges="rev", depth=5) + " SELECT id, min(level) AS level FROM lv GROUP BY id HAVING min(level) > 0")
 def transitive_dependents(spark, d):
-    e = V.sparse_edges(spark, d)
+    e = V.pairs(spark, d)
     return G.bfs(G.reverse(e), e.agg(F.min("dst").alias("id")), 5).filter("level > 0").select("id", "level")
 
 
 @query(
     RECURSIVE
-    + f""", {REV}, few AS (SELECT DISTINCT dst AS id FROM sparse WHERE dst % 40 = 0), lv(root, id, level) AS (SELECT id, id, 0 FROM few UNION SELECT root, dst, level + 1 FROM lv JOIN rev ON id = src WHERE level < 149),
-    best AS (SELECT root, id, min(level) AS level FROM lv GROUP BY root, id),
-    agg AS (SELECT root, count(*) FILTER (level = 1) AS direct, count(*) FILTER (level > 1) AS transitive FROM best GROUP BY root)
-    SELECT root, direct, transitive, (SELECT count(*) FROM sparse WHERE src = root) AS fan_out, CASE WHEN direct >= 10 THEN 'high' WHEN direct >= 3 THEN 'medium' WHEN direct >= 1 THEN 'low' ELSE 'none' END AS risk FROM agg"""
+    + f""", {REV}, lv(root, id, level) AS (SELECT id, id, 0 FROM (SELECT src AS id FROM graph UNION SELECT dst FROM graph) UNION SELECT root, dst, level + 1 FROM lv JOIN rev ON id = src WHERE level < 1),
+    {REACH}, up AS (SELECT b AS root, count(*) FILTER (a <> b) AS every FROM reach GROUP BY b), one AS (SELECT root, count(DISTINCT id) FILTER (level = 1) AS direct FROM lv GROUP BY root)
+    SELECT root, direct, coalesce(every, 0) - direct AS transitive, (SELECT count(*) FROM graph WHERE src = root) AS fan_out, CASE WHEN direct >= 10 THEN 'high' WHEN direct >= 3 THEN 'medium' WHEN direct >= 1 THEN 'low' ELSE 'none' END AS risk FROM one LEFT JOIN up USING (root)"""
 )
 def impact_analysis(spark, d):
-    e = V.sparse_edges(spark, d)
-    return G.impact(e, e.select(F.col("dst").alias("id")).filter("id % 40 = 0").distinct())
+    return G.impact(V.pairs(spark, d))
 
 
 AXIS = V.with_views("steps", "edges").replace("WITH ", "WITH RECURSIVE ", 1)
+AXES = {"call_graph": ("purchase", 0.75), "class_hierarchy": ("view", 0.9), "import_graph": ("error", 0.95)}
 
 
-@query(
-    AXIS
-    + """, e1 AS (SELECT DISTINCT dst AS src, src AS dst FROM steps WHERE edge_type = 'error' AND value > 100 AND src <> dst), e2 AS (SELECT DISTINCT dst AS src, src AS dst FROM steps WHERE edge_type = 'purchase' AND value > 100 AND src <> dst),
-    l1(id, level) AS (SELECT 5, 0 UNION SELECT dst, level + 1 FROM l1 JOIN e1 ON id = src WHERE level < 2), l2(id, level) AS (SELECT 5, 0 UNION SELECT dst, level + 1 FROM l2 JOIN e2 ON id = src WHERE level < 2),
-    a AS (SELECT 0.95 AS c, (SELECT count(DISTINCT id) FROM (SELECT id FROM l1 GROUP BY id HAVING min(level) > 0)) AS n UNION ALL SELECT 0.75, (SELECT count(DISTINCT id) FROM (SELECT id FROM l2 GROUP BY id HAVING min(level) > 0))),
-    r AS (SELECT c, n, CASE WHEN n >= 10 THEN 3 WHEN n >= 3 THEN 2 WHEN n >= 1 THEN 1 ELSE 0 END AS r FROM a)
-    SELECT 5 AS root, (SELECT count(*) FROM (SELECT id FROM l1 WHERE level > 0 UNION SELECT id FROM l2 WHERE level > 0) WHERE id <> 5) AS affected, round(sum((n + 1) * c) / sum(n + 1), 2) AS confidence,
-    CASE CASE WHEN max(r) = 1 AND count(*) FILTER (r = 1) >= 2 THEN 2 ELSE max(r) END WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS risk FROM r"""
-)
+def blast_sql(depth: int = 2) -> str:
+    """One recursion for each axis, then the rules of the summary."""
+    out, rows = AXIS, []
+    for i, (name, (kind, c)) in enumerate(sorted(AXES.items())):
+        out += f", e{i} AS (SELECT DISTINCT dst AS src, src AS dst FROM edges WHERE edge_type = '{kind}'), l{i}(id, level) AS (SELECT 5, 0 UNION SELECT dst, level + 1 FROM l{i} JOIN e{i} ON id = src WHERE level < {depth}), m{i} AS (SELECT id FROM l{i} GROUP BY id HAVING min(level) > 0)"
+        rows.append(f"SELECT '{name}' AS axis, {c} AS c, (SELECT count(*) FROM m{i}) AS n")
+    return (
+        out
+        + f", a AS ({' UNION ALL '.join(rows)}), r AS (SELECT *, CASE WHEN n >= 10 THEN 3 WHEN n >= 3 THEN 2 WHEN n >= 1 THEN 1 ELSE 0 END AS r FROM a) SELECT 5 AS root, (SELECT count(*) FROM ({' UNION '.join(f'SELECT id FROM m{i}' for i in range(len(rows)))})) AS affected,"
+        " round(sum((n + 1) * c) / sum(n + 1), 2) AS confidence, CASE CASE WHEN max(r) = 1 AND count(*) FILTER (r = 1) >= 2 THEN 2 ELSE max(r) END WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS risk,"
+        " coalesce(list(axis ORDER BY axis) FILTER (n > 0), []) AS reasons FROM r"
+    )
+
+
+@query(blast_sql())
 def blast_radius(spark, d):
-    """What two kinds of edges reach backwards from one node."""
-    e = V.consecutive(table(spark, d, "events")).filter("value > 100 and dst is not null and src <> dst")
-    axes = {"import_graph": (e.filter("edge_type = 'error'").select("src", "dst").distinct(), 0.95), "call_graph": (e.filter("edge_type = 'purchase'").select("src", "dst").distinct(), 0.75)}
+    """What three kinds of edges reach backwards from one node."""
+    e = V.edges(spark, d)
+    axes = {name: (e.filter(F.col("edge_type") == kind).select("src", "dst"), c) for name, (kind, c) in AXES.items()}
     return G.blast_radius(axes, spark.createDataFrame([(5,)], "id long"), 2)
 
 
+@query(
+    blast_sql().split(", a AS (")[0]
+    + ", f AS (" + " UNION ALL ".join(f"SELECT id, '{name}' AS axis FROM m{i}" for i, name in enumerate(sorted(AXES))) + ") SELECT 5 AS root, id, list(axis ORDER BY axis) AS reasons FROM f GROUP BY id"
+)
+def blast_reasons(spark, d):
+    """Each thing that the root affects, with the kinds of edges that reach it."""
+    e = V.edges(spark, d)
+    axes = {name: (e.filter(F.col("edge_type") == kind).select("src", "dst"), c) for name, (kind, c) in AXES.items()}
+    return G.reached_by(axes, spark.createDataFrame([(5,)], "id long"), 2).groupBy("root", "id").agg(F.array_sort(F.collect_set("axis")).alias("reasons"))
+
+
 @query(V.with_views("steps", "edges") + "SELECT 'in' AS way, src AS other, count(*) AS n FROM edges WHERE dst = 9 GROUP BY src UNION ALL SELECT 'out', dst, count(*) FROM edges WHERE src = 9 GROUP BY dst")
 def module_fan_listing(spark, d):
     e = V.edges(spark, d)
@@ -200,15 +216,15 @@ def cohesion_coupling(spark, d):
     return K.cohesion_coupling(adjacency(spark, d), labels(spark, d)).select(F.round("cohesion", 6).alias("cohesion"), F.round("coupling", 6).alias("coupling"))
 
 
-@query(SPARSE + "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT src FROM sparse UNION SELECT dst FROM sparse)")
+@query(GRAPH + "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT src FROM graph UNION SELECT dst FROM graph)")
 def isolated_nodes(spark, d):
     nodes = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
-    return K.isolated(nodes, K.fuse([(V.sparse_edges(spark, d).withColumn("w", F.lit(1.0)), 1.0)]))
+    return K.isolated(nodes, K.fuse([(V.pairs(spark, d).withColumn("w", F.lit(1.0)), 1.0)]))
 
 
-@query("SELECT a.p_partkey AS src, b.p_partkey AS dst, 0.15 AS w FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE a.p_size = 1 AND b.p_size = 1")
+@query("SELECT a.p_partkey AS src, b.p_partkey AS dst, 0.15 AS w FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
 def proximity_pairs(spark, d):
-    s = V.symbols(spark, d).filter("start_line = 1").select("id", F.concat("file_path", F.lit("/x")).alias("path"))
+    s = V.symbols(spark, d).select("id", F.concat("file_path", F.lit("/x")).alias("path"))
     return K.proximity_edges(s)
 
 
@@ -222,4 +238,4 @@ def containment_edges(spark, d):
 @query()
 def fiedler_partition(spark, d):
     """Spectral bipartition of the graph; no SQL (an eigenvector)."""
-    return K.bipartition(K.fuse([(V.sparse_edges(spark, d).withColumn("w", F.lit(1.0)), 1.0)]), min_size=5, max_depth=2)
+    return K.bipartition(K.fuse([(V.pairs(spark, d).withColumn("w", F.lit(1.0)), 1.0)]), min_size=5, max_depth=2)

@@ -174,41 +174,20 @@ def symbol_manifest(spark, d):
     return s.groupBy(F.col("name").alias("symbol")).agg(F.max_by(F.concat(F.col("file_path"), F.lit(":"), F.col("start_line").cast("string")), "id").alias("place"))
 
 
-SPARSE = V.with_views("steps", "sparse").replace("WITH ", "WITH RECURSIVE ", 1)
+GRAPH = V.with_views("steps", "graph").replace("WITH ", "WITH RECURSIVE ", 1)
+NODES = "(SELECT src AS id FROM graph UNION SELECT dst FROM graph)"
 
 
-@query(SPARSE + ", r(a, b, level) AS (SELECT DISTINCT src, src, 0 FROM sparse WHERE src % 25 = 0 UNION SELECT a, dst, level + 1 FROM r JOIN sparse ON b = src WHERE level < 4) SELECT a AS root, b AS id, min(level) AS depth FROM r GROUP BY a, b")
+@query(GRAPH + f", r(a, b, level) AS (SELECT id, id, 0 FROM {NODES} UNION SELECT a, dst, level + 1 FROM r JOIN graph ON b = src WHERE level < 2) SELECT a AS root, b AS id, min(level) AS depth FROM r GROUP BY a, b")
 def dependency_chain(spark, d):
-    """Dependencies of several roots to a depth."""
-    e = V.sparse_edges(spark, d)
-    return G.bfs(e, e.select(F.col("src").alias("id")).filter("id % 25 = 0").distinct(), 4).select("root", "id", F.col("level").alias("depth"))
+    """Dependencies of every node to a depth."""
+    e = V.pairs(spark, d)
+    return G.bfs(e, G.nodes(e), 2).select("root", "id", F.col("level").alias("depth"))
 
 
-@query(SPARSE + ", r(a, b) AS (SELECT src, dst FROM sparse WHERE src % 25 = 0 UNION SELECT a, dst FROM r JOIN sparse ON b = src) SELECT a AS root, count(*) AS reached FROM r GROUP BY a")
+@query(GRAPH + ", r(a, b) AS (SELECT src, dst FROM graph UNION SELECT a, dst FROM r JOIN graph ON b = src) SELECT a AS root, count(*) AS reached FROM r GROUP BY a")
 def transitive_closure(spark, d):
-    e = V.sparse_edges(spark, d)
-    start = e.select(F.col("src").alias("id")).filter("id % 25 = 0").distinct()
-    return G.closure(e, start).groupBy("root").agg(F.count("*").alias("reached"))
-
-
-# The same from every node over all edges. Their rows grow as the square of the nodes, so no SQL is given.
-
-
-@query()
-def dependency_chain_all(spark, d):
-    e = V.edges(spark, d).select("src", "dst").distinct()
-    return G.bfs(e, G.nodes(e), 4).select("root", "id", F.col("level").alias("depth"))
-
-
-@query()
-def transitive_closure_all(spark, d):
-    return G.closure_sizes(V.edges(spark, d))
-
-
-@query()
-def impact_analysis_all(spark, d):
-    e = V.edges(spark, d).select("src", "dst").distinct()
-    return G.impact(e, G.nodes(e))
+    return G.closure_sizes(V.pairs(spark, d))
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_name LIKE 'A%' THEN 'api' WHEN n_name LIKE '%IA' THEN 'core' END AS layer FROM nation")

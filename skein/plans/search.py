@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph as G
+from ..operators import lists as L
 from ..operators import retrieval as R
 from ..session import spread, table
 from ..sources import views as V
@@ -55,12 +56,12 @@ def knn_topk(spark, d):
 def knn_graph(spark, d):
     """Ten nearest neighbours of every twentieth vector among all vectors."""
     v = V.vectors(spark, d)
-    return R.knn_graph(v, v.filter("id % 20 = 0"), 10).select("id", "neighbor", "rank", F.round("similarity", 6).alias("similarity"))
+    return L.knn_graph(v, v.filter("id % 20 = 0"), 10).select("id", "neighbor", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {E} SELECT a.id AS id_1, b.id AS id_2, round({COS.format(a='a.v', b='b.v')}, 6) AS similarity FROM e a JOIN e b ON a.id < b.id WHERE {COS.format(a='a.v', b='b.v')} >= 0.35")
+@query(f"WITH {E} SELECT a.id AS id_1, b.id AS id_2, round({COS.format(a='a.v', b='b.v')}, 6) AS similarity FROM e a JOIN e b ON a.id < b.id WHERE {COS.format(a='a.v', b='b.v')} >= 0.5")
 def similarity_join(spark, d):
-    return R.similarity_join(V.vectors(spark, d), 0.35).select("id_1", "id_2", F.round("similarity", 6).alias("similarity"))
+    return L.similarity_join(V.vectors(spark, d), 0.5).select("id_1", "id_2", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
@@ -97,18 +98,18 @@ LEFT JOIN (SELECT doc_id AS id, substr(text, 1, 40) AS text_head FROM documents)
 @query(HYBRID)
 def hybrid_search(spark, d):
     """Vectors, keywords and four priors, each cut to 2k, fused by reciprocal ranks."""
-    docs, v = V.documents(spark, d, heavy=True), V.vectors(spark, d)
+    docs, plain, v = V.documents(spark, d, heavy=True), V.documents(spark, d), V.vectors(spark, d)
     similar = R.knn(v, QUERY_VECTOR, 40).select("id", F.col("similarity").alias("score"))
     pairs = V.edges(spark, d)
     degree = G.degrees(pairs).select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
     priors = [
-        ("recency", docs.select("id"), "id"),
-        ("size", docs.select("id", "n_chars"), "n_chars"),
+        ("recency", plain.select("id"), "id"),
+        ("size", plain.select("id", "n_chars"), "n_chars"),
         ("quality", table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "quality"),
         ("degree", degree, "degree"),
     ]
     top = R.hybrid(similar, R.bm25(docs, TERMS), priors, 20)
-    heads = docs.select("id", F.substring("text", 1, 40).alias("text_head"))
+    heads = plain.select("id", F.substring("text", 1, 40).alias("text_head"))
     return heads.join(F.broadcast(top), "id", "right").select("id", F.round("score", 6).alias("score"), "text_head")  # k rows
 
 
@@ -117,8 +118,8 @@ def hybrid_search(spark, d):
     SELECT user_id, round(1 / (1 + exp(-(0.4 * v[1] + 0.3 * list_avg(v[1:3]) + 0.3 * v[CAST(floor(len(v) / 2) AS INTEGER) + 1]))), 6) AS confidence FROM s"""
 )
 def rerank_confidence(spark, d):
-    scores = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.col("value") / 100).alias("v"))
-    return scores.select("user_id", F.round(R.rerank_confidence(F.col("v")), 6).alias("confidence"))
+    scores = table(spark, d, "events").select("user_id", (F.col("value") / 100).alias("v"))
+    return R.rerank_confidence(scores, "user_id", "v").select("user_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query(

@@ -35,9 +35,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return e.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))).select("src", "dst", "edge_type").distinct()
 
 
-def sparse_edges(spark: SparkSession, d: str, above: float = 100.0) -> DataFrame:
-    e = consecutive(table(spark, d, "events"))
-    return e.filter((F.col("edge_type") == "error") & (F.col("value") > above) & F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The edges without their kinds."""
+    return edges(spark, d).select("src", "dst").distinct()
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ SQL = {
     "symbols": "symbols AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand || '/' || p_type AS file_path, p_size AS start_line, p_retailprice AS weight FROM part)",
     "steps": "steps AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type AS edge_type, value, ts FROM events)",
     "edges": "edges AS (SELECT DISTINCT src, dst, edge_type FROM steps WHERE dst IS NOT NULL AND src <> dst)",
-    "sparse": "sparse AS (SELECT DISTINCT src, dst FROM steps WHERE edge_type = 'error' AND value > 100 AND dst IS NOT NULL AND src <> dst)",
+    "graph": "graph AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL AND src <> dst)",
     "commits": "commits AS (SELECT l_orderkey AS commit, o_orderdate AS ts, o_custkey AS author, p_brand || '/' || p_type AS file, CAST(l_quantity AS BIGINT) AS added, CAST(l_linenumber AS BIGINT) AS deleted FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)",
     "changes": "changes AS (SELECT commit, file, any_value(ts) AS ts FROM commits GROUP BY commit, file)",
     "pairs": "pairs AS (SELECT a.file AS file1, b.file AS file2, count(*) AS frequency, min(a.ts) AS first_ts, max(a.ts) AS last_ts FROM changes a JOIN changes b ON a.commit = b.commit AND a.file < b.file GROUP BY 1, 2)",

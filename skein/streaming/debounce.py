@@ -23,14 +23,27 @@ def debounce(events: DataFrame, key: str, ts: str = "ts", gap: str = GAP, waterm
     return events.groupBy(key, burst.alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n")).select(key, "first", "last", "n")
 
 
+def still_open(events: DataFrame, emitted: DataFrame, key: str, ts: str = "ts", gap: str = GAP) -> DataFrame:
+    """The bursts of a table of events that a stream over it has not emitted when it ends: of each key, those after its
+    last emitted one."""
+    last = emitted.groupBy(key).agg(F.max("last").alias("last"))
+    rest = events.join(last, key, "left").filter(F.col("last").isNull() | (F.col(ts) > F.col("last"))).drop("last")
+    return debounce(rest, key, ts, gap)
+
+
+def moves_apart(events: DataFrame, key: str, ts: str, op: str) -> DataFrame:
+    """(key, ts, op): a move is a deletion of the old path and a creation of the new one (column ``dest``)."""
+    both = F.when(F.col(op) == "moved", F.array(F.struct(F.col(key).alias("k"), F.lit("deleted").alias("o")), F.struct(F.col("dest").alias("k"), F.lit("created").alias("o"))))
+    each = F.explode(F.coalesce(both, F.array(F.struct(F.col(key).alias("k"), F.col(op).alias("o")))))
+    return events.select(ts, each.alias("x")).select(F.col("x.k").alias(key), ts, F.col("x.o").alias(op))
+
+
 def debounce_with_cancel(events: DataFrame, key: str = "path", ts: str = "ts", op: str = "op", seconds: int = 300) -> DataFrame:
     """Batch form with cancelling: a burst that ends in ``deleted`` is dropped.
 
     Moves count as a deletion of the old path and a change of the new one (column ``dest``).
     """
-    moved = events.filter(F.col(op) == "moved")
-    all_events = events.filter(F.col(op) != "moved").select(key, ts, op)
-    all_events = all_events.unionByName(moved.select(key, ts, F.lit("deleted").alias(op))).unionByName(moved.select(F.col("dest").alias(key), ts, F.lit("created").alias(op)))
+    all_events = moves_apart(events, key, ts, op)
     w = W.partitionBy(key).orderBy(ts)
     fresh = (F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w)) >= seconds) | F.lag(ts).over(w).isNull()
     numbered = all_events.withColumn("burst", F.sum(fresh.cast("int")).over(w))
@@ -39,7 +52,8 @@ def debounce_with_cancel(events: DataFrame, key: str = "path", ts: str = "ts", o
 
 
 def debounce_stream_with_cancel(events: DataFrame, key: str = "path", seconds: int = 300) -> DataFrame:
-    """Stream form with cancelling, as arbitrary state on a processing-time timer; (path, n)."""
+    """Stream form with cancelling, as arbitrary state on a processing-time timer; (path, n): the events since the last
+    deletion, once the path has been quiet."""
 
     def fold(path: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,16 +62,16 @@ def debounce_stream_with_cancel(events: DataFrame, key: str = "path", seconds: i
             yield pd.DataFrame({key: [path[0]], "n": [n]})
             return
         n = state.get[0] if state.exists else 0
-        for part in rows:
-            part = part.sort_values("ts")
-            n = 0 if part["op"].iloc[-1] == "deleted" else n + len(part)
+        # All parts of the batch in the order of their times; a deletion drops what came before it.
+        for op in pd.concat(list(rows)).sort_values("ts", kind="stable")["op"]:
+            n = 0 if op == "deleted" else n + 1
         if n:
             state.update((n,))
             state.setTimeoutDuration(seconds * 1000)
         elif state.exists:
             state.remove()
 
-    return events.groupBy(key).applyInPandasWithState(fold, f"{key} string, n long", "n long", "append", "ProcessingTimeTimeout")
+    return moves_apart(events, key, "ts", "op").groupBy(key).applyInPandasWithState(fold, f"{key} string, n long", "n long", "append", "ProcessingTimeTimeout")
 
 
 def filtered(events: DataFrame, extensions: tuple[str, ...], exclude: tuple[str, ...] = (), path: str = "path") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions import scalars as S
 from skein.functions import text as T
 from skein.functions import vectors as V
-from skein.operators import cluster, cochange, context, diff, graph, quality, retrieval
+from skein.operators import cluster, cochange, context, diff, graph, lists, quality, retrieval
 from skein.sources import files
 from skein.streaming import debounce as B
 
@@ -50,7 +50,27 @@ def test_graph_neighbourhood_and_paths(spark, chain):
     pairs = spark.createDataFrame([("s1", "s3"), ("s1", "s1"), ("s1", "zz"), ("s3", "s4")], "a string, b string")
     got = {(r.a, r.b): (r.distance, r.path) for r in graph.shortest_paths(chain, pairs).collect()}
     assert got[("s1", "s3")] == (2, ["s1", "s2", "s3"]) and got[("s1", "s1")] == (0, ["s1"]) and got[("s1", "zz")] == (None, None) and got[("s3", "s4")][0] == 2
-    assert {r.id for r in graph.closure(chain, start).collect()} == {"s2", "s3", "s4"}
+    assert {r.id for r in graph.bfs(chain, start).filter("level > 0").collect()} == {"s2", "s3", "s4"}
+    assert {(r.root, r.reached) for r in graph.closure_sizes(chain).collect()} == {("s1", 3), ("s2", 2), ("s5", 1)}
+
+
+def test_compact_graphs_equal_the_joins(spark):
+    rng = np.random.default_rng(6)
+    e = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (90, 2))] + [("n1", None)]
+    df = spark.createDataFrame(e, "src string, dst string")
+    start = spark.createDataFrame([("n1",), ("n2",), ("gone",), ("n2",)], "id string")
+    rows = lambda out: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.collect())
+    for f in (lambda most: graph.bfs(df, start, None, most), lambda most: graph.bfs(df, start, 2, most), lambda most: graph.pagerank(df, most=most), lambda most: graph.strong_components(df, most)):
+        few, many = rows(f(10**6)), rows(f(0))
+        assert few == many and few
+    nothing = df.limit(0)
+    assert graph.pagerank(nothing).count() == 0 and graph.strong_components(nothing).count() == 0 and rows(graph.bfs(nothing, start)) == [("gone", "gone", 0), ("n1", "n1", 0), ("n2", "n2", 0)]
+
+
+def test_a_long_path_is_found_whole(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(25)], "src long, dst long")
+    got = graph.shortest_paths(path, spark.createDataFrame([(0, 25)], "a long, b long")).first()
+    assert got.distance == 25 and got.path == list(range(26))
 
 
 def test_components(spark):
@@ -98,22 +118,43 @@ def test_text_functions(spark):
 
 
 def test_rerank_confidence(spark):
-    got = value(spark, retrieval.rerank_confidence(F.array(*(F.lit(x) for x in (1.0, 3.0, 2.0, 0.0)))))
-    assert got == pytest.approx(1 / (1 + np.exp(-(0.4 * 3 + 0.3 * 2 + 0.3 * 1))))
+    df = spark.createDataFrame([("a", x) for x in (1.0, 3.0, 2.0, 0.0, None)] + [("b", 5.0)], "k string, s double")
+    got = {r.k: r.confidence for r in retrieval.rerank_confidence(df, "k", "s").collect()}
+    want = lambda z: pytest.approx(1 / (1 + np.exp(-z)))
+    assert got == {"a": want(0.4 * 3 + 0.3 * 2 + 0.3 * 1), "b": want(5.0)}
+
+
+def test_hashed_embedding_counts_slots(spark):
+    text, dim = "a b c a b_9 b", 16
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    slots = [r.h for r in spark.createDataFrame([(w,) for w in text.split()], "w string").select(F.pmod(F.xxhash64("w"), F.lit(dim)).alias("h")).collect()]
+    counts = np.bincount(slots, minlength=dim)
+    got = [r.e for r in df.select(retrieval.hashed_embedding(F.col("t"), dim).alias("e")).collect()]
+    assert np.allclose(got[0], counts / np.linalg.norm(counts), atol=1e-6) and got[1] == [0.0] * dim and got[2] == [0.0] * dim
 
 
-def test_knn_graph_and_join_equal_brute_force(spark):
+def test_knn_graph_and_join_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lists, "LIST_ROWS", 6)  # ten lists, small blocks and chunks
+    monkeypatch.setattr(lists, "BLOCK", 4)
+    monkeypatch.setattr(lists, "CHUNK", 3)
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((60, 8))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    x = np.concatenate([rng.standard_normal((40, 8)), np.repeat(rng.standard_normal((2, 8)), 10, 0) + 0.1 * rng.standard_normal((20, 8))])
+    odd = [(100, None), (101, []), (102, [0.0] * 8), (103, [float("nan")] * 8), (104, [1.0, 2.0]), (105, [2.0, 4.1]), (None, x[0].tolist()), (7, x[7].tolist())]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "id long, embedding array<double>").repartition(3)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = u @ u.T
-    got = {(r.id, r["rank"]): r.neighbor for r in retrieval.knn_graph(df, df.filter("id < 10"), 3).collect()}
+    found = lists.knn_graph(df, df.filter("id < 10 or id >= 100"), 3).collect()
+    got = {(r.id, r["rank"]): r.neighbor for r in found}
+    assert len(found) == len(got) == 32
     for i in range(10):
-        order = [j for j in np.argsort(-sim[i], kind="stable") if j != i][:3]
+        order = [j for j in np.argsort(-np.round(sim[i], 9), kind="stable") if j != i][:3]
         assert [got[i, k + 1] for k in range(3)] == order
-    joined = {(r.id_1, r.id_2) for r in retrieval.similarity_join(df, 0.5).collect()}
-    assert joined == {(i, j) for i in range(60) for j in range(i + 1, 60) if sim[i, j] >= 0.5}
+    assert got[104, 1] == 105 and got[105, 1] == 104
+    pairs = [(r.id_1, r.id_2) for r in lists.similarity_join(df, 0.5).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for i in range(60) for j in range(i + 1, 60) if sim[i, j] >= 0.5} | {(104, 105)}
+    plan = lists.similarity_join(df, 0.5)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert lists.knn_graph(df.limit(0), df.limit(0), 3).count() == 0 and lists.similarity_join(df.limit(0), 0.5).count() == 0
 
 
 def test_cluster_maths(spark):
@@ -155,6 +196,10 @@ def test_budget_skips_and_goes_on(spark):
     df = spark.createDataFrame([("g", 1, 50), ("g", 2, 70), ("g", 3, 40), ("g", 4, 10), ("h", 1, 200)], "k string, i long, cost long")
     got = {(r.k, r.i) for r in context.budget_select(df, "k", "i", "cost", 100).collect()}
     assert got == {("g", 1), ("g", 3), ("g", 4)}
+    ties = spark.createDataFrame([("g", 1, 500), ("g", 1, 400), ("g", 2, 50)], "k string, i long, cost long")
+    assert sorted(tuple(r) for r in context.budget_select(ties, "k", "i", "cost", 600).collect()) == [("g", 1, 400), ("g", 2, 50)]
+    kinds = spark.createDataFrame([("g", 1, "a", 10), ("g", 2, "a", 10), ("g", 3, "b", 95), ("g", 4, None, 20), ("g", 5, None, 20)], "k string, i long, kind string, cost long")
+    assert {r.i for r in context.diverse_budget(kinds, "k", "i", "kind", "cost", 100, 1).collect()} == {1, 4}
     assert context.diversity(df, "k", "cost", "i", 2).count() == 3
 
 

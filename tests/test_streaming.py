@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from skein.streaming import debounce as B
@@ -34,3 +36,24 @@ def test_streamed_bursts_equal_the_batch_but_for_open_ones(spark, tmp_path):
     q.awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {tuple(r) for r in B.debounce(events, "path").filter("path <> 'end'").collect()}
+    whole = B.still_open(events, spark.read.parquet(f"file://{tmp_path}/out"), "path")
+    assert got | {tuple(r) for r in whole.collect()} == {tuple(r) for r in B.debounce(events, "path").collect()}
+
+
+def test_a_burst_that_ends_in_a_deletion_is_dropped_from_the_stream(spark, tmp_path):
+    kind = "path string, ts timestamp, op string, dest string"
+    at = lambda s: f"timestamp_seconds({s})"
+    rows = [("a", 1, "created", None), ("a", 2, "modified", None), ("b", 3, "created", None), ("b", 4, "deleted", None), ("c", 5, "moved", "d"), ("c", 0, "created", None)]
+    events = spark.createDataFrame(rows, "path string, t long, op string, dest string").selectExpr("path", f"{at('t')} AS ts", "op", "dest")
+    events.repartition(3).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(kind).parquet(f"file://{tmp_path}/in")
+    out = B.debounce_stream_with_cancel(stream, "path", seconds=1)
+    q = out.writeStream.format("memory").queryName("cancelled").outputMode("append").trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if spark.table("cancelled").count() >= 2:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert {(r.path, r.n) for r in spark.table("cancelled").collect()} == {("a", 2), ("d", 1)}
+    batch = B.debounce_with_cancel(events, "path")
+    assert {(r.path, r.n) for r in batch.collect()} == {("a", 2), ("d", 1)}
