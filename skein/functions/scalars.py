@@ -116,3 +116,12 @@ def glob_regex(pattern: str) -> str:
     for c in pattern:
         out.append({"*": ".*", "?": "."}.get(c) or ("\\" + c if c in r"\.^$+{}[]()|" else c))
     return "^" + "".join(out) + "$"
+
+
+def clamp(value: Column, low: int, high: int, default: int) -> Column:
+    """A parameter within its bounds; null means the default."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value, F.lit(default))))
+
+
+def cycle_severity(length: Column) -> Column:
+    return F.when(length <= 3, "high").otherwise("medium")
