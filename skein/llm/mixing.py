@@ -36,7 +36,7 @@ BLOCK = 64
 #: Without target weights, a source of n documents weighs n to this power.
 TEMPERATURE = 0.7
 #: Documents that a hash bucket holds, about, of all sources together.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 512
 
 
 def exact_slots(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, array]:
