@@ -3,14 +3,16 @@
 Coarse centroids deal normalised vectors into lists; what is left of a vector is coded part by part
 with small codebooks. Both are fitted to a bounded sample (``SAMPLE`` vectors); every vector is indexed.
 A query visits each list that can hold a vector within the threshold's distance: the list's border
-with the query's own list must be that near, and so must the list's ball. In a list, table look-ups give
-the distance to each decoded vector; as the decoding error of every vector is stored, a candidate is
-left out only if the triangle inequality rules it out. Candidates are measured exactly, by cosine in
-double precision. So nothing is missed; tests hold recall against brute force.
+with the query's own list must be that near, and so must the shell around the list's centroid that its
+vectors fill. Of two lists that could visit each other, one does, and the pairs found count for both
+sides. In a list, table look-ups give the distance to each decoded vector; as the decoding error of every
+vector is stored, a candidate is left out only if the triangle inequality rules it out. Candidates are
+measured exactly, by cosine in double precision. So nothing is missed; tests hold recall against brute force.
 
 Equal vectors of a label form one class with a multiplicity. Searching tasks do not emit pairs: they
-sum each query's links and reduce the links to one edge per vector and component of the task. Lists
-longer than ``BLOCK`` are split into blocks, so no task holds more than a block and its queries.
+sum each vector's links and reduce the links to one edge per vector and component of the task. Lists
+longer than ``BLOCK`` are split into blocks, and the queries of a block are dealt in slices of about
+``QUERIES``, so the rows that a task holds do not grow with the table.
 
 Defined results: vectors with a null label, null or empty vectors, zero vectors and those with null or
 non-finite components link with nothing; vectors of different lengths never link; rows without an id
@@ -31,7 +33,7 @@ from .common import components, materialise
 
 COSINE = 0.93
 SAMPLE = 8192
-LIST_ROWS, MAX_LISTS, BLOCK = 2000, 4096, 4096
+LIST_ROWS, MAX_LISTS, BLOCK, QUERIES = 2000, 4096, 4096, 16384
 PART, CODES = 8, 64
 ROUNDS = 8
 NODE = "struct<id:bigint,label:bigint,hash:bigint>"
@@ -77,15 +79,17 @@ class Index:
         decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         return cell, codes, np.sqrt(((rest - decoded) ** 2).sum(1)), np.sqrt((rest**2).sum(1))
 
-    def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Lists whose cells come within ``reach`` of each row: its own, and those behind a near border."""
+    def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Lists whose cells come within ``reach`` of each row, its own and those behind a near border, and the
+        distances to their centroids."""
         d2 = squares(x, self.coarse)
         own = d2[np.arange(len(x)), cell]
         with np.errstate(divide="ignore", invalid="ignore"):
             border = (d2 - own[:, None]) / (2 * self.between[cell])
         border[np.arange(len(x)), cell] = 0
         border[~np.isfinite(border)] = 0
-        return [np.flatnonzero(b <= reach) for b in border]
+        near = [np.flatnonzero(b <= reach) for b in border]
+        return near, [np.sqrt(d[n]) for d, n in zip(d2, near, strict=True)]
 
     def distances(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Distances of queries to the decoded vectors of one list, by table look-ups."""
@@ -149,7 +153,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, sample: int = SAMPLE, list_rows: int = LIST_ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, sample: int = SAMPLE, list_rows: int = LIST_ROWS, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(key, n_links, component_id, kept) of each row."""
     none = (1 << 63) - 1
     rows = vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(none)).alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
@@ -175,22 +179,32 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit(matrix(batch.column(3), dim))
-            cell, codes, error, _ = index.encode(x)
-            probes = index.probes(x, cell, reach)
+            cell, codes, error, radius = index.encode(x)
+            near, away = index.probes(x, cell, reach)
+            probes = [[{"to": t, "away": d} for t, d in zip(n.tolist(), a.tolist(), strict=True)] for n, a in zip(near, away, strict=True)]
+            new = [("cell", pa.int32()), ("codes", pa.binary()), ("error", pa.float64()), ("radius", pa.float64()), ("probes", pa.list_(pa.struct([("to", pa.int32()), ("away", pa.float64())])))]
+            columns = [cell, [c.tobytes() for c in codes], error, radius, probes]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(5)), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))],
-                schema=pa.schema([*(batch.schema.field(i) for i in range(5)), ("cell", pa.int32()), ("codes", pa.binary()), ("error", pa.float64()), ("probes", pa.list_(pa.int32()))]),
+                [*(batch.column(i) for i in range(5)), *(pa.array(c, k) for c, (_, k) in zip(columns, new, strict=True))],
+                schema=pa.schema([*(batch.schema.field(i) for i in range(5)), *new]),
             )
 
-    coded = materialise(classes.select("node", "label", "dim", "v", "n").mapInArrow(encode, f"node {NODE}, label long, dim int, v array<double>, n long, cell int, codes binary, error double, probes array<int>"), "coded")
-    blocks = coded.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    data = coded.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod("node.hash", "blocks").cast("int"))
-    names = {c: f"q_{c}" for c in ("node", "label", "dim", "v")}
-    asked = coded.select(*(F.col(c).alias(n) for c, n in names.items()), F.explode("probes").alias("q_cell"))
-    asked = asked.join(blocks.withColumnsRenamed({"label": "q_label", "dim": "q_dim", "cell": "q_cell"}), ["q_label", "q_dim", "q_cell"])
-    asked = asked.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    shape = f"node {NODE}, label long, dim int, v array<double>, n long, cell int, codes binary, error double, radius double, probes array<struct<to:int,away:double>>"
+    coded = materialise(classes.select("node", "label", "dim", "v", "n").mapInArrow(encode, shape), "coded")
+    blocks = coded.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("radius").alias("least"), F.max("radius").alias("most"))
+    data = coded.join(blocks.drop("least", "most"), ["label", "dim", "cell"]).withColumn("block", F.pmod("node.hash", "blocks").cast("int"))
+    # Of two lists, or two blocks of a list, one visits the other: which of them changes with their numbers' parity.
+    visits = lambda a, b: f"({a} < {b}) = (({a} + {b}) % 2 = 0)"
     at = ["label", "dim", "cell", "block"]
-    asked = asked.withColumnsRenamed({"q_node": "node", "q_label": "label", "q_dim": "dim", "q_cell": "cell", "q_v": "v"})
+    asked = data.withColumnsRenamed({"cell": "home", "block": "home_block"}).withColumn("probe", F.explode("probes"))
+    asked = asked.filter(f"probe.to = home or {visits('home', 'probe.to')}").select("node", "label", "dim", "v", "n", "home", "home_block", F.col("probe.to").alias("cell"), "probe.away")
+    asked = asked.join(blocks, ["label", "dim", "cell"]).filter(F.col("away").between(F.col("least") - reach, F.col("most") + reach))
+    asked = asked.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    asked = asked.filter(f"cell <> home or block = home_block or {visits('home_block', 'block')}")
+    asked = asked.withColumn("across", F.expr("cell <> home or block <> home_block"))
+    slices = materialise(asked.groupBy(*at).agg(F.ceil(F.count("*") / queries).cast("int").alias("slices")), "slices")
+    asked = asked.join(slices, at).withColumn("slice", F.pmod(F.xxhash64("node.hash"), "slices").cast("int"))
+    data = data.join(slices, at).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
 
     def find(queries: pa.Table, held: pa.Table) -> pa.Table:
         kind = held.schema.field("node").type
@@ -198,28 +212,33 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         if not held.num_rows or not queries.num_rows:
             return empty
         x = unit(matrix(held["v"].combine_chunks(), dim))
-        q = unit(matrix(queries["v"].combine_chunks(), dim))
+        q = unit(matrix(queries["q_v"].combine_chunks(), dim))
         codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
         i, j = search(index, held["cell"][0].as_py(), q, x, codes, np.asarray(held["error"]), cosine)
-        names = pa.concat_arrays([queries["node"].combine_chunks(), held["node"].combine_chunks()])
-        same = [(n["id"], n["label"], n["hash"]) for n in names.to_pylist()]
+        names = pa.concat_arrays([queries["q_node"].combine_chunks(), held["node"].combine_chunks()])
+        met = np.unique(np.concatenate([i, j + len(q)]))  # rows of some pair
         number: dict[tuple, int] = {}
-        vertex = np.array([number.setdefault(s, len(number)) for s in same])
+        vertex = np.zeros(len(names), np.int64)
+        vertex[met] = [number.setdefault((n["id"], n["label"], n["hash"]), len(number)) for n in names.take(pa.array(met)).to_pylist()]
         place = np.zeros(len(number), np.int64)
-        place[vertex[::-1]] = np.arange(len(same))[::-1]
-        vq, vx = vertex[: len(q)][i], vertex[len(q) :][j]
+        place[vertex[met][::-1]] = met[::-1]
+        vq, vx = vertex[:len(q)][i], vertex[len(q) :][j]
         other = vq != vx
         i, j, vq, vx = i[other], j[other], vq[other], vx[other]
-        links = np.zeros(len(q), np.int64)
-        np.add.at(links, i, np.asarray(held["n"])[j])
+        links = np.zeros(len(number), np.int64)
+        np.add.at(links, vq, np.asarray(held["n"])[j])
+        both = np.asarray(queries["q_across"])[i].astype(bool)
+        np.add.at(links, vx[both], np.asarray(queries["q_n"])[i[both]])
         root = forest(vq, vx, len(number))
         some = np.flatnonzero(root != np.arange(len(number)))
         counted = np.flatnonzero(links)
-        rows_at = np.append(counted, place[some])
-        others = np.append(counted, place[root[some]])
+        rows_at = place[np.append(counted, some)]
+        others = place[np.append(counted, root[some])]
         return pa.table({"node": names.take(pa.array(rows_at)), "links": pa.array(np.append(links[counted], np.zeros(len(some), np.int64))), "other": names.take(pa.array(others))})
 
-    found = asked.select(*at, "node", "v").groupBy(*at).cogroup(data.select(*at, "node", "v", "n", "codes", "error").groupBy(*at)).applyInArrow(find, f"node {NODE}, links long, other {NODE}")
+    at = [*at, "slice"]
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in (*at, "node", "v", "n", "across")))
+    found = asked.groupBy(*(f"q_{c}" for c in at)).cogroup(data.select(*at, "node", "v", "n", "codes", "error").groupBy(*at)).applyInArrow(find, f"node {NODE}, links long, other {NODE}")
     found = materialise(found, "links")
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b"))).select(F.col("v").alias("node"), "root")

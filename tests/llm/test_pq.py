@@ -47,7 +47,7 @@ def brute(rows):
     return sorted((ids[k], links[k], low[find(k)]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize("kw", [{}, {"list_rows": 20, "block": 10, "sample": 100}])
+@pytest.mark.parametrize("kw", [{}, {"list_rows": 20, "block": 10, "sample": 100, "queries": 7}, {"list_rows": 1000, "block": 10, "queries": 1000}])
 def test_equals_brute_force(spark, kw):
     rows = corpus()
     got = pq.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n int"), **kw).collect()
@@ -70,7 +70,7 @@ def test_recall_of_the_index_alone():
     x = pq.unit(np.repeat(base, 4, 0) + 0.05 * rng.standard_normal((1200, 32)))
     index = pq.Index(x[::3], 12)
     cell, codes, error, _ = index.encode(x)
-    probes = index.probes(x, cell, pq.reach_of(0.93))
+    probes, _ = index.probes(x, cell, pq.reach_of(0.93))
     found = set()
     for c in range(len(index.coarse)):
         q = np.array([i for i in range(len(x)) if c in probes[i]])
