@@ -20,14 +20,15 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 def consecutive(events: DataFrame) -> DataFrame:
     """(src, dst, edge_type, value, ts): each event's user and the next event's, in order of (ts, event_id).
 
-    The order is total over the table, but no task sorts it all: each day is ordered by itself and its
-    last event is stitched to the first of the next day that has any.
+    The order is total over the table, but no task sorts it all: each minute is ordered by itself and its
+    last event is stitched to the first of the next minute that has any. Tasks are dealt by minutes, and so
+    grow with the events of a minute; only the one row that each minute has in ``nxt`` is put in order as a whole.
     """
-    days = events.select("ts", "event_id", F.col("user_id").alias("src"), F.col("event_type").alias("edge_type"), "value", F.to_date("ts").alias("day"))
-    first = days.groupBy("day").agg(F.min_by("src", F.struct("ts", "event_id")).alias("first"))
-    nxt = first.select("day", F.lead("first").over(W.orderBy("day")).alias("next"))  # one row a day
-    inner = days.withColumn("dst", F.lead("src").over(W.partitionBy("day").orderBy("ts", "event_id")))
-    return inner.join(nxt, "day").select("src", F.coalesce("dst", "next").alias("dst"), "edge_type", "value", "ts")
+    parts = events.select("ts", "event_id", F.col("user_id").alias("src"), F.col("event_type").alias("edge_type"), "value", F.date_trunc("minute", "ts").alias("minute"))
+    first = parts.groupBy("minute").agg(F.min_by("src", F.struct("ts", "event_id")).alias("first"))
+    nxt = first.select("minute", F.lead("first").over(W.orderBy("minute")).alias("next"))
+    inner = parts.withColumn("dst", F.lead("src").over(W.partitionBy("minute").orderBy("ts", "event_id")))
+    return inner.join(nxt, "minute").select("src", F.coalesce("dst", "next").alias("dst"), "edge_type", "value", "ts")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
