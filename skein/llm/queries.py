@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license, mixing, omh, oracles, pii, pq, quality, suffix_dedup, toxicity, warc
+from . import align, bpe, html_text, license, mixing, omh, oracles, pii, pq, quality, repair, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -55,8 +55,20 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(files)
 
 
+def op11_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_omh": op3_omh, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_pq": op7_pq, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_license": op10_license}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_omh": op3_omh, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_pq": op7_pq, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_license": op10_license, "op11_site_tree": op11_site_tree, "op12_align": op12_align, "op13_repair": op13_repair}
 
 
 def oracle_sql() -> dict[str, str]:
