@@ -96,43 +96,49 @@ def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], label
     return now
 
 
+#: Vertices that a task holds at once while it joins the edges that it has.
+HELD_VERTICES = 1 << 18
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, root) of every vertex of the edges of one task, by union-find."""
-    kind, root, schema = None, {}, None
+    """(u, v): edges that join what the edges (u, v) of a task join, at most one a vertex for every ``HELD_VERTICES``."""
+    kind, root, value = None, {}, {}
     bare = lambda x: tuple((y is not None, y) for y in x.values()) if isinstance(x, dict) else x  # noqa: E731  the order of Spark's structs: nulls first
-    value = {}
 
     def find(x: Any) -> Any:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
+    def left() -> Iterator[pa.RecordBatch]:
+        out = [x for x in root if find(x) != x]
+        for at in range(0, len(out), 100_000):
+            part = out[at : at + 100_000]
+            columns = [[value.get(x, x) for x in part], [value.get(x, x) for x in map(find, part)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names=["u", "v"])
+        root.clear()
+        value.clear()
+
     for batch in batches:
-        schema = schema or pa.schema([("v", batch.schema.field(0).type), ("root", batch.schema.field(0).type)])
-        kind = schema.field(0).type
+        kind = batch.schema.field(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = bare(a), bare(b)
             if isinstance(a, dict):
                 value[x], value[y] = a, b
             x, y = find(root.setdefault(x, x)), find(root.setdefault(y, y))
             root[max(x, y)] = min(x, y)
-    out = list(root)
-    for at in range(0, len(out), 100_000):
-        part = out[at : at + 100_000]
-        columns = [[value.get(x, x) for x in part], [value.get(x, x) for x in map(find, part)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], schema=schema)
-
-
-#: Edges that one task joins by union-find; more of them take rounds of shuffles, with the same result.
-TASK_EDGES = 1 << 20
+        if len(root) > HELD_VERTICES:
+            yield from left()
+    if root:
+        yield from left()
 
 
-def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex of each connected component, for every vertex of ``edges`` (a, b).
 
-    Alternates two steps on the edges until nothing changes, or few enough are left for one task: every vertex hands
-    the smallest of its neighbours to the larger ones, then to the smaller ones. Both keep components whole, and halve
-    distances, so rounds grow as a logarithm. Vertices may have any ordered type.
+    Every task first thins out the edges that it has to a forest. Then two steps alternate until nothing changes: every
+    vertex hands the smallest of its neighbours to the larger ones, then to the smaller ones. Both keep components whole,
+    and halve distances, so rounds grow as a logarithm. Vertices may have any ordered type.
     """
 
     def step(now: DataFrame) -> DataFrame:
@@ -143,14 +149,8 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         return small.filter("u <> v").distinct()
 
-    start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, (n, _), path = written(start, "edges")
-    if n > task_edges:
-        old, now = path, until_stable(now, step, "edges")
-        discard(edges.sparkSession, old)
-        found = now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        return found.unionByName(found.select(F.col("root").alias("v"), "root").distinct())
+    start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     kind = start.schema["u"].dataType.simpleString()
-    found, _, _ = written(now.coalesce(1).mapInArrow(_forest, f"v {kind}, root {kind}"), "roots")
-    discard(edges.sparkSession, path)
-    return found
+    now = until_stable(start.mapInArrow(_forest, f"u {kind}, v {kind}").distinct(), step, "edges")
+    found = now.select(F.col("u").alias("v"), F.col("v").alias("root"))
+    return found.unionByName(found.select(F.col("root").alias("v"), "root").distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..lineage import components, materialise, written
-from . import compact as C
+from . import reach as R
 
 DAMPING, ROUNDS = 0.85, 20
 
@@ -28,27 +28,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
-def held(edges: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """(distinct edges as a table, whether they are few enough for one task)."""
-    pairs, (n, _), _ = written(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "pairs")
-    return pairs, n <= most
+def distinct_pairs(edges: DataFrame) -> DataFrame:
+    """The distinct edges between known ends, as a table."""
+    return materialise(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "pairs")
 
 
-def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, most: int = C.MOST_EDGES) -> DataFrame:
-    """(id, centrality): ranks after a fixed number of rounds, divided by the largest; dangling mass is dropped."""
-    pairs, few = held(edges, most)
-    if few:
-        return C.pagerank(pairs, damping, rounds)
+def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(id, centrality): ranks after a fixed number of rounds, divided by the largest; dangling mass is dropped.
+
+    The links lie dealt by their source while rounds run, so a round is one join in place and one shuffle of sums.
+    """
+    pairs = distinct_pairs(edges)
     all_nodes = materialise(nodes(pairs), "nodes")
     n = all_nodes.count()
-    out = pairs.groupBy("src").agg(F.count("*").alias("out"))
-    links = materialise(pairs.join(out, "src"), "links")
-    ranks = all_nodes.withColumn("rank", F.lit(1.0 / n))
+    share = pairs.groupBy("src").agg((1.0 / F.count("*")).alias("share"))
+    links = materialise(pairs.join(share, "src"), "links").repartition("src").persist()
+    zero = all_nodes.select("id", F.lit(0.0).alias("given"))
+    ranks = all_nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
     for i in range(rounds):
-        given = links.join(ranks, links.src == ranks.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        ranks = all_nodes.join(given, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4:
+        given = links.join(ranks, links.src == ranks.id).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("given"))
+        ranks = given.unionByName(zero).groupBy("id").agg((F.lit((1 - damping) / max(1, n)) + damping * F.sum("given")).alias("rank"))
+        if i % 10 == 9 or i == rounds - 1:
             ranks = materialise(ranks, "ranks")
+    links.unpersist()
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.join(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(0.0).alias("centrality"))  # one row
 
@@ -60,20 +62,16 @@ def dependency_metrics(edges: DataFrame) -> DataFrame:
     return d.select("id", "fan_in", "fan_out", *(F.round(c, 4).alias(c) for c in ("instability", "spof_score", "centrality")))
 
 
-def bfs(edges: DataFrame, start: DataFrame, max_depth: int | None = None, most: int = C.MOST_EDGES) -> DataFrame:
+def bfs(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, id, level): the least level at which each node is reached from each root of ``start`` (id)."""
-    pairs, few = held(edges, most)
-    if few:
-        return C.bfs(pairs, start, max_depth)
-    frontier = materialise(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("level")).distinct(), "level")
+    pairs = distinct_pairs(edges)
+    frontier, (n, _), _ = written(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("level")).distinct(), "level")
     seen, depth = frontier, 0
-    while max_depth is None or depth < max_depth:
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
         step = frontier.join(pairs, frontier.id == pairs.src).select("root", F.col("dst").alias("id")).distinct()
-        frontier = materialise(step.join(seen, ["root", "id"], "left_anti").withColumn("level", F.lit(depth)), "level")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)  # a table of each level, none is written twice
+        frontier, (n, _), _ = written(step.join(seen, ["root", "id"], "left_anti").withColumn("level", F.lit(depth)), "level")
+        seen = seen.unionByName(frontier) if n else seen  # a table of each level, none is written twice
     return seen
 
 
@@ -85,35 +83,83 @@ def neighbourhood(edges: DataFrame, start: DataFrame, max_depth: int = 2, max_no
 
 
 def closure_sizes(edges: DataFrame) -> DataFrame:
-    """(root, reached): how many nodes each node with an edge reaches in one step or more; itself counts on a cycle."""
-    pairs = materialise(edges.select("src", "dst").distinct(), "pairs")
-    levels = materialise(bfs(pairs, nodes(pairs)), "levels")
-    others = levels.filter("level > 0").select("root", "id")
-    back = levels.join(pairs, (levels.id == pairs.src) & (levels.root == pairs.dst)).select("root", F.col("root").alias("id")).distinct()
-    return others.unionByName(back).groupBy("root").agg(F.count("*").alias("reached"))
+    """(root, reached): how many nodes each node with an edge reaches in one step or more; itself counts on a cycle.
+
+    By condensation (``reach``): no pair of nodes is built.
+    """
+    pairs = distinct_pairs(edges)
+    on_cycle = pairs.filter("src = dst").select("src").distinct()
+    found = R.reached(pairs, strong_components(pairs))
+    # A node of a component of two or more reaches itself; a single one does by an edge to itself.
+    own = F.col("component_size") > 1
+    rows = found.join(on_cycle.select(F.col("src").alias("root"), F.lit(1).alias("loop")), "root", "left")
+    total = F.col("others") + F.when(own | F.col("loop").isNotNull(), 1).otherwise(0)
+    return rows.select("root", total.alias("reached")).filter("reached > 0")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, distance, path) of each pair, edges taken both ways; the lexicographically least of shortest paths.
 
-    One path per reached node travels with the frontier, the least among those of its length.
+    Searches from both ends, each time from the side with the smaller front, until the two meet or one ends. Levels are
+    (pair, node) rows without paths; one path a pair is then walked through the levels, at each step to the least node
+    that lies on a shortest path.
     """
-    both = materialise(edges.select("src", "dst").unionByName(reverse(edges)).distinct(), "edges")
-    starts = pairs.select("a").distinct()
-    seen = materialise(starts.select("a", F.col("a").alias("id"), F.array(F.col("a")).alias("path")), "paths")
-    frontier, hops = seen, 0
-    while max_hops is None or hops < max_hops:
-        hops += 1
-        step = frontier.join(both, frontier.id == both.src).select("a", F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
-        step = step.groupBy("a", "id").agg(F.min("path").alias("path"))
-        frontier = materialise(step.join(seen.select("a", "id"), ["a", "id"], "left_anti"), "paths")
-        if frontier.isEmpty():
+    both = distinct_pairs(edges.unionByName(reverse(edges)))
+    asked = materialise(pairs.select("a", "b").distinct(), "asked")
+    sides = {s: [materialise(asked.select("a", "b", F.col(s).alias("id")), "front")] for s in ("a", "b")}
+    size = {"a": asked.count(), "b": asked.count()}
+    met, key = None, ["a", "b"]
+    while True:
+        # Pairs that have met are settled at the least depth, as both searches go level by level.
+        now = sides["a"][-1].join(sides["b"][-1], [*key, "id"], "left_semi").select(*key).distinct()
+        now = materialise(now.withColumns({"p": F.lit(len(sides["a"]) - 1), "q": F.lit(len(sides["b"]) - 1)}), "met")
+        met = now if met is None else met.unionByName(now)
+        if not min(size.values()):
             break
-        seen = seen.unionByName(frontier)
-        if pairs.join(seen.withColumnRenamed("id", "b"), ["a", "b"], "left_anti").isEmpty():
+        grow = min(size, key=lambda s: (size[s], s))
+        open_pairs = sides[grow][-1].join(met.select(*key), key, "left_anti")
+        step = open_pairs.join(both, open_pairs.id == both.src).select(*key, F.col("dst").alias("id")).distinct()
+        for old in sides[grow]:
+            step = step.join(old, [*key, "id"], "left_anti")
+        front, (size[grow], _), _ = written(step, "front")
+        sides[grow].append(front)
+    met = materialise(met, "met")
+    # Nodes of the first half that lie on a shortest path, from the meeting level back to the start.
+    deepest = len(sides["a"]) - 1
+    on_path: dict[int, DataFrame] = {}
+    above = None
+    for level in range(deepest, -1, -1):
+        here = sides["a"][level]
+        meets = here.join(met.filter(F.col("p") == level).select(*key, "q"), key)
+        ends = None
+        for q, front in enumerate(sides["b"]):
+            one = meets.filter(F.col("q") == q).join(front, [*key, "id"], "left_semi").select(*key, "id")
+            ends = one if ends is None else ends.unionByName(one)
+        if above is not None:
+            before = above.join(both, above.id == both.src).select(*key, F.col("dst").alias("id"))
+            ends = ends.unionByName(here.join(before.distinct(), [*key, "id"], "left_semi"))
+        above = on_path[level] = materialise(ends.distinct(), "on_path")
+    # One step of all walks at a time: first along the levels of a, then down those of b.
+    walk = materialise(met.withColumns({"at": F.col("a"), "path": F.array("a")}), "walk")
+    done = None
+    for step in range(len(sides["a"]) + len(sides["b"])):
+        over = walk.filter(F.col("p") + F.col("q") == step)
+        done = over if done is None else done.unionByName(over)
+        walk = walk.filter(F.col("p") + F.col("q") > step)
+        to = [on_path[step + 1].withColumns({"q": F.lit(None).cast("int")})] if step + 1 in on_path else []
+        to += [front.withColumn("q", F.lit(q)) for q, front in enumerate(sides["b"])]
+        known = to[0]
+        for more in to[1:]:
+            known = known.unionByName(more)
+        known = known.select(F.col("a").alias("ka"), F.col("b").alias("kb"), F.col("id").alias("next"), F.col("q").alias("kq"))
+        near = walk.join(both, walk["at"] == both.src).select(*walk.columns, F.col("dst").alias("next"))
+        left = near.p + near.q - step - 1  # levels of b that remain behind the next node
+        fits = F.when(near.p > step, known.kq.isNull()).otherwise(known.kq == left)
+        best = near.join(known, (near.a == known.ka) & (near.b == known.kb) & (near.next == known.next) & fits).groupBy(*key, "p", "q", "path").agg(F.min(near.next).alias("at"))
+        walk, (n, _), _ = written(best.select(*key, "p", "q", "at", F.array_append("path", F.col("at")).alias("path")), "walk")
+        if not n:
             break
-    out = pairs.join(seen.withColumnRenamed("id", "b"), ["a", "b"], "left")
-    return out.select("a", "b", (F.size("path") - 1).alias("distance"), "path")
+    return pairs.join(done.select(*key, "path"), key, "left").select("a", "b", (F.size("path") - 1).alias("distance"), "path")
 
 
 def weak_components(edges: DataFrame, min_size: int = 1) -> DataFrame:
@@ -123,41 +169,40 @@ def weak_components(edges: DataFrame, min_size: int = 1) -> DataFrame:
     return found.join(sizes, "component").select("id", "component", "size")
 
 
-def strong_components(edges: DataFrame, most: int = C.MOST_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of strongly connected components of two nodes or more, by forward colouring.
 
-    Each round spreads the largest id along the edges as a colour; the nodes of a colour from which its
-    own node can be reached backwards within the colour are a component. They leave, and the rest goes on.
-    Edges whose ends differ in colour can lie in no component and leave too.
+    Nodes that no edge enters or leaves are in no component and go first. Then each round spreads the largest id along
+    the edges as a colour; the nodes of a colour from which its own node can be reached backwards within the colour are
+    a component. They leave, and the rest goes on. Edges whose ends differ in colour can lie in no component and leave too.
     """
-    left, few = held(edges.filter("src <> dst"), most)
-    if few:
-        return C.strong_components(left)
-    found = None
-    while not left.isEmpty():
-        colour = materialise(nodes(left).withColumn("colour", F.col("id")), "colour")
+    found, left = None, edges.filter("src <> dst and src is not null and dst is not null").select("src", "dst").distinct()
+    while True:
+        for _ in range(2):
+            left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        left, (n, _), _ = written(left, "scc")
+        if not n:
+            break
+        colour, state, _ = written(nodes(left).withColumn("colour", F.col("id")), "colour")
         while True:
             spread = left.join(colour, left.src == colour.id).select(F.col("dst").alias("id"), "colour").unionByName(colour)
-            new = materialise(spread.groupBy("id").agg(F.max("colour").alias("colour")), "colour")
-            changed = new.join(colour, ["id", "colour"], "left_anti")
-            stop = changed.isEmpty()
-            colour = new
-            if stop:
+            before = state
+            colour, state, _ = written(spread.groupBy("id").agg(F.max("colour").alias("colour")), "colour")
+            if state == before:
                 break
         a, b = colour.select(F.col("id").alias("src"), F.col("colour").alias("c1")), colour.select(F.col("id").alias("dst"), F.col("colour").alias("c2"))
         inside = materialise(left.join(a, "src").join(b, "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")), "inside")
-        reached = materialise(inside.select(F.col("colour").alias("id"), "colour").distinct(), "reached")
-        frontier = reached
-        while True:
-            step = frontier.join(inside.select(F.col("dst").alias("id"), "colour", "src"), ["id", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
-            frontier = materialise(step.join(reached, ["id", "colour"], "left_anti"), "reached")
-            if frontier.isEmpty():
-                break
-            reached = materialise(reached.unionByName(frontier), "reached")
+        back = inside.select(F.col("dst").alias("id"), "colour", "src")
+        frontier, (n, _), _ = written(inside.select(F.col("colour").alias("id"), "colour").distinct(), "reached")
+        reached = frontier
+        while n:
+            step = frontier.join(back, ["id", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
+            frontier, (n, _), _ = written(step.join(reached, ["id", "colour"], "left_anti"), "reached")
+            reached = reached.unionByName(frontier) if n else reached
         found = reached if found is None else found.unionByName(reached)
         ids = reached.select("id")
-        rest = inside.join(ids, inside.src == ids.id, "left_anti").join(ids, inside.dst == ids.id, "left_anti")
-        left = materialise(rest.select("src", "dst"), "scc")
+        left = inside.join(ids, inside.src == ids.id, "left_anti").join(ids, inside.dst == ids.id, "left_anti").select("src", "dst")
     if found is None:
         return nodes(edges).limit(0).withColumn("component", F.col("id"))
     named = found.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("n")).filter("n > 1")
@@ -171,11 +216,19 @@ def two_cycles(edges: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(root, direct, transitive, fan_out, risk): dependents of each root (of every node) along reversed edges."""
-    pairs = edges.select("src", "dst").distinct()
-    start = nodes(pairs) if start is None else start
-    levels = bfs(reverse(pairs), start)
-    counts = levels.groupBy("root").agg(F.count_if(F.col("level") == 1).alias("direct"), F.count_if(F.col("level") > 1).alias("transitive"))
+    """(root, direct, transitive, fan_out, risk): dependents of each root (of every node) along reversed edges.
+
+    Of every node, dependents are counted by condensation; of given roots, by a search.
+    """
+    pairs = distinct_pairs(edges)
+    if start is None:
+        start = nodes(pairs)
+        direct = pairs.filter("src <> dst").groupBy(F.col("dst").alias("root")).agg(F.count("*").alias("direct"))
+        counts = R.reached(reverse(pairs), strong_components(pairs)).join(direct, "root", "left")
+        counts = counts.select("root", F.coalesce("direct", F.lit(0)).alias("direct"), (F.col("others") - F.coalesce("direct", F.lit(0))).alias("transitive"))
+    else:
+        levels = bfs(reverse(pairs), start)
+        counts = levels.groupBy("root").agg(F.count_if(F.col("level") == 1).alias("direct"), F.count_if(F.col("level") > 1).alias("transitive"))
     out = pairs.join(start, pairs.src == start.id).groupBy(F.col("src").alias("root")).agg(F.count("*").alias("fan_out"))
     return counts.join(out, "root", "left").select("root", "direct", "transitive", F.coalesce("fan_out", F.lit(0)).alias("fan_out"), S.risk_class(F.col("direct")).alias("risk"))
 

@@ -72,12 +72,16 @@ def neighborhood(spark, d):
 
 
 @query(
-    RECURSIVE + f", {BOTH}, " + LEVELS.format(root=ROOT, edges="both_ways", depth=12) + " SELECT (SELECT min(src) FROM graph) AS a, t.b, (SELECT min(level) FROM lv WHERE id = t.b) AS distance FROM (SELECT max(dst) AS b FROM graph) t"
+    RECURSIVE
+    + f""", {BOTH}, {LEVELS.format(root="(SELECT max(dst) FROM graph)", edges="both_ways", depth=12)}, far AS (SELECT id, min(level) AS level FROM lv GROUP BY id),
+    ends AS (SELECT min(src) AS a, max(dst) AS b FROM graph),
+    walk(at, path, level) AS (SELECT a, [a], level FROM ends JOIN far ON id = a UNION ALL SELECT m, list_append(path, m), level - 1 FROM (
+      SELECT path, walk.level, min(dst) AS m FROM walk JOIN both_ways ON src = at JOIN far ON id = dst AND far.level = walk.level - 1 GROUP BY path, walk.level))
+    SELECT a, b, len(path) - 1 AS distance, path FROM ends LEFT JOIN walk ON level = 0"""
 )
 def shortest_path(spark, d):
     e = V.pairs(spark, d)
-    ends = e.agg(F.min("src").alias("a"), F.max("dst").alias("b"))
-    return G.shortest_paths(e, ends, 12).select("a", "b", "distance")
+    return G.shortest_paths(e, e.agg(F.min("src").alias("a"), F.max("dst").alias("b"))).select("a", "b", "distance", "path")
 
 
 @query(
@@ -121,7 +125,7 @@ AXIS = V.with_views("steps", "edges").replace("WITH ", "WITH RECURSIVE ", 1)
 AXES = {"call_graph": ("purchase", 0.75), "class_hierarchy": ("view", 0.9), "import_graph": ("error", 0.95)}
 
 
-def blast_sql(depth: int = 2) -> str:
+def blast_sql(depth: int = 5) -> str:
     """One recursion for each axis, then the rules of the summary."""
     out, rows = AXIS, []
     for i, (name, (kind, c)) in enumerate(sorted(AXES.items())):
@@ -140,7 +144,7 @@ def blast_radius(spark, d):
     """What three kinds of edges reach backwards from one node."""
     e = V.edges(spark, d)
     axes = {name: (e.filter(F.col("edge_type") == kind).select("src", "dst"), c) for name, (kind, c) in AXES.items()}
-    return G.blast_radius(axes, spark.createDataFrame([(5,)], "id long"), 2)
+    return G.blast_radius(axes, spark.createDataFrame([(5,)], "id long"))
 
 
 @query(
@@ -151,7 +155,7 @@ def blast_reasons(spark, d):
     """Each thing that the root affects, with the kinds of edges that reach it."""
     e = V.edges(spark, d)
     axes = {name: (e.filter(F.col("edge_type") == kind).select("src", "dst"), c) for name, (kind, c) in AXES.items()}
-    return G.reached_by(axes, spark.createDataFrame([(5,)], "id long"), 2).groupBy("root", "id").agg(F.array_sort(F.collect_set("axis")).alias("reasons"))
+    return G.reached_by(axes, spark.createDataFrame([(5,)], "id long"), 5).groupBy("root", "id").agg(F.array_sort(F.collect_set("axis")).alias("reasons"))
 
 
 @query(V.with_views("steps", "edges") + "SELECT 'in' AS way, src AS other, count(*) AS n FROM edges WHERE dst = 9 GROUP BY src UNION ALL SELECT 'out', dst, count(*) FROM edges WHERE src = 9 GROUP BY dst")

@@ -22,12 +22,13 @@ def test_superseded_tables_are_deleted(spark):
     assert len({f for f in os.listdir(folder) if f.startswith("gone-")} - before) == 1
 
 
-def test_components_of_a_long_path_a_star_and_nothing(spark):
+def test_components_of_a_long_path_a_star_and_nothing(spark, monkeypatch):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 101 + i) for i in range(200)]
     df = spark.createDataFrame([*path, *star, (7, 7), (999, 999)], "a long, b long")
-    for task_edges in (lineage.TASK_EDGES, 0):  # in one task, and by rounds of shuffles
-        found = {r.v: r.root for r in lineage.components(df, task_edges).collect()}
+    for held in (1 << 18, 1):  # whole partitions thinned out, and hardly any
+        monkeypatch.setattr(lineage, "HELD_VERTICES", held)
+        found = {r.v: r.root for r in lineage.components(df.repartition(5)).collect()}
         assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(201)}
     assert lineage.components(df.limit(0)).count() == 0
     text = spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")
@@ -36,8 +37,7 @@ def test_components_of_a_long_path_a_star_and_nothing(spark):
 
 def test_components_of_structs_order_nulls_first(spark):
     df = spark.sql("select named_struct('x', 2L, 'y', 5L) a, named_struct('x', 2L, 'y', cast(null as bigint)) b union all select named_struct('x', 1L, 'y', 9L), named_struct('x', 2L, 'y', 5L)")
-    for task_edges in (lineage.TASK_EDGES, 0):
-        assert {(r.v.x, r.v.y): (r.root.x, r.root.y) for r in lineage.components(df, task_edges).collect()} == {(1, 9): (1, 9), (2, 5): (1, 9), (2, None): (1, 9)}
+    assert {(r.v.x, r.v.y): (r.root.x, r.root.y) for r in lineage.components(df).collect()} == {(1, 9): (1, 9), (2, 5): (1, 9), (2, None): (1, 9)}
 
 
 def test_fresh_names_and_scratch_tables(spark):

@@ -54,17 +54,55 @@ def test_graph_neighbourhood_and_paths(spark, chain):
     assert {(r.root, r.reached) for r in graph.closure_sizes(chain).collect()} == {("s1", 3), ("s2", 2), ("s5", 1)}
 
 
-def test_compact_graphs_equal_the_joins(spark):
+def reach_of(edges, root):
+    seen, front, depth = {root: 0}, {root}, 0
+    while front:
+        depth += 1
+        front = {b for a, b in edges if a in front and b not in seen}
+        seen |= dict.fromkeys(front, depth)
+    return seen
+
+
+def test_graphs_against_plain_python(spark):
     rng = np.random.default_rng(6)
-    e = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (90, 2))] + [("n1", None)]
+    e = [(f"n{a:02}", f"n{b:02}") for a, b in rng.integers(0, 60, (75, 2))] + [("n01", None), (None, "n02"), ("n03", "n03")]
     df = spark.createDataFrame(e, "src string, dst string")
-    start = spark.createDataFrame([("n1",), ("n2",), ("gone",), ("n2",)], "id string")
-    rows = lambda out: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.collect())
-    for f in (lambda most: graph.bfs(df, start, None, most), lambda most: graph.bfs(df, start, 2, most), lambda most: graph.pagerank(df, most=most), lambda most: graph.strong_components(df, most)):
-        few, many = rows(f(10**6)), rows(f(0))
-        assert few == many and few
+    edges = {x for x in e if None not in x}
+    nodes = {x for p in edges for x in p}
+    start = spark.createDataFrame([("n01",), ("n02",), ("gone",), ("n02",)], "id string")
+    for most in (None, 2):
+        want = {(r, x, n) for r in ("n01", "n02", "gone") for x, n in reach_of(edges, r).items() if most is None or n <= most}
+        assert {tuple(r) for r in graph.bfs(df, start, most).collect()} == want
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(graph.ROUNDS):
+        given = dict.fromkeys(nodes, 0.0)
+        for a, b in edges:
+            given[b] += rank[a] / sum(x == a for x, _ in edges)
+        rank = {v: 0.15 / len(nodes) + 0.85 * given[v] for v in nodes}
+    got = {r.id: r.centrality for r in graph.pagerank(df).collect()}
+    assert got == pytest.approx({v: x / max(rank.values()) for v, x in rank.items()})
+    every = {v: reach_of(edges, v) for v in nodes}
+    sizes = {v: len(every[v]) - 1 + any((x, v) in edges for x in every[v]) for v in nodes}
+    assert {r.root: r.reached for r in graph.closure_sizes(df).collect()} == {v: n for v, n in sizes.items() if n}
     nothing = df.limit(0)
-    assert graph.pagerank(nothing).count() == 0 and graph.strong_components(nothing).count() == 0 and rows(graph.bfs(nothing, start)) == [("gone", "gone", 0), ("n1", "n1", 0), ("n2", "n2", 0)]
+    assert graph.pagerank(nothing).count() == graph.strong_components(nothing).count() == graph.closure_sizes(nothing).count() == graph.impact(nothing).count() == 0
+    assert sorted(tuple(r) for r in graph.bfs(nothing, start).collect()) == [("gone", "gone", 0), ("n01", "n01", 0), ("n02", "n02", 0)]
+
+
+def test_shortest_paths_against_plain_python(spark):
+    rng = np.random.default_rng(3)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 40, (45, 2))] + [(100, 101)]
+    both = {x for a, b in e for x in ((a, b), (b, a))}
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 42, (40, 2))] + [(0, 100), (100, 101)]
+    got = {(r.a, r.b): (r.distance, r.path) for r in graph.shortest_paths(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame(pairs, "a long, b long")).collect()}
+    for a, b in set(pairs):
+        far, path = reach_of(both, b), [a]
+        if a not in far:
+            assert got[a, b] == (None, None)
+            continue
+        while path[-1] != b:
+            path.append(min(y for x, y in both if x == path[-1] and far.get(y) == far[path[-1]] - 1))
+        assert got[a, b] == (far[a], path)
 
 
 def test_a_long_path_is_found_whole(spark):
