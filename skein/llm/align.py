@@ -19,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,6 +54,44 @@ def byte_table(path: str) -> dict[int, bytes]:
     return out
 
 
+#: Characters that every edition of Unicode classes alike; texts of these alone are split by the fast pattern.
+SETTLED = re.compile("[^\\x00-\u024f]")
+#: How byte-level vocabularies split texts (a fixed value).
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_level(path: str, table: dict[int, bytes]) -> Callable[[str], list[int]]:
+    """Ids of space + text by a byte-level file. Where ids follow the order of merges, a faster encoder of the same ranks
+    serves the texts whose characters leave no doubt about the split."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    model = tokenizers.Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    model.no_truncation()
+    model.no_padding()
+    slow = lambda text: model.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in parts["model"]["merges"]]
+    plain = {"normalizer": None, "pre_tokenizer": ("ByteLevel", False, True)} == {"normalizer": parts.get("normalizer"), "pre_tokenizer": tuple((parts.get("pre_tokenizer") or {}).get(k, True) for k in ("type", "add_prefix_space", "use_regex"))}
+    if not plain or any(parts["model"]["vocab"].get("".join(m)) != 256 + i for i, m in enumerate(merges)):
+        return slow
+    import tiktoken
+
+    ranks = {table[i]: i for i in range(256 + len(merges))}
+    fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: slow(text) if SETTLED.search(text) else fast.encode_ordinary(" " + text)
+
+
+def by_pieces(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text by a piece model."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda text: model.encode(text, num_threads=1)
+
+
 class Side:
     """One tokenizer with the bytes of its ids."""
 
@@ -60,20 +99,10 @@ class Side:
         table = byte_table(path)
         self.bytes = [table.get(i, b"") for i in range(max(table) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        if path.endswith(".json"):
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            import tokenizers
-
-            model = tokenizers.Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-            model.no_truncation()
-            model.no_padding()
-            self.encode = lambda text: model.encode(" " + text, add_special_tokens=False).ids
-        else:
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda text: model.encode(text, num_threads=1)
+        #: The narrowest type that holds the ids, and each id as text in front of a comma, a bar and a semicolon.
+        self.kind = np.uint16 if len(self.bytes) <= 1 << 16 else np.uint32
+        self.text = np.array([f"{i}{mark}" for i in range(len(self.bytes)) for mark in ",|;"], object)
+        self.encode = byte_level(path, table) if path.endswith(".json") else by_pieces(path)
 
     def ids(self, text: str, whole: bytes) -> list[int] | None:
         """Ids of a text, or None if their bytes are not ``whole``."""
@@ -116,7 +145,7 @@ def events(docs: DataFrame, paths: tuple[str, str] | None = None, key: str = "do
                     found = [s.ids(value, whole) if value else None for s in both]
                     good = all(x is not None for x in found)
                     for k, s in enumerate(both):
-                        ids = np.array(found[k] if good else [], np.int32)
+                        ids = np.array(found[k] if good else [], s.kind)
                         ends = np.cumsum(s.lengths[ids])
                         n = max(1, -(-len(whole) // window)) if good else 1
                         # An end at a window's last byte belongs to it: windows are (w * size, (w + 1) * size].
@@ -139,56 +168,66 @@ class Sweep:
     """The pass over one document's windows: the open tokens, the open group and running figures."""
 
     def __init__(self, sides: list[Side]) -> None:
-        self.lengths = [s.lengths for s in sides]
+        self.sides = sides
         self.n = [0, 0]
         self.groups = self.links = 0
-        self.hash, self.any = hashlib.sha256(), False
+        self.hash = hashlib.sha256()
         self.waiting: list[list[np.ndarray]] = [[], []]  # ids of the group that is open
-
-    def window(self, runs: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
-        """Take a window's run (ids, at, carry) of each side; give its links as rows (A id, B id)."""
-        ends = [at + np.cumsum(length[ids]) for (ids, at, _), length in zip(runs, self.lengths, strict=True)]
-        every = np.union1d(*ends)
+        self.ended = ""  # the last group's text, held back for the mark behind it
+
+    def window(self, runs: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
+        """Take a window's run (ids, at, carry) of each side; give the A ids and B ids of its links."""
+        ends = [at + np.cumsum(s.lengths[ids]) for (ids, at, _), s in zip(runs, self.sides, strict=True)]
+        every = np.concatenate(ends)
+        every.sort()
+        same = every[1:] == every[:-1]
+        both = every[1:][same]
+        every = np.concatenate((every[:1], every[1:][~same]))
         pairs = []
         for (ids, _, carry), own, k in zip(runs, ends, (A, B), strict=True):
             self.n[k] += len(ids)
-            pairs.append(np.append(ids, carry)[np.searchsorted(own, every)])
-        both = np.intersect1d(*ends, assume_unique=True)
+            pairs.append(np.append(ids.astype(np.int64), carry)[np.searchsorted(own, every)])
         self.links += len(every)
         self.groups += len(both)
-        cuts = [np.searchsorted(own, both, side="right") for own in ends]
-        text = []
         if len(both):
-            for k in (A, B):
-                self.waiting[k].append(runs[k][0][: cuts[k][0]])
-            text.append("|".join(",".join(map(str, np.concatenate(self.waiting[k]).tolist())) for k in (A, B)))
-            text += self.inner([runs[k][0][cuts[k][0] : cuts[k][-1]] for k in (A, B)], [cuts[k][1:] - cuts[k][0] for k in (A, B)])
+            cuts = [np.searchsorted(own, both, side="right") for own in ends]
+            # The group that was open takes what comes up to the first common end.
+            head = [len(w) for w in map(np.concatenate, ([*self.waiting[k], runs[k][0][:0]] for k in (A, B)))]
+            ids = [np.concatenate([*self.waiting[k], runs[k][0][: cuts[k][-1]]]) for k in (A, B)]
+            cuts_here = [c + h for c, h in zip(cuts, head, strict=True)]
+            self.hash.update(self.ended.encode())
+            text = self.told(ids, cuts_here)
+            self.hash.update(text[:-1].encode())
+            self.ended = ";"
             self.waiting = [[runs[k][0][cuts[k][-1] :]] for k in (A, B)]
-            self.hash.update(((";" if self.any else "") + ";".join(text)).encode())
-            self.any = True
         else:
             for k in (A, B):
                 self.waiting[k].append(runs[k][0])
-        return np.column_stack(pairs)
-
-    @staticmethod
-    def inner(ids: list[np.ndarray], cuts: list[np.ndarray]) -> list[str]:
-        """Groups that lie within a window, as text: each side's ids joined by commas, the sides by a bar."""
-        a, b = (list(map(str, x.tolist())) for x in ids)
-        out, i, j = [], 0, 0
-        for m, n in zip(*(c.tolist() for c in cuts), strict=True):
-            left = a[i] if m - i == 1 else ",".join(a[i:m])
-            out.append(f"{left}|{b[j]}" if n - j == 1 else f"{left}|{','.join(b[j:n])}")
-            i, j = m, n
-        return out
+        return pairs
+
+    def told(self, ids: list[np.ndarray], cuts: list[np.ndarray]) -> str:
+        """Whole groups as text: the A ids of each, then its B ids. A token's place follows from the groups before it."""
+        before = [np.concatenate(([0], c[:-1])) for c in cuts]
+        out = np.empty(len(ids[A]) + len(ids[B]), object)
+        for k, mark, shift in ((A, 1, before[B]), (B, 2, cuts[A])):
+            place = np.arange(len(ids[k])) + np.repeat(shift, cuts[k] - before[k])
+            which = ids[k].astype(np.int64) * 3
+            which[cuts[k] - 1] += mark
+            out[place] = self.sides[k].text[which]
+        return "".join(out.tolist())
 
     def digest(self) -> str:
-        return self.hash.hexdigest() if self.any else ""
+        return self.hash.hexdigest() if self.groups else ""
 
 
 PARTS = "chunk long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, distinct binary, sums binary"
 
 
+def pair_kind(sides: list[Side]) -> type:
+    """The narrowest type that holds a pair of ids."""
+    return np.uint32 if len(sides[A].bytes) * len(sides[B].bytes) <= 1 << 32 else np.int64
+
+
 def swept(sorted_events: DataFrame, kind: str, width: int, paths: tuple[str, str] | None = None, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     """(key, row, *PARTS): the figures of each document and its links in parts, from events in order of document and
     offset. A part has its id pairs (A id * ``width`` + B id) and how often each; the figures stand on a document's last
@@ -198,6 +237,7 @@ def swept(sorted_events: DataFrame, kind: str, width: int, paths: tuple[str, str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [side(p) for p in paths or default_paths()]
         chunk = TaskContext.get().partitionId() << 32
+        kind_of_pairs = pair_kind(both)
         out: list[tuple] = []
         asked: list[np.ndarray] = []  # distinct pairs of the parts of the chunk
         times: list[np.ndarray] = []
@@ -215,7 +255,7 @@ def swept(sorted_events: DataFrame, kind: str, width: int, paths: tuple[str, str
             if asked:
                 distinct, inverse = np.unique(np.concatenate(asked), return_inverse=True)
                 sums = np.bincount(inverse, np.concatenate(times)).astype(np.int64)
-                out.append((None, None, chunk, None, None, None, None, None, None, None, distinct.tobytes(), sums.tobytes()))
+                out.append((None, None, chunk, None, None, None, None, None, None, None, distinct.astype(np.int64).tobytes(), sums.tobytes()))
                 weight += len(distinct)
             chunk, n_links, asked, times = chunk + 1, 0, [], []
 
@@ -223,7 +263,7 @@ def swept(sorted_events: DataFrame, kind: str, width: int, paths: tuple[str, str
             nonlocal n_links, weight
             pairs, counts = np.unique(np.concatenate(links) if links else np.empty(0, np.int64), return_counts=True)
             figures = (*sweep.n, sweep.groups, sweep.links, sweep.digest()) if last else (None,) * 5
-            out.append((key, row, chunk, *figures, pairs.tobytes(), counts.astype(np.int32).tobytes(), None, None))
+            out.append((key, row, chunk, *figures, pairs.astype(kind_of_pairs).tobytes(), counts.astype(np.int32).tobytes(), None, None))
             n_links, weight = n_links + int(counts.sum()), weight + len(pairs) + 16
             asked.append(pairs)
             times.append(counts)
@@ -234,13 +274,13 @@ def swept(sorted_events: DataFrame, kind: str, width: int, paths: tuple[str, str
         for batch in batches:
             key_kind = batch.schema.field(0).type
             for key, row, k, at, ids, carry, last in zip(*(batch.column(i).to_pylist() for i in (0, 2, 4, 5, 6, 7, 8)), strict=True):
-                held.append((np.frombuffer(ids, np.int32), at, carry))
+                held.append((np.frombuffer(ids, both[k].kind), at, carry))
                 if k == A:
                     continue
-                pairs = sweep.window(held)
+                a, b = sweep.window(held)
                 held = []
-                links.append(pairs[:, 0].astype(np.int64) * width + pairs[:, 1])
-                n_part += len(pairs)
+                links.append(a * width + b)
+                n_part += len(a)
                 if last or n_part >= chunk_links:
                     close_part(key, row, links, sweep, last)
                     links, n_part = [], 0
@@ -267,7 +307,8 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each document."""
     kind = docs.schema[key].dataType.simpleString()
-    width = len(side((paths or default_paths())[B]).bytes)
+    sides = [side(p) for p in paths or default_paths()]
+    width, packed = len(sides[B].bytes), np.dtype(pair_kind(sides))
     scratch = Scratch(docs.sparkSession)
     in_order = events(docs, paths, key, text, window).repartition("key", "mark").sortWithinPartitions("key", "mark", "row", "window", "side")
     parts = scratch.keep("aligned", swept(in_order, kind, width, paths, chunk_links))
@@ -284,7 +325,7 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, key: str = "doc
         pairs, count, is_best = pairs[order], told.column("count").to_numpy()[order], told.column("is_best").to_numpy()[order]
         n_best, total = [], []
         for own, times in zip(texts.column("pairs").to_pylist(), texts.column("times").to_pylist(), strict=True):
-            at, times = np.searchsorted(pairs, np.frombuffer(own, np.int64)), np.frombuffer(times, np.int32)
+            at, times = np.searchsorted(pairs, np.frombuffer(own, packed)), np.frombuffer(times, np.int32)
             n_best.append(int(times[is_best[at]].sum()) if len(at) else 0)
             total.append(int((times * count[at]).sum()) if len(at) else 0)
         return pa.table({"row": texts.column("row"), "n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(total, pa.int64())} | {c: texts.column(c) for c in FIGURES}).select(["key", "row", *FIGURES[1:], "n_best", "count_sum"])

@@ -76,3 +76,16 @@ def test_whole_documents(spark):
     got = X.align(docs, chunk_links=20_000)
     want = plain([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id: figures(r) for r in got.collect()} == want
+
+
+def test_fast_ids_are_the_librarys(spark):
+    import random
+
+    import tokenizers
+
+    model = tokenizers.Tokenizer.from_file(X.default_paths()[0])
+    model.encode_special_tokens = True
+    rng = random.Random(1)
+    pool = [chr(c) for c in range(0x250)] + [" "] * 200 + ["\n"] * 30 + list("'sdtmllvere") * 5 + ["日", "😀", "\u3000", "\u2028"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    assert [X.side(X.default_paths()[0]).encode(t) for t in texts] == [x.ids for x in model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
