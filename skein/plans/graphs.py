@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as K
 from ..operators import graph as G
+from ..operators import spectral as Z
 from ..session import table
 from ..sources import views as V
 from .catalogue import query
@@ -242,4 +243,4 @@ def containment_edges(spark, d):
 @query()
 def fiedler_partition(spark, d):
     """Spectral bipartition of the graph; no SQL (an eigenvector)."""
-    return K.bipartition(K.fuse([(V.pairs(spark, d).withColumn("w", F.lit(1.0)), 1.0)]), min_size=5, max_depth=2)
+    return Z.bipartition(K.fuse([(V.pairs(spark, d).withColumn("w", F.lit(1.0)), 1.0)]), min_size=5)

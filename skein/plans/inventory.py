@@ -12,6 +12,7 @@ from ..operators import context as X
 from ..operators import graph as G
 from ..operators import lists as L
 from ..operators import refresh as R
+from ..operators import spectral as Z
 from ..session import table
 from ..sources import views as V
 from .catalogue import query
@@ -239,7 +240,7 @@ def nystrom_sample(spark, d):
 @query()
 def suggest_modules(spark, d):
     """Clusters of the graph with their sizes and first members; no SQL (an eigenvector)."""
-    found = K.bipartition(K.fuse([(V.pairs(spark, d).withColumn("w", F.lit(1.0)), 1.0)]), min_size=5, max_depth=2)
+    found = Z.bipartition(K.fuse([(V.pairs(spark, d).withColumn("w", F.lit(1.0)), 1.0)]), min_size=5)
     return found.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("first"))
 
 

@@ -64,15 +64,6 @@ def test_merging_and_cutting_clusters(spark):
     assert count(cluster.at_depth(labels, 1)) == {"r0": 10, "r1": 3} and cluster.merge_small(labels.limit(0), 2).count() == 0
 
 
-def test_fiedler_in_one_task_equals_the_iteration(spark):
-    edges = [(a, b, 1.0) for g in (0, 10) for a in range(g, g + 5) for b in range(a + 1, g + 5)] + [(4, 10, 0.3)]
-    adjacency = cluster.fuse([(spark.createDataFrame(edges, "src long, dst long, w double"), 1.0)])
-    one = {r.id: r.value for r in cluster.fiedler(adjacency).collect()}
-    many = {r.id: r.value for r in cluster.fiedler(adjacency, dense_nodes=0, rounds=60, tolerance=1e-6).collect()}
-    assert set(one) == set(many) and one[0] > 0 and np.allclose([one[k] for k in one], [many[k] for k in one], atol=1e-3)
-    assert cluster.fiedler(adjacency.limit(0)).count() == 0
-
-
 def test_laplacian_update_equals_a_new_one(spark):
     rng = np.random.default_rng(3)
     before = [(int(a), int(b), 1.0) for a, b in rng.integers(0, 12, (20, 2)) if a != b]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions import scalars as S
 from skein.functions import text as T
 from skein.functions import vectors as V
-from skein.operators import cluster, cochange, context, diff, graph, lists, quality, retrieval
+from skein.operators import cluster, cochange, context, diff, graph, lists, quality, retrieval, spectral
 from skein.sources import files
 from skein.streaming import debounce as B
 
@@ -208,7 +208,7 @@ def test_cluster_maths(spark):
     for r in cluster.laplacian(adj).collect():
         assert r.value == pytest.approx(want[at[r.src], at[r.dst]])
     sides = {}
-    for r in cluster.bipartition(adj, 2, 1).collect():
+    for r in spectral.bipartition(adj, 2, 1).collect():
         sides.setdefault(r.cluster, set()).add(r.id)
     assert sorted(map(sorted, sides.values())) == [[0, 1, 2, 3, 4], [10, 11, 12, 13, 14]]
     labels = spark.createDataFrame([(v, int(v >= 10)) for v in ids], "id long, cluster int")
