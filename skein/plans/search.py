@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import lists as L
 from ..operators import retrieval as R
+from ..operators import textindex as I
 from ..session import spread, table
 from ..sources import views as V
 from .catalogue import query
@@ -23,19 +24,24 @@ dfs AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY term),
 bm25 AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM tf JOIN dfs USING (term), stats WHERE tf > 0 GROUP BY id)"""
 
 
+def index(spark, d):
+    """The inverted index of the documents: built by the first search in the shared folder, then only read."""
+    return I.of_table(V.documents(spark, d, heavy=True), "documents")
+
+
 @query(f"SELECT id FROM (SELECT doc_id AS id, {WORDS} AS ws FROM documents) WHERE list_contains(ws, 'the') AND list_contains(ws, 'tion')")
 def keyword_search_and(spark, d):
-    return R.keyword_search(V.documents(spark, d, heavy=True), ["the", "tion"]).select("id")
+    return index(spark, d).holding(["the", "tion"])
 
 
 @query(f"SELECT id FROM (SELECT doc_id AS id, {WORDS} AS ws FROM documents) WHERE list_contains(ws, 'und') OR list_contains(ws, 'tion')")
 def keyword_search_or(spark, d):
-    return R.keyword_search(V.documents(spark, d, heavy=True), ["und", "tion"], every=False).select("id")
+    return index(spark, d).holding(["und", "tion"], every=False)
 
 
 @query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 20")
 def bm25_topk(spark, d):
-    return R.bm25(V.documents(spark, d, heavy=True), TERMS).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    return index(spark, d).top(TERMS, 20).select("id", F.round("score", 6).alias("score"))
 
 
 QUERY_VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
@@ -98,7 +104,7 @@ LEFT JOIN (SELECT doc_id AS id, substr(text, 1, 40) AS text_head FROM documents)
 @query(HYBRID)
 def hybrid_search(spark, d):
     """Vectors, keywords and four priors, each cut to 2k, fused by reciprocal ranks."""
-    docs, plain, v = V.documents(spark, d, heavy=True), V.documents(spark, d), V.vectors(spark, d)
+    plain, v = V.documents(spark, d), V.vectors(spark, d)
     similar = R.knn(v, QUERY_VECTOR, 40).select("id", F.col("similarity").alias("score"))
     pairs = V.edges(spark, d)
     degree = G.degrees(pairs).select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
@@ -108,7 +114,7 @@ def hybrid_search(spark, d):
         ("quality", table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "quality"),
         ("degree", degree, "degree"),
     ]
-    top = R.hybrid(similar, R.bm25(docs, TERMS), priors, 20)
+    top = R.hybrid(similar, index(spark, d).top(TERMS, 40), priors, 20)
     heads = plain.select("id", F.substring("text", 1, 40).alias("text_head"))
     return heads.join(F.broadcast(top), "id", "right").select("id", F.round("score", 6).alias("score"), "text_head")  # k rows
 
