@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
 from ..lineage import discard, materialise, shared_dir
 from .graph import degrees
+from .keyed import KeyedTable
 from .retrieval import hashed_embedding
 
 
@@ -25,27 +27,44 @@ def refresh(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return both.select(key, status.alias("status"))
 
 
-def names(files: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, name): the distinct identifiers of each text."""
-    return files.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(T.IDENTIFIER), F.lit(0)))).alias("name"))
+def names(text: Column) -> Column:
+    """The distinct identifiers of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.IDENTIFIER), F.lit(0)))
 
 
-def reindex(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(layer, n): rows of each layer after a refresh from ``old`` to ``new`` (id, text).
+def index_schema(files: DataFrame, key: str = "id") -> StructType:
+    return StructType([files.schema[key]]).add("hash", "string").add("names", ArrayType(StringType()))
 
-    Changed and new texts are parsed, symbols of unchanged ones carried over from the index before; a name belongs to
-    the smallest id that holds it, edges lead there, and metrics count them. Each layer is written before the next.
+
+def refresh_table(table: KeyedTable, files: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Bring an index of files (key, hash, names) up to date; (key, status) of every file.
+
+    Statuses come from hashes alone; only new and changed texts are parsed, and only their folders are written, with
+    tombstones for files that are gone. The names of all others stay as they were stored.
     """
-    status = materialise(refresh(hashed(old), hashed(new)), "status")
-    fresh = status.filter("status in ('added', 'changed')").select("id")
-    parsed = names(new.join(fresh, "id", "left_semi"))
-    carried = names(old).join(status.filter("status = 'unchanged'").select("id"), "id", "left_semi")
-    symbols = materialise(parsed.unionByName(carried), "symbols")
+    status = materialise(refresh(table.read().select(key, "hash"), hashed(files, key, text), key), "status")
+    fresh = files.join(status.filter("status in ('added', 'changed')").select(key), key, "left_semi")
+    rows = fresh.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("hash"), names(F.col(text)).alias("names"), F.lit(False).alias("lost"))
+    lost = status.filter("status = 'removed'").select(key, F.lit(None).cast("string").alias("hash"), F.lit(None).cast("array<string>").alias("names"), F.lit(True).alias("lost"))
+    table.merge(rows.unionByName(lost), gone=F.col("lost"))
+    return status
+
+
+def layers(table: KeyedTable) -> dict[str, DataFrame]:
+    """The layers over an index of files: symbols (id, name), edges to the smallest id that holds a name, and metrics;
+    ``parsed``: the files that the last refresh parsed, as its delta holds them."""
+    files = table.read()
+    symbols = materialise(files.select("id", F.explode("names").alias("name")), "symbols")
     owner = symbols.groupBy("name").agg(F.min("id").alias("dst"))
     edges = materialise(symbols.join(owner, "name").select(F.col("id").alias("src"), "dst").filter("src <> dst").distinct(), "edges")
-    metrics = materialise(degrees(edges), "metrics")
-    layers = {"files": new, "parsed": fresh, "symbols": symbols, "edges": edges, "metrics": metrics}
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n") for name, df in layers.items()]
+    return {"files": files, "parsed": table.changed(), "symbols": symbols, "edges": edges, "metrics": materialise(degrees(edges), "metrics")}
+
+
+def reindex(table: KeyedTable, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(layer, n): rows of each layer of an index of ``old`` (id, text) after a refresh to ``new``."""
+    refresh_table(table, old)
+    refresh_table(table, new)
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n") for name, df in layers(table).items()]
     out = counts[0]
     for one in counts[1:]:
         out = out.unionByName(one)

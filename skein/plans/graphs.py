@@ -77,7 +77,7 @@ def neighborhood(spark, d):
     + f""", {BOTH}, {LEVELS.format(root="(SELECT max(dst) FROM graph)", edges="both_ways", depth=12)}, far AS (SELECT id, min(level) AS level FROM lv GROUP BY id),
     ends AS (SELECT min(src) AS a, max(dst) AS b FROM graph),
     nearer AS (SELECT src, min(dst) AS dst FROM both_ways JOIN far f ON f.id = src JOIN far t ON t.id = dst WHERE t.level = f.level - 1 GROUP BY src),
-    walk(at, path, level) AS (SELECT a, [a], far.level FROM ends JOIN far ON id = a UNION ALL SELECT dst, list_append(path, dst), level - 1 FROM walk JOIN nearer ON src = at WHERE level > 0)
+    walk(place, path, level) AS (SELECT a, [a], far.level FROM ends JOIN far ON id = a UNION ALL SELECT dst, list_append(path, dst), level - 1 FROM walk JOIN nearer ON src = place WHERE level > 0)
     SELECT a, b, len(path) - 1 AS distance, path FROM ends LEFT JOIN walk ON level = 0"""
 )
 def shortest_path(spark, d):

@@ -3,15 +3,19 @@ languages imports the file 4 * p_size places before it, if there is one."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..lineage import shared_dir
 from ..operators import cluster as K
 from ..operators import code as C
 from ..operators import context as X
 from ..operators import graph as G
 from ..operators import lists as L
 from ..operators import refresh as R
+from ..operators.keyed import KeyedTable
 from ..operators import spectral as Z
 from ..session import table
 from ..sources import views as V
@@ -269,11 +273,18 @@ def both_versions(spark, d):
     return docs.filter("id % 10 <> 0").withColumn("text", F.when(F.col("id") % 3 == 0, "old").otherwise(F.col("text"))), docs.filter("id % 7 <> 0")
 
 
+def index_table(spark, files):
+    """An empty index of files in the shared folder."""
+    return KeyedTable(spark, f"{shared_dir(spark)}/file-index-{uuid.uuid4().hex}", R.index_schema(files), ["id"])
+
+
 @query(f"WITH {OLD} SELECT status, count(*) AS n FROM (SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN sha256(o.t) = sha256(n.t) THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.id = n.id) GROUP BY status")
 def refresh_index(spark, d):
-    """Files that a refresh adds, changes, removes and skips, by their hashes."""
+    """Files that a refresh of an index adds, changes, removes and skips."""
     old, new = both_versions(spark, d)
-    return R.refresh(R.hashed(old), R.hashed(new)).groupBy("status").agg(F.count("*").alias("n"))
+    table = index_table(spark, old)
+    R.refresh_table(table, old)
+    return R.refresh_table(table, new).groupBy("status").agg(F.count("*").alias("n"))
 
 
 LINES = "regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]{{2,}}')"
@@ -286,7 +297,7 @@ LINES = "regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]{{2,}}')"
 def reindex_all(spark, d):
     """Every layer of an index after a refresh: only new and changed texts are parsed, the rest is carried over."""
     old, new = both_versions(spark, d)
-    return R.reindex(old, new)
+    return R.reindex(index_table(spark, old), old, new)
 
 
 @query(f"SELECT doc_id AS id, 32 AS dim, 1.0 AS norm FROM documents WHERE regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]')")

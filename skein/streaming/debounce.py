@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 GAP = "5 minutes"
 
@@ -38,40 +40,98 @@ def moves_apart(events: DataFrame, key: str, ts: str, op: str) -> DataFrame:
     return events.select(ts, each.alias("x")).select(F.col("x.k").alias(key), ts, F.col("x.o").alias(op))
 
 
+def _order(op: str) -> Column:
+    """Of events of one time a deletion comes first."""
+    return F.when(F.col(op) == "deleted", 0).otherwise(1)
+
+
 def debounce_with_cancel(events: DataFrame, key: str = "path", ts: str = "ts", op: str = "op", seconds: int = 300) -> DataFrame:
-    """Batch form with cancelling: a burst that ends in ``deleted`` is dropped.
+    """(key, last, n): bursts of events of a key that lie less than ``seconds`` apart, with the number of events since the
+    last deletion in the burst; bursts that end in a deletion are dropped.
 
-    Moves count as a deletion of the old path and a change of the new one (column ``dest``).
+    Moves count as a deletion of the old path and a creation of the new one (column ``dest``). Of events of one time a
+    deletion comes first. Events without a key or a time are left out.
     """
-    all_events = moves_apart(events, key, ts, op)
-    w = W.partitionBy(key).orderBy(ts)
-    fresh = (F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w)) >= seconds) | F.lag(ts).over(w).isNull()
-    numbered = all_events.withColumn("burst", F.sum(fresh.cast("int")).over(w))
-    ends = numbered.groupBy(key, "burst").agg(F.max(ts).alias("last"), F.count("*").alias("n"), F.max_by(op, ts).alias("end"))
-    return ends.filter(F.col("end") != "deleted").select(key, "last", "n")
-
-
-def debounce_stream_with_cancel(events: DataFrame, key: str = "path", seconds: int = 300) -> DataFrame:
-    """Stream form with cancelling, as arbitrary state on a processing-time timer; (path, n): the events since the last
-    deletion, once the path has been quiet."""
-
-    def fold(path: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (n,) = state.get
-            state.remove()
-            yield pd.DataFrame({key: [path[0]], "n": [n]})
-            return
-        n = state.get[0] if state.exists else 0
-        # All parts of the batch in the order of their times; a deletion drops what came before it.
-        for op in pd.concat(list(rows)).sort_values("ts", kind="stable")["op"]:
-            n = 0 if op == "deleted" else n + 1
-        if n:
-            state.update((n,))
-            state.setTimeoutDuration(seconds * 1000)
-        elif state.exists:
-            state.remove()
-
-    return moves_apart(events, key, "ts", "op").groupBy(key).applyInPandasWithState(fold, f"{key} string, n long", "n long", "append", "ProcessingTimeTimeout")
+    each = moves_apart(events, key, ts, op).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    w = W.partitionBy(key).orderBy(ts, _order(op))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    fresh = (micros - F.lag(micros).over(w) >= seconds * 1_000_000) | F.lag(micros).over(w).isNull()
+    numbered = each.withColumn("burst", F.sum(fresh.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    deleted = F.max(F.when(F.col(op) == "deleted", F.col(ts)))
+    ends = numbered.groupBy(key, "burst").agg(F.max(ts).alias("last"), deleted.alias("gone"))
+    live = numbered.join(ends, [key, "burst"]).filter(F.col("gone").isNull() | (F.col(ts) > F.col("gone")) | ((F.col(ts) == F.col("gone")) & (F.col(op) != "deleted")))
+    return live.groupBy(key, "burst").agg(F.first("last").alias("last"), F.count("*").alias("n")).select(key, "last", "n")
+
+
+class Bursts(StatefulProcessor):
+    """The open events of one path. A timer at the last event's time plus the gap closes what has been quiet by then: the
+    watermark has passed it, so no event that could fall in between can come any more."""
+
+    def __init__(self, key_kind: str, seconds: int) -> None:
+        self.key_kind, self.gap = key_kind, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, deleted boolean")
+
+    def _timer(self, held: list[tuple[int, bool]]) -> None:
+        """One timer, behind the first burst of what is held."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        last = None
+        for at, _ in held:
+            if last is not None and at - last >= self.gap:
+                break
+            last = at
+        if last is not None:
+            self.handle.registerTimer((last + self.gap) // 1000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            self.held.appendList([(int(at), bool(gone)) for at, gone in zip(part["at"], part["deleted"], strict=True)])
+        self._timer(sorted(self.held.get(), key=lambda x: (x[0], not x[1])))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now, held, out = timerValues.getCurrentWatermarkInMs() * 1000, sorted(((r[0], r[1]) for r in self.held.get()), key=lambda x: (x[0], not x[1])), []
+        bursts: list[list[tuple[int, bool]]] = []
+        for event in held:
+            if not bursts or event[0] - bursts[-1][-1][0] >= self.gap:
+                bursts.append([])
+            bursts[-1].append(event)
+        left = []
+        for burst in bursts:
+            if burst[-1][0] + self.gap > now:
+                left += burst
+                continue
+            n = 0
+            for _, gone in burst:
+                n = 0 if gone else n + 1
+            if n:
+                out.append((key[0], burst[-1][0], n))
+        self.held.put(left) if left else self.held.clear()
+        self._timer(left)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "last", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def debounce_stream_with_cancel(events: DataFrame, key: str = "path", ts: str = "ts", op: str = "op", seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
+    """The stream form of ``debounce_with_cancel``, on event time: a burst is handed on, once, when the watermark says that
+    its path has been quiet, in whatever order its events came. Events later than the watermark are dropped; state holds
+    open bursts only. Needs the RocksDB state store."""
+    kind = {f.name: f.dataType.simpleString() for f in events.schema}[key]
+    each = moves_apart(events, key, ts, op).filter(F.col(key).isNotNull()).withWatermark(ts, watermark)
+    rows = each.select(F.col(key).alias("key"), F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), (F.col(op) == "deleted").alias("deleted"))
+    out = rows.groupBy("key").transformWithStateInPandas(Bursts(kind, seconds), f"key {kind}, last long, n long", "append", "EventTime")
+    return out.select(F.col("key").alias(key), F.timestamp_micros("last").alias("last"), "n")
+
+
+def still_open_with_cancel(events: DataFrame, emitted: DataFrame, key: str = "path", ts: str = "ts", op: str = "op", seconds: int = 300) -> DataFrame:
+    """The bursts of a table of events that a stream over it has not emitted when its input ends."""
+    return debounce_with_cancel(events, key, ts, op, seconds).join(emitted.select(key, "last"), [key, "last"], "left_anti")
 
 
 def filtered(events: DataFrame, extensions: tuple[str, ...], exclude: tuple[str, ...] = (), path: str = "path") -> DataFrame:

@@ -1,42 +1,21 @@
-"""A keyed table kept up to date by a stream, one immutable version per micro-batch."""
+"""A keyed table kept up to date by a stream: each micro-batch writes a delta of the folders that it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 
-from ..operators.diff import upsert
+from ..operators.keyed import KeyedTable
 from .debounce import for_each_batch
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions of the table, oldest first; a version counts once its success marker is written."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    base = fs_path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    found = [s.getPath() for s in fs.listStatus(base)]
-    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(fs_path(p, "_SUCCESS")))
-
-
-def current(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The newest complete version, or an empty table."""
-    known = versions(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/v={known[-1]}") if known else spark.createDataFrame([], schema)
-
-
-def keep_updated(stream: DataFrame, root: str, keys: list[str], recency: str, checkpoint: str, trigger: dict | None = None):
-    """Start a query that merges each micro-batch into the table at ``root``: the latest row of each key.
-
-    A version is named by its batch id and written anew when a batch is repeated after a failure, from
-    the version before it: repeats change nothing.
+def keep_updated(stream: DataFrame, table: KeyedTable, checkpoint: str, gone: Column | None = None, compact: int = 8, trigger: dict | None = None):
+    """Start a query that merges each micro-batch into ``table``: the latest row of each key; where ``gone`` holds, the
+    key is deleted. A batch that is repeated after a failure changes nothing. Folders of more than ``compact`` deltas are
+    written anew.
     """
-    schema = stream.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = [v for v in versions(spark, root) if v < batch_id]
-        base = spark.read.schema(schema).parquet(f"{root}/v={known[-1]}") if known else spark.createDataFrame([], schema)
-        upsert(base, batch, keys, recency).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        table.merge(batch, gone, batch_id, "stream")
+        table.compact(compact)
 
     return for_each_batch(stream, merge, checkpoint, trigger)
