@@ -263,3 +263,28 @@ def blast_radius(axes: dict[str, tuple[DataFrame, float]], start: DataFrame, max
     names = F.array(*(F.lit(n) for n in risks))
     level = F.when((F.col("r") == 1) & (F.col("lows") >= 2), 2).otherwise(F.col("r"))
     return summary.join(union, "root", "left").select("root", F.coalesce("affected", F.lit(0)).alias("affected"), "confidence", F.element_at(names, level.cast("int") + 1).alias("risk"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(component, length, severity, cycle): of each strongly connected component the shortest cycle through its smallest
+    node, the lexicographically least of these, from that node on.
+
+    Distances back to the smallest node are found for all components at once; one walk a component then goes along them.
+    """
+    strong = materialise(strong_components(edges), "strong")
+    a, b = strong.select(F.col("id").alias("src"), "component"), strong.select(F.col("id").alias("dst"), F.col("component").alias("c2"))
+    inside = edges.filter("src <> dst").select("src", "dst").distinct().join(a, "src").join(b, "dst").filter(F.col("component") == F.col("c2")).select("component", "src", "dst")
+    inside = materialise(inside, "inside")
+    far = materialise(bfs(reverse(inside), strong.select(F.col("component").alias("id")).distinct()).select(F.col("root").alias("component"), F.col("id").alias("dst"), "level"), "far")
+    steps = materialise(inside.join(far, ["component", "dst"]), "steps")
+    first = steps.filter(F.col("src") == F.col("component")).groupBy("component").agg(F.min(F.struct("level", "dst")).alias("x"))
+    walk, (n, _), _ = written(first.select("component", F.array("component", "x.dst").alias("cycle"), F.col("x.dst").alias("place"), F.col("x.level").alias("left")), "walk")
+    done = walk.filter("left = 1")
+    while n:
+        open_walks = walk.filter("left > 1")
+        near = open_walks.join(steps.select("component", F.col("src").alias("place"), F.col("dst").alias("next"), "level"), ["component", "place"]).filter(F.col("level") == F.col("left") - 1)
+        moved = near.groupBy("component", "cycle", "left").agg(F.min("next").alias("place"))
+        walk, (n, _), _ = written(moved.select("component", F.array_append("cycle", F.col("place")).alias("cycle"), "place", (F.col("left") - 1).alias("left")), "walk")
+        done = done.unionByName(walk.filter("left = 1")) if n else done
+    length = F.size("cycle")
+    return done.select("component", length.alias("length"), S.cycle_severity(length).alias("severity"), "cycle")

@@ -127,13 +127,6 @@ def references_page(spark, d):
     return C.page(V.edges(spark, d).filter("dst = 9"), ["src", "edge_type"], 20)
 
 
-@query(V.with_views("steps", "edges") + ", p AS (SELECT DISTINCT src, dst FROM edges) SELECT count(*) AS cycles, 'high' AS severity FROM p JOIN p q ON p.src = q.dst AND p.dst = q.src WHERE p.src < p.dst")
-def cycle_severity(spark, d):
-    """Cycles of at most three are severe; here those of two."""
-    found = G.two_cycles(V.edges(spark, d)).select(S.cycle_severity(F.lit(2)).alias("severity"))
-    return found.groupBy("severity").agg(F.count("*").alias("cycles"))
-
-
 @query("SELECT n_nationkey AS id, '[Internal path] and [Temporary path] broke' AS log, CASE WHEN n_nationkey % 2 = 0 THEN 'Access denied' ELSE 'An internal error occurred' END AS shown FROM nation")
 def sanitized_errors(spark, d):
     n = table(spark, d, "nation")
@@ -185,19 +178,6 @@ def class_metrics(spark, d):
     return C.class_metrics(c, methods, up)
 
 
-@query(
-    V.with_views("commits", "changes", "pairs")
-    + ", s AS (SELECT p_brand || '/' || p_type AS file, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part GROUP BY 1) SELECT file1, file2, a.n * b.n AS symbol_pairs, a.first AS first1, b.last AS last2 FROM pairs JOIN s a ON a.file = file1 JOIN s b ON b.file = file2 WHERE frequency >= 2"
-)
-def cochange_symbol_pairs(spark, d):
-    """Pairs of symbols of the files that change together, counted per pair of files."""
-    from ..operators import cochange as O
-
-    pairs = O.pairs(V.commits(spark, d)).filter("frequency >= 2").select("file1", "file2")
-    symbols = V.symbols(spark, d).select("file_path", "id")
-    return O.symbol_pairs(pairs, symbols)
-
-
 @query(
     "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS x FROM e a JOIN e b ON a.id < b.id)"
     " SELECT src, dst, round(0.5 * x, 6) AS w FROM s WHERE x > 0.5 UNION ALL SELECT dst, src, round(0.5 * x, 6) FROM s WHERE x > 0.5"
