@@ -22,18 +22,23 @@ from pyspark.sql import functions as F
 from ..lineage import materialise, written
 from .lists import usable
 
-EXTRA, REVERSE, ROUNDS, FEW = 10, 16, 12, 0.005
+EXTRA, REVERSE, ROUNDS, FEW, DEALS = 10, 16, 12, 0.005, 4
 
 
 def nearest(vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding", seed: int = 7) -> DataFrame:
     """(id, neighbor, rank, similarity): about the ``k`` most similar other vectors of each."""
     rows = materialise(usable(vectors, key, vector), "vectors")
     n, places = rows.count(), k + EXTRA
-    # Neighbours by chance: vectors fall into small cells by hash and meet the others of theirs.
-    cells = max(1, n // (places + 1))
-    celled = rows.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(cells)).alias("cell"))
+    # Neighbours by chance: vectors fall into small cells, and meet the others of theirs; several ways of dealing them out
+    # connect the cells, so that no round stays among those of one.
+    cells = max(1, n * DEALS // (places + DEALS))
+    start = None
+    for deal in range(DEALS):
+        celled = rows.select("id", F.pmod(F.xxhash64("id", F.lit(seed + deal)), F.lit(cells)).alias("cell"))
+        one = celled.join(celled.select("cell", F.col("id").alias("neighbor")), "cell").filter("id <> neighbor").select("id", "neighbor")
+        start = one if start is None else start.unionByName(one)
     best = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbor"))).filter(F.col("rank") <= places)
-    start = celled.join(celled.select("cell", F.col("id").alias("neighbor")), "cell").filter("id <> neighbor")
+    start = start.distinct()
     now, (count, _), _ = written(best(start.select("id", "neighbor", F.lit(-2.0).alias("similarity"))).drop("rank"), "lists")
     if n and not count:  # one vector in each cell: begin with the next ones by id
         order = W.orderBy("id")
