@@ -33,24 +33,35 @@ def distinct_pairs(edges: DataFrame) -> DataFrame:
     return materialise(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "pairs")
 
 
+#: Links of one source in a bucket of their own.
+HUB_LINKS = 1 << 20
+
+
 def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(id, centrality): ranks after a fixed number of rounds, divided by the largest; dangling mass is dropped.
 
-    The links lie dealt by their source while rounds run, so a round is one join in place and one shuffle of sums.
+    The links lie dealt by their source while rounds run, so a round is one join in place and one shuffle of sums. The
+    links of a hub are dealt into several buckets, and what it is given goes to each of them.
     """
     pairs = distinct_pairs(edges)
-    all_nodes = materialise(nodes(pairs), "nodes")
-    n = all_nodes.count()
-    share = pairs.groupBy("src").agg((1.0 / F.count("*")).alias("share"))
-    links = materialise(pairs.join(share, "src"), "links").repartition("src").persist()
-    zero = all_nodes.select("id", F.lit(0.0).alias("given"))
-    ranks = all_nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    out = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
+    buckets = F.coalesce((F.col("out") / HUB_LINKS).cast("int"), F.lit(0))
+    all_nodes = materialise(nodes(pairs).join(out, "id", "left").select("id", buckets.alias("last"), "out"), "nodes")
+    n = max(1, all_nodes.count())
+    places = all_nodes.select("id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("bucket"))
+    source = all_nodes.filter("out is not null").select(F.col("id").alias("src"), "last", (1.0 / F.col("out")).alias("share"))
+    bucket = F.pmod(F.xxhash64("dst"), F.col("last") + 1).cast("int")
+    links = pairs.join(source, "src").select("src", bucket.alias("bucket"), F.col("dst").alias("id"), "share").join(places.withColumnRenamed("bucket", "to"), "id")
+    links = materialise(links, "links").repartition("src", "bucket").persist()
+    zero = places.select("id", "bucket", F.lit(0.0).alias("given"))
+    ranks = places.select("id", "bucket", F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
-        given = links.join(ranks, links.src == ranks.id).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("given"))
-        ranks = given.unionByName(zero).groupBy("id").agg((F.lit((1 - damping) / max(1, n)) + damping * F.sum("given")).alias("rank"))
+        met = links.join(ranks.withColumnRenamed("id", "src"), ["src", "bucket"]).select("id", F.col("to").alias("bucket"), (F.col("rank") * F.col("share")).alias("given"))
+        ranks = met.unionByName(zero).groupBy("id", "bucket").agg((F.lit((1 - damping) / n) + damping * F.sum("given")).alias("rank"))
         if i % 10 == 9 or i == rounds - 1:
             ranks = materialise(ranks, "ranks")
     links.unpersist()
+    ranks = ranks.filter("bucket = 0")
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.join(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(0.0).alias("centrality"))  # one row
 

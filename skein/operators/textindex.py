@@ -27,7 +27,7 @@ from ..functions import text as T
 from ..lineage import shared_dir
 
 #: The layout on disk; texts and words of a chunk, folders of a segment, tasks that share a folder.
-FORMAT, CHUNK, CHUNK_WORDS, FOLDERS, SPREAD = 2, 1024, 1 << 21, 32, 16
+FORMAT, CHUNK, CHUNK_WORDS, FOLDERS, SPREAD = 3, 1024, 1 << 21, 16, 4
 K1, B = 1.2, 0.75
 BLOCK = "term string, chunk long, postings array<struct<id:{kind},tf:int,dl:int>>, n long, most_tf int, least_dl int"
 
