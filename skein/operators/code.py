@@ -116,6 +116,17 @@ def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
     return tried.join(known, "target").filter("target <> path").groupBy("path", "module").agg(F.min_by("target", "place").alias("target"))
 
 
+def resolve_go(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, module, dir, first, files) of Go imports: the directory of the project whose path is the longest end of the
+    import's, its first file and how many it has. Ends of imports meet directories by equality."""
+    dirs = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "path").groupBy("dir").agg(F.min("path").alias("first"), F.count("*").alias("files"))
+    parts = F.split("module", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
+    tried = found.filter("lang = 'go'").select("path", "module", F.posexplode(ends).alias("place", "dir"))
+    best = tried.join(dirs, "dir").groupBy("path", "module").agg(F.min(F.struct("place", "dir", "first", "files")).alias("x"))
+    return best.filter(F.regexp_replace("path", "/[^/]*$", "") != F.col("x.dir")).select("path", "module", "x.dir", "x.first", "x.files")
+
+
 def stem(path: Column) -> Column:
     """The file's name without extension, ``test_`` in front and ``_test`` behind."""
     bare = F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), r"\.[^.]*$", "")

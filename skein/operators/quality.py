@@ -49,6 +49,31 @@ def violations(imports: DataFrame, layers: DataFrame, allowed: DataFrame) -> Dat
     return imports.join(a, "src").join(b, "dst").join(allowed, ["from_layer", "to_layer"], "left_anti").select("src", "dst", "from_layer", "to_layer")
 
 
+def rule_violations(imports: DataFrame, layers: DataFrame, rules: list[dict]) -> DataFrame:
+    """(src, dst, from_layer, to_layer, rule) of imports (src, dst) that a rule forbids, or that the rules of a layer do not
+    allow: ``rules`` say {from, allowed: [...]} or {from, forbidden: [...]}. A layer without ``allowed`` may use all that is
+    not forbidden; nodes without a layer are bound by nothing."""
+    a, b = layers.select(F.col("node").alias("src"), F.col("layer").alias("from_layer")), layers.select(F.col("node").alias("dst"), F.col("layer").alias("to_layer"))
+    rule = F.lit(None).cast("string")
+    for r in rules:
+        if "allowed" in r:
+            rule = F.when((F.col("from_layer") == r["from"]) & ~F.col("to_layer").isin(*r["allowed"]), "not_allowed").otherwise(rule)
+    for r in rules:
+        if "forbidden" in r:
+            rule = F.when((F.col("from_layer") == r["from"]) & F.col("to_layer").isin(*r["forbidden"]), "forbidden").otherwise(rule)
+    return imports.join(a, "src").join(b, "dst").select("src", "dst", "from_layer", "to_layer", rule.alias("rule")).filter("rule is not null")
+
+
+def pii_dry_run(docs: DataFrame, text: str, group: str) -> DataFrame:
+    """(group, mode, kept, touched): how many texts each way of treating personal data keeps, and how many it touches."""
+    hit = F.lit(False)
+    for pattern in T.PII_PATTERNS.values():
+        hit = hit | F.coalesce(F.col(text).rlike(pattern), F.lit(False))
+    counts = docs.groupBy(group).agg(F.count("*").alias("n"), F.count_if(hit).alias("touched"))
+    each = counts.withColumn("mode", F.explode(F.array(*map(F.lit, ("flag", "redact", "remove")))))
+    return each.select(group, "mode", F.when(F.col("mode") == "remove", F.col("n") - F.col("touched")).otherwise(F.col("n")).alias("kept"), "touched")
+
+
 def first_match(paths: DataFrame, patterns: list[tuple[str, str]], path: str = "path") -> DataFrame:
     """Adds ``layer``: that of the first shell pattern (pattern, layer) that the path matches, or null."""
     layer = F.lit(None).cast("string")

@@ -73,14 +73,6 @@ def related_tests(spark, d):
     return C.test_pairs(table(spark, d, "part").select(F.when(p % 2 == 0, F.concat(F.lit("src/m"), i, F.lit(".py"))).otherwise(F.concat(F.lit("tests/test_m"), i, F.lit(".py"))).alias("path")))
 
 
-@query("SELECT n_nationkey AS project, CASE n_nationkey % 4 WHEN 0 THEN 'pytest' WHEN 1 THEN 'unittest' WHEN 2 THEN 'jest' ELSE 'unknown' END AS framework, CASE n_nationkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS test_files, 1 AS entry_points FROM nation")
-def test_framework(spark, d):
-    """Projects with the files that tell their test framework."""
-    files = [(0, "tests/conftest.py", ""), (0, "tests/test_a.py", "import unittest"), (1, "tests/test_b.py", "import unittest\n"), (2, "package.json", '{"devDependencies": {"jest": "1"}}'), (3, "setup.cfg", "[metadata]"), *((k, "app.py", "x = 1") for k in range(4))]
-    kinds = spark.createDataFrame(files, "k int, path string, text string")
-    return C.test_frameworks(table(spark, d, "nation").select(F.col("n_nationkey").alias("project"), (F.col("n_nationkey") % 4).alias("k")).join(F.broadcast(kinds), "k"))  # nine fixed rows
-
-
 @query("SELECT p_brand AS project, count(*) AS symbols, count(DISTINCT p_type) AS modules, (list_sort(list(DISTINCT p_type)))[1:3] AS shown, count(DISTINCT p_type) > 3 AS more FROM part GROUP BY p_brand")
 def manifest_summary(spark, d):
     """Counts of each project and its first modules, marked where there are more."""
@@ -127,14 +119,6 @@ def references_page(spark, d):
     return C.page(V.edges(spark, d).filter("dst = 9"), ["src", "edge_type"], 20)
 
 
-@query("SELECT n_nationkey AS id, '[Internal path] and [Temporary path] broke' AS log, CASE WHEN n_nationkey % 2 = 0 THEN 'Access denied' ELSE 'An internal error occurred' END AS shown FROM nation")
-def sanitized_errors(spark, d):
-    n = table(spark, d, "nation")
-    text = F.concat(F.lit("/home/"), F.lower("n_name"), F.lit("/x.py and /tmp/"), F.lower("n_name"), F.lit(" broke"))
-    kind = F.when(F.col("n_nationkey") % 2 == 0, "PermissionError").otherwise("Odd")
-    return n.select(F.col("n_nationkey").alias("id"), C.masked_error(text).alias("log"), C.shown_error(kind).alias("shown"))
-
-
 RULES = [("user", "the", "Ask shorter."), ("user", "a", "Ask again."), ("system", "zzzz", "Never.")]
 
 
@@ -187,13 +171,6 @@ def semantic_adjacency(spark, d):
     return K.fuse([(near, 0.5)]).withColumn("w", F.round("w", 6))
 
 
-@query("SELECT n_nationkey AS id, left('r' || right(bin(16 + n_regionkey * 3), 4), 3) AS cluster FROM nation")
-def clusters_at_depth(spark, d):
-    """A clustering cut at a depth of its tree of splits."""
-    path = F.concat(F.lit("r"), F.substring(F.bin(16 + F.col("n_regionkey") * 3), 2, 4))
-    return K.at_depth(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), path.alias("cluster")), 2)
-
-
 @query()
 def merged_clusters(spark, d):
     """The clusters of a tree merged until four are left; tests hold it against plain Python."""

@@ -33,17 +33,6 @@ def subclasses(spark, d):
     return e.groupBy(F.col("dst").alias("base")).agg(F.array_sort(F.collect_set("src")).alias("subclasses"))
 
 
-@query()
-def method_resolution(spark, d):
-    """C3 order of a class family per region; no SQL (a merge with look-ahead)."""
-    n = table(spark, d, "nation")
-    classes = n.select(
-        F.col("n_regionkey").cast("string").alias("family"), F.col("n_name").alias("name"),
-        F.when(F.col("n_nationkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lag("n_name").over(W.partitionBy("n_regionkey").orderBy("n_nationkey")))).alias("bases"),
-    ).withColumn("bases", F.filter("bases", lambda b: b.isNotNull()))
-    return SRC.linearise(classes)
-
-
 @query(f"WITH w AS (SELECT doc_id AS id, {WORDS} AS ws FROM documents), hits AS (SELECT id FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'qqqq')) SELECT id FROM hits UNION ALL SELECT id FROM w WHERE NOT EXISTS (FROM hits) AND (list_contains(ws, 'the') OR list_contains(ws, 'qqqq'))")
 def search_and_then_or(spark, d):
     """Documents with every term, or with any where none has all."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import graphs, history, inventory, more, search, store, upkeep  # noqa: F401
-from .plans import deeper  # noqa: F401  (they enter the catalogue)
+from .plans import deeper, trees  # noqa: F401  (they enter the catalogue)
 from .plans.catalogue import ORACLES, QUERIES, Query
 
 FLAGSHIP = "hybrid_search"
