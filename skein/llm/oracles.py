@@ -72,7 +72,7 @@ def license_sql() -> str:
     terms = "regexp_extract_all(lower({}), '[0-9]+(?:\\.[0-9]+)+|[\\p{{L}}\\p{{N}}]+')".format
     cue = quote(license.CUE)
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE doc_id % 10 WHEN 0 THEN concat_ws('/', source, lang, 'LICENSE-' || doc_id) WHEN 5 THEN concat_ws('/', source, lang, 'p' || (doc_id % 7), 'LICENSE-' || doc_id) ELSE concat_ws('/', source, lang, 'p' || (doc_id % 7), CAST(doc_id AS VARCHAR)) END AS path, coalesce(text, '') AS t FROM documents),
 tpl AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({terms('x')}) AS term FROM (VALUES {templates}) v(template, license, x)) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM (SELECT r, unnest(list_distinct({terms('t')})) AS term FROM d) WHERE term IN (SELECT term FROM tpl) GROUP BY term),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tpl) LEFT JOIN df USING (term)),

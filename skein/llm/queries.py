@@ -50,8 +50,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Documents as files of a tree: source / language / document.
-    files = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    # Documents as files of a tree, source / language / part / document; in every tenth part of them a licence file stands.
+    i = F.col("doc_id")
+    part, name = F.concat(F.lit("p"), (i % 7).cast("string")), i.cast("string")
+    licence = F.concat(F.lit("LICENSE-"), name)
+    path = F.when(i % 10 == 0, F.concat_ws("/", "source", "lang", licence)).when(i % 10 == 5, F.concat_ws("/", "source", "lang", part, licence)).otherwise(F.concat_ws("/", "source", "lang", part, name))
+    files = table(spark, sf_dir, "documents").withColumn("path", path)
     return license.scan(files)
 
 

@@ -65,5 +65,5 @@ def test_stages_against_plain_versions(spark, sf_dir):
 
 def test_registered_queries():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
