@@ -15,19 +15,25 @@ from skein.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that a classifier of the table ``labels`` does not call toxic, as they were. Empty and null texts are scored
+    like others; repeated rows share their fate; without labels every row stays; an empty table stays empty."""
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near-duplicates the row of the smallest ``doc_id``, as it was. Null and empty texts are one class;
+    of repeated rows one stays."""
     return omh.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without personal data; ``n_chars`` counts the new text."""
+    """Texts without personal data; ``n_chars`` counts the new text. Null texts stay null; all rows stay."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of a schedule that keeps every source within a block of its weight; a null source is one of
+    its own, rows of equal ``doc_id`` share the places of their id."""
     return mixing.mix(docs)
 
 
@@ -45,8 +51,8 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: The recurrent network, the sketches and the tokenizer are beyond SQL; tests/llm/test_pipeline.py
-#: holds the rows of run() against the stages' brute-force versions.
+#: The recurrent network, the sketches and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds the stages against
+#: plain versions, but for the network, whose own scores tests/llm/test_toxicity.py holds against a plain recurrence.
 ORACLE_SQL: str | None = None
 
 
