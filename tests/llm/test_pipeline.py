@@ -63,6 +63,39 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert sorted((r[0], r[1]) for r in encoded) == sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, sf_dir).collect())
 
 
+CLASHING = ("row", "key", "position", "node", "h", "bucket", "s", "spans", "root", "n", "score", "Predicted")
+
+
+def test_near_copies_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, family = [], {}
+    for i in range(40):
+        base = [word() for _ in range(80)]
+        for k in range(1 + i % 4):  # the last words of a copy differ in one place each
+            text = list(base)
+            if k:
+                text[10 * k] = word()
+            family[100 * k + i] = i
+            rows.append((100 * k + i, " ".join(text), "en", f"s{i % 3}", 0, *(["x"] * len(CLASHING))))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    docs = spark.createDataFrame(rows, kind)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialise(stage(spark, kept, f"file://{tmp_path}"), name)
+        assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()} == set(range(40))
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_registered_queries():
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
