@@ -3,7 +3,7 @@
 Centroids of a bounded sample (``SAMPLE`` rows) deal the normalised vectors into lists; a list's radius is the
 distance of its furthest vector. A query visits the lists whose ball can hold a vector as near as it asks for, by the
 triangle inequality, so nothing is missed: of a join the threshold, of a search the k-th best of its own list. Queries
-meet lists by an equi-join; lists are cut into blocks, queries into chunks, and a pair of them is one matrix product.
+meet the blocks of lists by an equi-join; queries are cut into chunks, and a chunk and a block are one matrix product.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components are similar to nothing;
 vectors of different lengths never meet; repeated ids give one row a pair, the best; an empty table gives no row.
@@ -118,7 +118,9 @@ class Lists:
                     sim = matrix(q.field("v"), width) @ matrix(x.field("v"), width).T
                     yield find(np.asarray(q.field("id")), np.asarray(q.field("least")), np.asarray(x.field("id")), sim)
 
-        return wanted.join(held, "list").select("queries", "rows").mapInArrow(run, schema)
+        # A chunk is handed to every block of its list, so that a long list is as many keys as it has blocks.
+        dealt_out = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("list")).cast("long") - 1)))
+        return dealt_out.join(held, ["list", "block"]).select("queries", "rows").mapInArrow(run, schema)
 
 
 def knn_graph(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
