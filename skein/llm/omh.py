@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, fresh, trim
 
 SHINGLE = 5
-BANDS, TAKE = 64, 2
+BANDS, TAKE = 80, 2
 SIMILARITY = 0.8
 SLICE_BYTES = 2 << 20
 #: Classes, about, in a chunk of a star, and in a block of a key's classes.
