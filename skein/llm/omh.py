@@ -264,15 +264,20 @@ def bags(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.bincount(at, minlength=len(count) * BAG).reshape(-1, BAG).astype(np.int32)
 
 
+#: Added to the side of rows whose pairs within their own side count as well.
+INNER = 1 << 20
+
+
 class Pairs:
-    """The pairs of a unit that a link may join: sides differ if the unit has several, components differ, and neither
-    the lengths nor the bags (words of one slot count as equal, words that the other text lacks are edits) rule it out."""
+    """The pairs of a unit that a link may join: sides differ if the unit has several (but for those with ``INNER``),
+    components differ, and neither the lengths nor the bags (words of one slot count as equal, words that the other text lacks are edits) rule it out."""
 
     def __init__(self, bag: np.ndarray, side: np.ndarray, similarity: float) -> None:
         n_words = bag.sum(1, dtype=np.int64)
         self.order = np.argsort(n_words, kind="stable")
-        self.bag, self.side, self.length = bag[self.order], side[self.order], n_words[self.order]
-        self.across = len(side) > 0 and (side != side[0]).any()
+        self.bag, self.side, self.length = bag[self.order], side[self.order] % INNER, n_words[self.order]
+        self.inner = side[self.order] >= INNER
+        self.across = len(side) > 0 and (self.side != self.side[0]).any()
         # Words that a partner, not longer than this text, must share.
         self.shared = self.length - np.floor((1 - similarity) * self.length + 1e-9).astype(np.int64)
 
@@ -281,7 +286,7 @@ class Pairs:
         lo = int(np.searchsorted(self.length, self.shared[i]))
         ok = comp[lo:i] != comp[i]
         if self.across:
-            ok &= self.side[lo:i] != self.side[i]
+            ok &= (self.side[lo:i] != self.side[i]) | self.inner[i]
         other = np.flatnonzero(ok) + lo
         if not len(other):
             return other
@@ -468,8 +473,12 @@ def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     at = left.join(roots, F.col("node") == F.col("v"), "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
     still = at.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum("n_words").alias("words")).filter("open")
     at = meet(at.drop("n_words"), still.select("key", size("n", "words", cell).alias("blocks")), "key", "node")
-    at = at.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = scratch.keep("cells", at.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "node", "root", "side", F.col("key").alias("owner")))
+    # Pairs within a block are looked at where it meets the next one, so that no block stands in a cell of its own.
+    at = at.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("side")) | (F.col("blocks") == 1))
+    at = at.withColumn("other", F.explode(others))
+    inner = F.when(F.col("other") == (F.col("side") + 1) % F.col("blocks"), INNER).otherwise(0)
+    cells = scratch.keep("cells", at.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "node", "root", (F.col("side") + inner).alias("side"), F.col("key").alias("owner")))
     signs = held.join(cells.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node long, bag binary")
     near = scratch.keep("near", dealt(cells.join(signs, "node").select("unit", "node", "root", "side", "owner", "bag")).mapInArrow(_near(similarity), "unit long, node long, root long, side int, owner long"))
     across = scratch.keep("across", dealt(near.join(held, "node").select("unit", "node", "root", "side", "owner", "keys", "text")).mapInArrow(_settle(similarity), kind))
