@@ -104,10 +104,21 @@ def is_test_path(path: Column) -> Column:
     return name.startswith("test_") | name.rlike(r"_test\.[A-Za-z]+$") | path.contains("/tests/") | path.contains("/testing/")
 
 
-def human_size(n: Column) -> Column:
-    power = F.least(F.lit(4), F.when(n < 1, 0).otherwise(F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0))))).cast("int")
-    units = F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")))
-    return F.concat(F.format_number(n / F.pow(F.lit(1024.0), power), 1), F.lit(" "), F.element_at(units, power + 1))
+def human_size(n: Column, most: str = "TB") -> Column:
+    """A number of bytes in the largest unit that it fills, up to ``most``: one decimal, half to even as C's ``%.1f``, and no
+    marks between thousands. Whole numbers throughout, so that no rounding of logarithms or quotients shows."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    n, out = n.cast("long"), None
+    for at, unit in enumerate(units[: units.index(most) + 1]):
+        size = F.lit(1024**at)
+        rest = (n % size) * 10
+        tenth, left = F.floor(rest / size), 2 * (rest % size)
+        whole = (n - n % size) / size  # exact below 2^53
+        up = (left > size) | ((left == size) & (tenth % 2 == 1))
+        tenths = whole.cast("long") * 10 + tenth + F.when(up, 1).otherwise(0)
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.abs(tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = text if out is None else F.when(n >= size, text).otherwise(out)
+    return out
 
 
 def glob_regex(pattern: str) -> str:
