@@ -77,9 +77,11 @@ def name_resolution(spark, d):
     """What a name refers to: a symbol of the same file first, then the smallest id."""
     s = V.symbols(spark, d)
     refs = table(spark, d, "supplier").join(s, F.col("s_suppkey") == s.id).select(F.col("s_suppkey").alias("ref"), "name", F.col("file_path").alias("file"))
-    met = refs.join(s.select("name", "id", "file_path"), "name")
-    near = F.col("file") == F.col("file_path")
-    return met.groupBy("ref").agg(F.min(F.when(near, F.col("id"))).alias("near"), F.min("id").alias("any_id"), F.count("*").alias("candidates"))
+    # A reference meets one row of its name and one of its name in its file, however many symbols share them.
+    names = s.groupBy("name").agg(F.min("id").alias("any_id"), F.count("*").alias("candidates"))
+    places = s.groupBy("name", F.col("file_path").alias("file")).agg(F.min("id").alias("near"))
+    met = refs.join(names.hint("merge"), "name").join(places.hint("merge"), ["name", "file"], "left")
+    return met.groupBy("ref").agg(F.min("near").alias("near"), F.min("any_id").alias("any_id"), F.sum("candidates").alias("candidates"))
 
 
 @query("SELECT page_id, substr(html, 1, 200) || CASE WHEN length(html) > 200 THEN '...' ELSE '' END AS head FROM pages")
