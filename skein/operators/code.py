@@ -112,7 +112,8 @@ def candidates(lang: Column, path: Column, module: Column) -> Column:
 def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
     """(path, module, target): the first candidate of each import that is a file. Candidates meet files by equality."""
     tried = found.select("path", "module", F.posexplode(candidates(F.col("lang"), F.col("path"), F.col("module"))).alias("place", "target"))
-    known = files.select(F.col("path").alias("target")).distinct()
+    # Both sides grow with the files. Spark judges their sizes by the columns that the paths are made of, and would broadcast them.
+    known = files.select(F.col("path").alias("target")).distinct().hint("merge")
     return tried.join(known, "target").filter("target <> path").groupBy("path", "module").agg(F.min_by("target", "place").alias("target"))
 
 

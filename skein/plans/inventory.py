@@ -17,7 +17,7 @@ from ..operators import lists as L
 from ..operators import refresh as R
 from ..operators.keyed import KeyedTable
 from ..operators import spectral as Z
-from ..session import table
+from ..session import dealt, table
 from ..sources import views as V
 from .catalogue import query
 
@@ -42,7 +42,7 @@ def tree(spark, d):
         F.when(p % 4 == 0, F.format_string("import os\nfrom pkg%d.m%d import x\n", t % 7, t)).when(p % 4 == 1, F.format_string('import React from "react";\nimport {x} from "../c%d/m%d";\n', t % 5, t))
         .when(p % 4 == 2, F.format_string("use std::fmt;\nuse crate::m%d;\n", t)).otherwise(F.format_string('#include <stdio.h>\n#include "../d%d/m%d.c"\n', t % 3, t))
     )
-    return table(spark, d, "part").select(path_of(p).alias("path"), lang.alias("lang"), F.when(t >= 0, text).otherwise(F.regexp_extract(text, r"^[^\n]*\n", 0)).alias("text"))
+    return dealt(table(spark, d, "part").select("p_partkey", "p_size")).select(path_of(p).alias("path"), lang.alias("lang"), F.when(t >= 0, text).otherwise(F.regexp_extract(text, r"^[^\n]*\n", 0)).alias("text"))
 
 
 @query(f"""WITH {TREE} SELECT path, lang, {MODULE} AS module FROM tree WHERE t >= 0 UNION ALL SELECT path, lang, CASE lang WHEN 'python' THEN 'os' WHEN 'typescript' THEN 'react' WHEN 'rust' THEN 'std::fmt' ELSE '<stdio.h>' END FROM tree""")
