@@ -143,9 +143,12 @@ def parse_python(files: DataFrame) -> DataFrame:
 
 def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges (path, src, dst name) with the symbol that the name means: one of the same file first, then the smallest id."""
-    s = symbols.select(F.col("name").alias("dst"), F.col("id").alias("target_id"), F.col("path").alias("target_path"))
-    one = edges.join(s, "dst", "left").withColumn("far", (F.col("path") != F.col("target_path")).cast("int"))
-    return one.groupBy("path", "src", "dst", "edge_type").agg(F.min_by("target_id", F.struct("far", "target_id")).alias("target_id")).withColumn("resolution_state", F.when(F.col("target_id").isNotNull(), 1).otherwise(0))
+    # Each edge meets one row of its name in its file and one of its name, however many symbols share it. Sizes that Spark
+    # infers for parsed rows are those of the files' names; by them it would broadcast all symbols.
+    near = symbols.groupBy("path", F.col("name").alias("dst")).agg(F.min("id").alias("near"))
+    far = symbols.groupBy(F.col("name").alias("dst")).agg(F.min("id").alias("far"))
+    one = edges.select("path", "src", "dst", "edge_type").distinct().join(near.hint("merge"), ["path", "dst"], "left").join(far.hint("merge"), "dst", "left")
+    return one.select("path", "src", "dst", "edge_type", F.coalesce("near", "far").alias("target_id")).withColumn("resolution_state", F.when(F.col("target_id").isNotNull(), 1).otherwise(0))
 
 
 def linearise(classes: DataFrame) -> DataFrame:
