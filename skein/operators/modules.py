@@ -46,5 +46,7 @@ def fused_graph(imports: DataFrame, modules: DataFrame, known: tuple[str, ...] =
     contained = placed.join(modules.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit(2 * CONTAINED).alias("w"))
     near = placed.select("parent", F.col("id").alias("src")).join(placed.select("parent", F.col("id").alias("dst")), "parent").filter("src < dst").select("src", "dst", F.lit(2 * NEAR).alias("w"))
     every = import_edges(imports, modules, known).filter("src <> dst").unionByName(contained).unionByName(near)
-    both = every.unionByName(every.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    # Both directions of a pair weigh the same: added up once, then told to either end.
+    one = every.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return one.select(ends.alias("e"), "w").select("e.src", "e.dst", "w")
