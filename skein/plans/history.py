@@ -18,7 +18,7 @@ ends AS (SELECT file1 AS file, file2 AS partner, frequency, coupling, avg_gap FR
 
 @query(PAIRS + "SELECT * FROM churn")
 def churn(spark, d):
-    return C.churn(V.commits(spark, d))
+    return C.churn(V.commits(spark, d), V.commit_tasks(spark, d))
 
 
 @query(PAIRS + "SELECT * EXCLUDE (n1, n2) FROM mined")
@@ -48,7 +48,7 @@ def co_change_jaccard(spark, d):
 )
 def hotspots(spark, d):
     c = V.commits(spark, d)
-    return C.hotspots(C.churn(c), C.pairs(c), 20).withColumn("avg_coupling", F.round("avg_coupling", 6))
+    return C.hotspots(C.churn(c, V.commit_tasks(spark, d)), C.pairs(c), 20).withColumn("avg_coupling", F.round("avg_coupling", 6))
 
 
 @query(PAIRS + ", recent AS (SELECT * FROM mined WHERE last_co_change >= TIMESTAMP '1997-01-01') SELECT file1, file2, frequency FROM recent WHERE coupling >= 0.05")
