@@ -12,12 +12,14 @@ Equal texts (by 64-bit hash) form one class before anything else. Under every ke
 
 1. the class of the smallest hash is the key's centre; classes with the same least centre are settled in chunks, each
    with the centre: pairs that share a key are aligned unless a bound rules them out or links already join them;
-2. of the keys whose classes these links do not all join, every pair of classes is bounded by length and bags of
-   words, which cannot miss a link; classes without a partner left drop out;
+2. of the keys whose classes these links do not all join, those that hold mostly the same classes make a family;
+   every pair of a family's classes is bounded by length and bags of words, which cannot miss a link; classes without a
+   partner left drop out;
 3. the classes left are settled as in step 1.
 
 The same path serves keys of any size: the work of steps 1 to 3 is dealt in units of a bounded number of classes (a
-chunk of a star, or a cell of two blocks of a key's classes), so no task holds a key. Every pair that shares a key is
+chunk of a star, or a cell of two blocks of a family's classes), so no task holds a key, and a class that shares many
+keys with the same others travels once for all of them. Every pair that shares a key is
 so aligned, joined by links, or ruled out by a bound. Components are taken over all links.
 
 Defined results: a null text is the empty text; texts without a word are near only to equal texts;
@@ -41,7 +43,7 @@ SHINGLE = 5
 BANDS, TAKE = 64, 2
 SIMILARITY = 0.8
 SLICE_BYTES = 2 << 20
-#: Classes, about, in a chunk of a star, and in a block of a key's classes.
+#: Classes, about, in a chunk of a star, and in a block of a family's classes.
 CHUNK, CELL = 256, 2048
 #: Slots of the bags of words that rule out pairs before they are aligned.
 BAG = 128
@@ -291,23 +293,23 @@ class Pairs:
 
 
 class Unit:
-    """Nodes whose pairs are to be settled: those that share one of their ``keys``, and if the unit has an owner, those
-    whose least common key it is."""
+    """Nodes whose pairs are to be settled: those that share one of their ``keys``, and if the nodes own keys in the unit,
+    those whose least common key is one of these."""
 
     def __init__(self, columns: tuple[list, ...], bag: np.ndarray, similarity: float) -> None:
-        nodes, roots, sides, owners, keys = columns[:5]
+        nodes, roots, sides, owners, keys = columns[:5]  # owners: of each node the keys that it has in this unit
         pairs = Pairs(bag, np.array(sides), similarity)
         self.order, self.nodes = pairs.order, nodes
         self.comp = np.unique(np.array(roots, np.int64)[pairs.order], return_inverse=True)[1].reshape(-1)
         self.todo: dict[int, np.ndarray] = {}
-        own, owner = [np.array(keys[i], np.int64) for i in pairs.order], owners[0]
+        own, owned = [np.array(keys[i], np.int64) for i in pairs.order], [owners[i] for i in pairs.order]
         for i in range(1, len(nodes)):
             other = pairs.of(i, self.comp)
             if not len(other):
                 continue
             flat = np.concatenate([own[j] for j in other])
             least = np.minimum.reduceat(np.where(np.isin(flat, own[i]), flat, NONE), np.append(0, np.cumsum([len(own[j]) for j in other])[:-1]))
-            other = other[least < NONE if owner is None else least == owner]
+            other = other[least < NONE if owned[i] is None else np.isin(least, owned[i])]
             if len(other):
                 self.todo[i] = other
 
@@ -328,7 +330,7 @@ class Unit:
 
 
 def settle(units: list[tuple[list, ...]], similarity: float) -> list[tuple[int, int, float]]:
-    """Links of units (nodes, roots, sides, owners, keys, texts): every pair of a unit (see ``Unit``; across its sides, if
+    """Links of units (nodes, roots, sides, owned keys, keys, texts): every pair of a unit (see ``Unit``; across its sides, if
     it has several) is aligned, ruled out by a bound, or joined by links, given ones (equal roots) or found ones."""
     hashes, count = word_hashes([t for u in units for t in u[5]])
     words, bag = np.split(hashes, np.cumsum(count)[:-1]), bags(hashes, count)
@@ -365,7 +367,7 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _settle(similarity: float):
-    """Rows (unit, node, root, side, owner, keys, text), those of a unit next to each other, to links."""
+    """Rows (unit, node, root, side, owned, keys, text), those of a unit next to each other, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
@@ -395,7 +397,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(similarity: float):
-    """Of rows (unit, node, root, side, owner, bag), those of a unit next to each other, the ones with a partner that neither
+    """Of rows (unit, node, root, side, owned, bag), those of a unit next to each other, the ones with a partner that neither
     links nor bounds rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,6 +434,22 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit")
 
 
+def families(rows: DataFrame) -> DataFrame:
+    """(family, node, n_words, root, owned: its keys of the family) of rows (key, node, n_words, root, n: nodes of the key).
+
+    Each node names the largest of its keys. A key joins the family of the key that its nodes name if all of them do, so
+    that no node is added; or if most do and it is not much smaller, so that the family does not grow by many strangers
+    who then meet all of it. Any other key is its own family. Every key is in one family with all of its nodes.
+    """
+    own = rows.groupBy("node").agg(F.collect_list(F.struct("n", "key")).alias("keys"), F.first("n_words").alias("n_words"), F.first("root").alias("root"))  # ``BANDS`` keys at most
+    named = own.select("node", "n_words", "root", F.array_max("keys").alias("most"), F.explode("keys").alias("k")).select("node", "n_words", "root", "most", "k.key", "k.n")
+    votes = named.groupBy("key", "most").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    best = votes.groupBy("key").agg(F.max(F.struct("c", "most")).alias("x"), F.first("n").alias("n"))
+    joins = (F.col("x.c") == F.col("n")) | ((2 * F.col("x.c") > F.col("n")) & (4 * F.col("n") >= F.col("x.most.n")))
+    best = best.select("key", F.when(joins, F.col("x.most.key")).otherwise(F.col("key")).alias("family"))
+    return meet(named.select("key", "node", "n_words", "root"), best, "key", "node").groupBy("family", "node").agg(F.first("n_words").alias("n_words"), F.first("root").alias("root"), F.collect_list("key").alias("owned"))
+
+
 def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chunk: int = CHUNK, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, links, roots): rows (id, node, n_words) has each row with its class of equal texts; links (a, b,
     similarity) joins the nodes of classes found similar; roots (v, root) has the smallest node of the component
@@ -460,22 +478,24 @@ def find_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     pairs = pairs.select("c", "node", F.xxhash64("c", "chunks", F.pmod("node", "chunks")).alias("unit"))
     sides = pairs.select("unit", "node").unionByName(pairs.select("unit", F.col("c").alias("node")).distinct())
     kind = "a long, b long, similarity double"
-    stars = sides.join(held, "node").select("unit", "node", F.col("node").alias("root"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("owner"), "keys", "text")
+    stars = sides.join(held, "node").select("unit", "node", F.col("node").alias("root"), F.lit(0).alias("side"), F.lit(None).cast("array<long>").alias("owned"), "keys", "text")
     stars = scratch.keep("stars", dealt(stars).mapInArrow(_settle(similarity), kind))
     roots = scratch.keep("roots", components(stars.select("a", "b")))
 
-    # Cells: of keys whose classes are not all joined, blocks of them against blocks.
+    # Cells: of families of keys whose classes are not all joined, blocks of them against blocks.
     at = left.join(roots, F.col("node") == F.col("v"), "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
-    still = at.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.sum("n_words").alias("words")).filter("open")
-    at = meet(at.drop("n_words"), still.select("key", size("n", "words", cell).alias("blocks")), "key", "node")
+    still = at.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n")).filter("open").select("key", "n")
+    at = scratch.keep("families", families(meet(at, still, "key", "node")))
+    sizes = at.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    at = meet(at.drop("n_words"), sizes.select("family", size("n", "words", cell).alias("blocks")), "family", "node")
     at = at.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = scratch.keep("cells", at.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "node", "root", "side", F.col("key").alias("owner")))
+    cells = scratch.keep("cells", at.select(F.xxhash64("family", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "node", "root", "side", "owned"))
     signs = held.join(cells.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node long, bag binary")
-    near = scratch.keep("near", dealt(cells.join(signs, "node").select("unit", "node", "root", "side", "owner", "bag")).mapInArrow(_near(similarity), "unit long, node long, root long, side int, owner long"))
-    across = scratch.keep("across", dealt(near.join(held, "node").select("unit", "node", "root", "side", "owner", "keys", "text")).mapInArrow(_settle(similarity), kind))
+    near = scratch.keep("near", dealt(cells.join(signs, "node").select("unit", "node", "root", "side", "owned", "bag")).mapInArrow(_near(similarity), "unit long, node long, root long, side int, owned array<long>"))
+    across = scratch.keep("across", dealt(near.join(held, "node").select("unit", "node", "root", "side", "owned", "keys", "text")).mapInArrow(_settle(similarity), kind))
     if not across.isEmpty():
         roots = scratch.keep("all_roots", components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(across.select("a", "b"))))
-    scratch.drop("postings", "texts", "cells", "near")
+    scratch.drop("postings", "texts", "families", "cells", "near")
     return rows.select("id", "node", "n_words"), stars.unionByName(across), roots
 
 

@@ -209,3 +209,19 @@ def test_recall_on_a_corpus_with_a_hot_group(spark):
     print("pairs", len(near), "recall", found)
     assert len(near) > 1500 and found >= 0.98
     assert len({got[i] for i in range(2000)}) == 1 and len({got[i] for i in range(len(texts) - 500, len(texts))}) == 500
+
+
+def test_nodes_that_share_many_keys_travel_once_for_all_of_them(spark):
+    """A group of 300 under 40 keys, each of which misses some, and strangers that share a key with one of them."""
+    rng = random.Random(9)
+    rows = [(k, v) for k in range(40) for v in range(300) if rng.random() < 0.9] + [(100 + v, w) for v in range(300) for w in (v, 1000 + v)]
+    n = Counter(k for k, _ in rows)
+    found = omh.families(spark.createDataFrame([(k, v, 10, v, n[k]) for k, v in rows], "key long, node long, n_words int, root long, n long")).collect()
+    assert sorted((k, r.node) for r in found for k in r.owned) == sorted(rows)  # every key with all of its nodes, once
+    assert len({(r.family, r.node) for r in found}) == len(found)
+    at = {}
+    for r in found:
+        for k in r.owned:
+            assert at.setdefault(k, r.family) == r.family
+    assert len({at[k] for k in range(40)}) == 1 and sum(r.family == at[0] for r in found) == 300
+    assert len(found) == 900
