@@ -14,7 +14,6 @@ repeat count once; a text id that stands in two segments is two texts until ``me
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..lineage import shared_dir
 
-#: The layout on disk; texts and words of a chunk, folders of a segment, tasks that share a folder.
+#: The layout on disk; texts and words of a chunk, folders of a segment, tasks that share a folder at least.
 FORMAT, CHUNK, CHUNK_WORDS, FOLDERS, SPREAD = 3, 1024, 1 << 21, 16, 4
 K1, B = 1.2, 0.75
 BLOCK = "term string, chunk long, postings array<struct<id:{kind},tf:int,dl:int>>, n long, most_tf int, least_dl int"
@@ -34,41 +33,44 @@ BLOCK = "term string, chunk long, postings array<struct<id:{kind},tf:int,dl:int>
 
 def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the texts (id, words) of a task, chunk by chunk, and for each chunk a row of its texts and words."""
-    chunk, kinds = TaskContext.get().partitionId() << 32, None
-    held: dict[str, list] = {}
-    ids: list = []
-    sizes: list[int] = []
+    chunk, texts, words = TaskContext.get().partitionId() << 32, 0, 0
+    held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []  # ids, words of all texts in turn, number of words of each
 
     def close() -> Iterator[pa.RecordBatch]:
-        terms = list(held)
-        for at in range(0, len(terms), 20_000):
-            part = terms[at : at + 20_000]
-            lists = [held[t] for t in part]
-            offsets = np.cumsum([0, *(len(x) for x in lists)])
-            flat = [p for x in lists for p in x]
-            dl = np.array(sizes, np.int32)[[p[0] for p in flat]]
-            struct = pa.StructArray.from_arrays([pa.array(ids, kinds).take(pa.array([p[0] for p in flat])), pa.array([p[1] for p in flat], pa.int32()), pa.array(dl)], names=["id", "tf", "dl"])
-            tf = np.array([p[1] for p in flat], np.int32)
-            columns = [pa.array(part), pa.array([chunk] * len(part), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct), pa.array(np.diff(offsets))]
-            columns += [pa.array(np.maximum.reduceat(tf, offsets[:-1])), pa.array(np.minimum.reduceat(dl, offsets[:-1])), *[pa.nulls(len(part), pa.int64())] * 2]
+        ids, sizes = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[2] for x in held])
+        coded = pa.concat_arrays([x[1] for x in held]).dictionary_encode()
+        # Terms by number, of each the texts in turn: both are in one number, so that one sort counts them.
+        pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * texts + np.repeat(np.arange(texts), sizes), return_counts=True)
+        term, text = np.divmod(pairs, texts)
+        offsets = np.append(0, np.cumsum(np.bincount(term, minlength=len(coded.dictionary)))).astype(np.int64)
+        tf, dl = tf.astype(np.int32), sizes.astype(np.int32)[text]
+        struct = pa.StructArray.from_arrays([ids.take(pa.array(text)), pa.array(tf), pa.array(dl)], names=["id", "tf", "dl"])
+        for at in range(0, len(coded.dictionary), 20_000):
+            edges = offsets[at : at + 20_001]
+            lo, hi, n = edges[0], edges[-1], len(edges) - 1
+            columns = [coded.dictionary.slice(at, n), pa.array(np.full(n, chunk)), pa.ListArray.from_arrays(pa.array(edges - lo, pa.int32()), struct.slice(lo, hi - lo)), pa.array(np.diff(edges))]
+            columns += [pa.array(np.maximum.reduceat(tf[lo:hi], edges[:-1] - lo)), pa.array(np.minimum.reduceat(dl[lo:hi], edges[:-1] - lo)), *[pa.nulls(n, pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays(columns, names=NAMES)
-        empty = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.StructArray.from_arrays([pa.array([], kinds), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["id", "tf", "dl"]))
+        empty = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), struct.slice(0, 0))
         nothing = [pa.array([None], t) for t in (pa.string(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([nothing[0], pa.array([chunk], pa.int64()), empty, nothing[1], *[pa.array([None], pa.int32())] * 2, pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=NAMES)
-        held.clear(), ids.clear(), sizes.clear()
+        yield pa.RecordBatch.from_arrays([nothing[0], pa.array([chunk], pa.int64()), empty, nothing[1], *[pa.array([None], pa.int32())] * 2, pa.array([texts], pa.int64()), pa.array([words], pa.int64())], names=NAMES)
+        held.clear()
 
     for batch in batches:
-        kinds = batch.schema.field(0).type
-        for key, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = words.as_py()
-            for term, n in Counter(words).items():
-                held.setdefault(term, []).append((len(ids), n))
-            ids.append(key)
-            sizes.append(len(words))
-            if len(ids) >= CHUNK or sum(sizes[-1:]) > CHUNK_WORDS or len(held) > CHUNK_WORDS:
+        sizes, flat = batch.column(1).value_lengths().to_numpy().astype(np.int64), batch.column(1).flatten()
+        ends, at = np.append(0, np.cumsum(sizes)), 0
+        while at < batch.num_rows:
+            # As many texts as the chunk still takes; a longer one is a chunk of its own.
+            to = min(at + CHUNK - texts, int(np.searchsorted(ends, ends[at] + CHUNK_WORDS - words, "right")) - 1)
+            to = max(to, at if held else at + 1)
+            if to > at:
+                held.append((batch.column(0).slice(at, to - at), flat.slice(ends[at], ends[to] - ends[at]), sizes[at:to]))
+                texts, words = texts + to - at, words + int(ends[to] - ends[at])
+            if to < batch.num_rows or texts >= CHUNK:
                 yield from close()
-                chunk += 1
-    if ids:
+                chunk, texts, words = chunk + 1, 0, 0
+            at = to
+    if held:
         yield from close()
 
 
@@ -98,7 +100,11 @@ class TextIndex:
         words = texts.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("ws"))
         blocks = words.mapInArrow(inverted, f"term string, chunk long, postings array<struct<id:{kind},tf:int,dl:int>>, n long, most_tf int, least_dl int, texts long, words long")
         folder = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(FOLDERS))).cast("int")
-        placed = blocks.withColumn("folder", folder).repartition("folder", F.col("chunk") % SPREAD).sortWithinPartitions("folder", "term", "chunk")
+        # The chunks of a folder are dealt by their hash (their low bits count from nought in every task), over more tasks the
+        # more texts there are, so that what one of them sorts does not grow.
+        wide = max(SPREAD, -(-texts.rdd.getNumPartitions() // SPREAD))
+        tasks = max(FOLDERS * wide, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        placed = blocks.withColumn("folder", folder).repartition(tasks, "folder", F.pmod(F.xxhash64("chunk"), F.lit(wide))).sortWithinPartitions("folder", "term", "chunk")
         placed.write.mode("overwrite").partitionBy("folder").parquet(f"{self.root}/{name}/blocks")
         sums = self.spark.read.schema(placed.schema).parquet(f"{self.root}/{name}/blocks").filter("folder = -1").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
         sums.withColumn("id", F.lit(None).cast(kind)).write.mode("overwrite").parquet(f"{self.root}/{name}/stats")
@@ -149,7 +155,10 @@ class TextIndex:
 
         def scored(kept: DataFrame) -> DataFrame:
             each = kept.select(*chunk, "term", F.explode("postings").alias("p"))
-            return each.groupBy("segment", F.col("p.id").alias("id")).agg(F.sum(score(F.col("p.tf").cast("double"), F.col("p.dl").cast("double"))).alias("score")).select("id", "score")
+            one = score(F.col("p.tf").cast("double"), F.col("p.dl").cast("double"))
+            # Terms are added in one order, wherever their blocks lie: texts that are alike have scores equal to the last bit.
+            sums = each.groupBy("segment", F.col("p.id").alias("id")).agg(F.lit(0).alias("s"), *(F.sum(F.when(F.col("term") == t, one)).alias(f"s{i}") for i, t in enumerate(sorted(found))))
+            return sums.select("id", sum((F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(found))), F.lit(0.0)).alias("score"))
 
         first = bounds.orderBy(F.desc("most"), *chunk).limit(k)  # every chunk of the bounds has a text: k of them have k
         sample = scored(blocks.join(F.broadcast(first), chunk)).orderBy(F.desc("score")).limit(k)

@@ -83,3 +83,40 @@ def test_the_index_of_a_table_is_built_once(spark, tmp_path):
     assert one.root == two.root and {r.id for r in two.holding(["b"]).collect()} == {1, 2}
     spark.createDataFrame([(3, "b")], "id long, text string").write.mode("append").parquet(str(tmp_path / "t"))
     assert {r.id for r in I.of_table(spark.read.parquet(str(tmp_path / "t")), "t").holding(["b"]).collect()} == {1, 2, 3}
+
+
+def test_blocks_of_a_folder_are_dealt_over_tasks_when_every_task_has_one_chunk(spark, tmp_path):
+    texts = spark.range(400).selectExpr("id", "concat('the w', id % 50, ' x', id) AS text").repartition(16, "id")
+    found = I.TextIndex(spark, f"file://{tmp_path}/index").append(texts, "all")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "index/all/blocks").glob("folder=*")}
+    assert max(n for name, n in files.items() if name != "folder=-1") > 1
+    assert found.stats() == (400, 1200)
+    assert {r.id for r in found.holding(["w7", "the"]).collect()} == {i for i in range(400) if i % 50 == 7}
+
+
+def test_chunks_end_before_they_hold_too_many_words(monkeypatch):
+    monkeypatch.setattr(I, "CHUNK_WORDS", 10)
+    long = "a " * 25 + "b"
+    rows = [(0, "a b c"), (1, long), (2, None), (3, "a a d"), (4, "a b e f g h"), (5, "")]
+
+    class Here:
+        @staticmethod
+        def get():
+            return Here
+
+        @staticmethod
+        def partitionId():
+            return 1
+
+    monkeypatch.setattr(I, "TaskContext", Here)
+    import pyarrow as pa
+
+    words = [(t or "").split() for _, t in rows]
+    out = pa.Table.from_batches(list(I.inverted(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array(words, pa.list_(pa.string()))], names=["id", "ws"])])))).to_pylist()
+    chunks = [(r["texts"], r["words"]) for r in out if r["term"] is None]
+    assert chunks == [(1, 3), (1, 26), (4, 9)]
+    got = {(r["term"], p["id"], p["tf"], p["dl"]) for r in out if r["term"] for p in r["postings"]}
+    assert got == {(w, i, ws.count(w), len(ws)) for (i, _), ws in zip(rows, words) for w in ws}
+    for r in out:
+        if r["term"]:
+            assert (r["n"], r["most_tf"], r["least_dl"]) == (len(r["postings"]), max(p["tf"] for p in r["postings"]), min(p["dl"] for p in r["postings"]))
