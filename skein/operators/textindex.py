@@ -103,8 +103,9 @@ class TextIndex:
         # The chunks of a folder are dealt by their hash (their low bits count from nought in every task), over more tasks the
         # more texts there are, so that what one of them sorts does not grow.
         wide = max(SPREAD, -(-texts.rdd.getNumPartitions() // SPREAD))
-        tasks = max(FOLDERS * wide, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        placed = blocks.withColumn("folder", folder).repartition(tasks, "folder", F.pmod(F.xxhash64("chunk"), F.lit(wide))).sortWithinPartitions("folder", "term", "chunk")
+        # Spark's own number, which it lowers for small tables, where that is enough.
+        tasks = [FOLDERS * wide] if FOLDERS * wide > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
+        placed = blocks.withColumn("folder", folder).repartition(*tasks, "folder", F.pmod(F.xxhash64("chunk"), F.lit(wide))).sortWithinPartitions("folder", "term", "chunk")
         placed.write.mode("overwrite").partitionBy("folder").parquet(f"{self.root}/{name}/blocks")
         sums = self.spark.read.schema(placed.schema).parquet(f"{self.root}/{name}/blocks").filter("folder = -1").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
         sums.withColumn("id", F.lit(None).cast(kind)).write.mode("overwrite").parquet(f"{self.root}/{name}/stats")
