@@ -379,12 +379,22 @@ def split_by(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(owner[part[0]]), part
 
 
+_zstd: list = []
+
+
+def codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair a process: messages are many and small, and a context costs more than most of them."""
+    if not _zstd:
+        _zstd.append((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _zstd[0]
+
+
 def packed(values: np.ndarray, kind: type | None = None) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values if kind is None else values.astype(kind)))
+    return codec()[0].compress(np.ascontiguousarray(values if kind is None else values.astype(kind)))
 
 
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    d = zstandard.ZstdDecompressor()
+    d = codec()[1]
     return np.frombuffer(b"".join(d.decompress(x) for x in column.to_pylist()), kind)
 
 
@@ -512,9 +522,49 @@ def _send_segments(n_shards: int):
     return run
 
 
+def window_hashes(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``LENGTH`` bytes from each place of the text whose ``words8`` are given."""
+    out = np.full(len(at), MIX[3], U64)
+    for skip in (*range(0, LENGTH - 8, 8), LENGTH - 8):  # the last word overlaps the one before
+        out ^= word[at + skip] * MIX[0]
+        out *= MIX[1]
+        out ^= out >> U64(29)
+    return out
+
+
+def repeated_runs(word: np.ndarray, start: np.ndarray, count: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, windows before it, windows) of each run of windows whose hash two windows or more have.
+
+    Equal windows have equal hashes, so what is left out equals no other window and needs no suffix array; what stays is
+    compared byte by byte there.
+    """
+    hashes = window_hashes(word, flat(start, count))
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    same = ranked[1:] == ranked[:-1]
+    keep = np.zeros(len(hashes) + 1, bool)
+    keep[order[1:][same]] = keep[order[:-1][same]] = True
+    edge = np.append(0, np.cumsum(count))
+    begins = keep[:-1].copy()
+    begins[1:] &= ~keep[:-2]
+    begins[edge[:-1]] = keep[edge[:-1]]  # a run ends with its segment
+    ends = keep[:-1].copy()
+    ends &= ~keep[1:]
+    ends[edge[1:] - 1] = keep[edge[1:] - 1]
+    begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    owner = np.searchsorted(edge, begin, side="right") - 1
+    return names[owner], begin - edge[owner], end - begin
+
+
+def key_parts(sub: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of segments of about ``PART_BYTES``, dealt by a byte of their keys: equal windows fall into one part."""
+    part = sub * max(1, min(256, -(-int(size.sum()) // PART_BYTES))) >> 8
+    return (p for _, p in split_by(part))
+
+
 def _search_shard(table: pa.Table) -> pa.Table:
     data = joined(table["data"], np.uint8)
-    unpack = zstandard.ZstdDecompressor().decompress
+    unpack = codec()[1].decompress
     parts = [np.frombuffer(unpack(x), np.int32) for x in table["counts"].to_pylist()]
     sizes = [len(x) for x in parts]
     count = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
@@ -523,20 +573,26 @@ def _search_shard(table: pa.Table) -> pa.Table:
     size = count + LENGTH - 1
     start = np.append(0, np.cumsum(size)[:-1])
     # Other buckets sent many of these segments too: each text is searched once, for its smallest id.
-    first, like = distinct(data, words8(data), start, size)
+    word = words8(data)
+    first, like = distinct(data, word, start, size)
     least = np.full(len(first), NO_ID, np.int64)
     np.minimum.at(least, like, ids)
     # Different keys never hold equal windows: parts of the keys are searched one after another.
     sub = joined(table["subs"], np.uint8)[first].astype(np.int64)
-    part = sub * max(1, min(256, -(-int(size[first].sum()) // PART_BYTES))) >> 8
-    at = np.append(0, np.cumsum(count[first])[:-1])
-    found = np.empty(int(count[first].sum()), np.int64)
-    for _, p in split_by(part):
-        f = first[p]
-        found[flat(at[p], count[f])] = least_ids(data[flat(start[f], size[f])], count[f], least[p])
+    start, size, held = start[first], size[first], count[first]
+    at = np.append(0, np.cumsum(held)[:-1])
+    found = np.repeat(least, held)  # that of the segment, for windows that no other place has
+    runs = []
+    for p in key_parts(sub, size):
+        runs.append(repeated_runs(word, start[p], held[p], p))
+    owner, skip, run = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 3
+    for p in key_parts(sub[owner], run + LENGTH - 1):
+        o = owner[p]
+        found[flat(at[o] + skip[p], run[p])] = least_ids(data[flat(start[o] + skip[p], run[p] + LENGTH - 1)], run[p], least[o])
     mine = flat(at[like], count)
     result = found[mine]
     edge = np.append(0, np.cumsum(count)[:-1])
+    del word
     news = np.flatnonzero(np.minimum.reduceat(result, edge) < ids) if len(ids) else np.zeros(0, np.int64)
     rows = []
     for b, p in split_by(bucket[news]):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import suffix_dedup as sd
@@ -98,3 +99,25 @@ def test_kept_bytes_and_empty_table(spark):
     got = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in sd.remove_repeats(docs).collect()}
     assert got == want
     assert sd.find_repeats(docs.limit(0)).count() == 0
+
+
+def test_windows_that_nothing_equals_get_no_suffix_array(monkeypatch):
+    rng = np.random.default_rng(3)
+    shared = rng.integers(97, 123, 120, np.uint8).tobytes()
+    segments = [rng.integers(97, 123, 400, np.uint8).tobytes() for _ in range(40)] + [rng.integers(97, 123, 200, np.uint8).tobytes() + shared for _ in range(2)] + [shared + b"z" * 60]
+    data, size = np.frombuffer(b"".join(segments), np.uint8), np.array([len(x) for x in segments])
+    start, count = np.append(0, np.cumsum(size)[:-1]), size - sd.LENGTH + 1
+    owner, skip, run = sd.repeated_runs(sd.words8(data), start, count, np.arange(len(size)))
+    found = {(int(o), int(a)) for o, s, n in zip(owner, skip, run, strict=True) for a in range(s, s + n)}
+    held = {}
+    for o, x in enumerate(segments):
+        for a in range(len(x) - sd.LENGTH + 1):
+            held.setdefault(x[a : a + sd.LENGTH], []).append((o, a))
+    assert found == {p for places in held.values() if len(places) > 1 for p in places}
+    searched = []
+    monkeypatch.setattr(sd, "least_ids", lambda data, count, ids, of=sd.least_ids: searched.append(len(data)) or of(data, count, ids))
+    p = lambda x, kind: sd.packed(np.asarray(x), kind)
+    row = {"shard": 0, "bucket": 5, "data": sd.packed(data), "counts": p(count, np.int32), "ids": p(np.arange(len(size)), np.int64), "numbers": p(np.arange(len(size)), np.int32), "subs": p([7] * len(size), np.uint8)}
+    out = sd._search_shard(pa.Table.from_pylist([row]))
+    assert sum(searched) < 800 < len(data)
+    assert set(sd.joined(out["numbers"], np.int32)) == {41, 42}  # those of a larger id than the first that holds the passage
