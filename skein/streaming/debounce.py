@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,56 +65,68 @@ def debounce_with_cancel(events: DataFrame, key: str = "path", ts: str = "ts", o
     return live.groupBy(key, "burst").agg(F.first("last").alias("last"), F.count("*").alias("n")).select(key, "last", "n")
 
 
+#: Keys are dealt into so many states: what a state costs besides its events is paid once for all keys in it, and each holds
+#: the open events of one in ``STATES`` keys. A stream that stands keeps its number.
+STATES = 4096
+
+
 class Bursts(StatefulProcessor):
-    """The open events of one path. A timer at the last event's time plus the gap closes what has been quiet by then: the
-    watermark has passed it, so no event that could fall in between can come any more."""
+    """The open events of the paths that one state holds, as one Arrow table. A timer at the first time at which a burst has
+    been quiet for the gap closes it: the watermark has passed it, so no event that could fall in between can come any more."""
 
-    def __init__(self, key_kind: str, seconds: int) -> None:
-        self.key_kind, self.gap = key_kind, seconds * 1_000_000
+    def __init__(self, seconds: int) -> None:
+        self.gap = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "at long, deleted boolean")
-
-    def _timer(self, held: list[tuple[int, bool]]) -> None:
-        """One timer, behind the first burst of what is held."""
+        self.held = handle.getValueState("held", "events binary")
+
+    def _open(self) -> list[pa.Table]:
+        return [pa.ipc.open_stream(self.held.get()[0]).read_all()] if self.held.exists() else []
+
+    def _bursts(self, held: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """(the events by path and time, the first place of each burst, the time at which it closes); of events of one time a
+        deletion comes first."""
+        at, gone = held.column("at").to_numpy(), held.column("deleted").to_numpy(zero_copy_only=False)
+        path = held.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((~gone, at, path))
+        path, at = path[order], at[order]
+        begin = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (at[1:] - at[:-1] >= self.gap)))
+        return held.take(pa.array(order)), begin, at[np.append(begin[1:], len(at)) - 1] + self.gap
+
+    def _keep(self, held: pa.Table, closes: np.ndarray) -> None:
+        """Hold these events, with one timer at the first closing."""
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        last = None
-        for at, _ in held:
-            if last is not None and at - last >= self.gap:
-                break
-            last = at
-        if last is not None:
-            self.handle.registerTimer((last + self.gap) // 1000)
+        if not held.num_rows:
+            self.held.clear()
+            return
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held.schema) as stream:
+            stream.write_table(held.combine_chunks())
+        self.held.update((out.getvalue().to_pybytes(),))
+        self.handle.registerTimer(-(-int(closes.min()) // 1000))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            self.held.appendList([(int(at), bool(gone)) for at, gone in zip(part["at"], part["deleted"], strict=True)])
-        self._timer(sorted(self.held.get(), key=lambda x: (x[0], not x[1])))
+        parts = self._open() + [pa.Table.from_pandas(part[["key", "at", "deleted"]], preserve_index=False).replace_schema_metadata() for part in rows]
+        held, _, closes = self._bursts(pa.concat_tables([p for p in parts if p.num_rows]))
+        self._keep(held, closes)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now, held, out = timerValues.getCurrentWatermarkInMs() * 1000, sorted(((r[0], r[1]) for r in self.held.get()), key=lambda x: (x[0], not x[1])), []
-        bursts: list[list[tuple[int, bool]]] = []
-        for event in held:
-            if not bursts or event[0] - bursts[-1][-1][0] >= self.gap:
-                bursts.append([])
-            bursts[-1].append(event)
-        left = []
-        for burst in bursts:
-            if burst[-1][0] + self.gap > now:
-                left += burst
-                continue
-            n = 0
-            for _, gone in burst:
-                n = 0 if gone else n + 1
-            if n:
-                out.append((key[0], burst[-1][0], n))
-        self.held.put(left) if left else self.held.clear()
-        self._timer(left)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "last", "n"])
+        found = self._open()
+        if not found:
+            return
+        held, begin, closes = self._bursts(found[0])
+        done = closes <= timerValues.getCurrentWatermarkInMs() * 1000
+        size = np.diff(np.append(begin, held.num_rows))
+        place = np.arange(held.num_rows)
+        last = np.maximum.reduceat(np.where(held.column("deleted").to_numpy(zero_copy_only=False), place, -1), begin)
+        n = begin + size - np.maximum(last + 1, begin)  # the events behind the last deletion
+        out = np.flatnonzero(done & (n > 0))
+        self._keep(held.filter(pa.array(np.repeat(~done, size))), closes[~done])
+        if len(out):
+            yield pd.DataFrame({"key": held.column("key").take(pa.array(begin[out])).to_pandas(), "last": closes[out] - self.gap, "n": n[out]})
 
     def close(self) -> None:
         pass
@@ -121,11 +135,11 @@ class Bursts(StatefulProcessor):
 def debounce_stream_with_cancel(events: DataFrame, key: str = "path", ts: str = "ts", op: str = "op", seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
     """The stream form of ``debounce_with_cancel``, on event time: a burst is handed on, once, when the watermark says that
     its path has been quiet, in whatever order its events came. Events later than the watermark are dropped; state holds
-    open bursts only. Needs the RocksDB state store."""
+    open bursts only, of many paths together. Needs the RocksDB state store."""
     kind = {f.name: f.dataType.simpleString() for f in events.schema}[key]
-    each = moves_apart(events, key, ts, op).filter(F.col(key).isNotNull()).withWatermark(ts, watermark)
-    rows = each.select(F.col(key).alias("key"), F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), (F.col(op) == "deleted").alias("deleted"))
-    out = rows.groupBy("key").transformWithStateInPandas(Bursts(kind, seconds), f"key {kind}, last long, n long", "append", "EventTime")
+    each = moves_apart(events, key, ts, op).filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, watermark)
+    rows = each.select(F.pmod(F.xxhash64(key), F.lit(STATES)).cast("int").alias("state"), F.col(key).alias("key"), F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), (F.col(op) == "deleted").alias("deleted"))
+    out = rows.groupBy("state").transformWithStateInPandas(Bursts(seconds), f"key {kind}, last long, n long", "append", "EventTime")
     return out.select(F.col("key").alias(key), F.timestamp_micros("last").alias("last"), "n")
 
 
