@@ -86,6 +86,28 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> Dat
     return seen
 
 
+#: Neighbours in one list, and pairs that a task counts once, about.
+LIST, TASK_PAIRS = 1024, 1 << 21
+
+
+def within(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """``bfs`` to a depth of one or more whose last step, which makes most rows, travels as lists of neighbours.
+
+    A node's neighbours go to a root as lists of at most ``LIST``, dealt by root once; each is counted where it arrives, so
+    no pair of root and node is shuffled.
+    """
+    pairs = materialise(distinct_pairs(edges), "pairs")
+    inner = bfs(pairs, start, depth - 1)
+    place = F.floor((F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1) / LIST).alias("place")
+    lists = materialise(pairs.select("src", "dst", place).groupBy("src", "place").agg(F.collect_list("dst").alias("ids")).select("src", "ids"), "lists")
+    last = inner.filter(F.col("level") == depth - 1)
+    total = last.groupBy("id").agg(F.count("*").alias("n")).join(pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id").agg(F.sum(F.col("n") * F.col("d"))).first()[0]
+    tasks = max(start.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // TASK_PAIRS))
+    far = last.join(lists, last.id == lists.src).select("root", F.lit(depth).alias("level"), "ids")
+    held = far.unionByName(inner.select("root", "level", F.array("id").alias("ids"))).repartition(tasks, "root")
+    return held.select("root", F.explode("ids").alias("id"), "level").groupBy("root", "id").agg(F.min("level").alias("level"))
+
+
 def neighbourhood(edges: DataFrame, start: DataFrame, max_depth: int = 2, max_nodes: int = 50) -> DataFrame:
     """(root, id, level): nodes within ``max_depth``; of more than ``max_nodes`` the nearest, then smallest ids."""
     found = bfs(edges, start, max_depth)

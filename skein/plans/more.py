@@ -171,7 +171,7 @@ NODES = "(SELECT src AS id FROM graph UNION SELECT dst FROM graph)"
 def dependency_chain(spark, d):
     """Dependencies of every node to a depth."""
     e = V.pairs(spark, d)
-    return G.bfs(e, G.nodes(e), 2).select("root", "id", F.col("level").alias("depth"))
+    return G.within(e, G.nodes(e), 2).select("root", "id", F.col("level").alias("depth"))
 
 
 @query(GRAPH + ", r(a, b) AS (SELECT src, dst FROM graph UNION SELECT a, dst FROM r JOIN graph ON b = src) SELECT a AS root, count(*) AS reached FROM r GROUP BY a")
