@@ -166,3 +166,14 @@ def test_two_million_edges(spark):
     assert levels.count() == 1 + 2 + 3 + 4  # each step along the ring, and to the ring before
     rank = graph.pagerank(e.repartition(8), rounds=2)
     assert rank.count() == rings * 6 and rank.agg(F.max("centrality")).first()[0] == 1.0
+
+
+def test_descent_moves_each_vector_few_times(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    changed, rounds = [], descent.written
+    monkeypatch.setattr(descent, "written", lambda rows, label: changed.append(out := rounds(rows, label)) or out)
+    assert descent.nearest(df, 10).count() == 30000
+    new = [now.filter("new").count() for now, _, _ in changed]
+    assert len(new) <= 6 and all(b < a / 2 for a, b in zip(new, new[1:], strict=False))  # a start by chance leaves most to change
