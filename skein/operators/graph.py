@@ -23,7 +23,11 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, fan_in, fan_out) over distinct neighbours."""
-    pairs = edges.select("src", "dst").distinct()
+    return fans(edges.select("src", "dst").distinct())
+
+
+def fans(pairs: DataFrame) -> DataFrame:
+    """(id, fan_in, fan_out) of pairs (src, dst) that are distinct already."""
     ends = pairs.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(pairs.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     return ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 

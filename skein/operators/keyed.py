@@ -62,19 +62,24 @@ class KeyedTable:
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             raise RuntimeError(f"version {state['version']} of {self.root} was written by another")
 
-    def _latest(self, rows: DataFrame, tie: Column) -> DataFrame:
+    def _latest(self, rows: DataFrame, tie: Column, *within: str) -> DataFrame:
+        """The latest row of each key; ``within``: columns that the rows are dealt by and that follow from the key."""
         order = F.struct(*([F.col(self.recency)] if self.recency else []), tie)
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+        return rows.groupBy(*within, *self.keys).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
 
     # -- writing
 
     def folder(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.folders)).cast("int")
 
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt by their folder."""
+        return rows.withColumn(FOLDER, self.folder()).repartition(FOLDER)
+
     def _write(self, rows: DataFrame, name: str) -> list[str]:
         """Write a delta; the folders that it has."""
-        placed = rows.withColumn(FOLDER, self.folder())
-        placed.repartition(FOLDER).write.mode("overwrite").partitionBy(FOLDER).parquet(f"{self.root}/{name}")
+        placed = rows if FOLDER in rows.columns else self._placed(rows)
+        placed.write.mode("overwrite").partitionBy(FOLDER).parquet(f"{self.root}/{name}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.isDirectory()]
         return sorted(n.split("=")[1] for n in found if n.startswith(f"{FOLDER}="))
 
@@ -88,7 +93,7 @@ class KeyedTable:
             return state
         version = state["version"] + 1
         rows = changes.select(*self.schema.names, (F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).alias(GONE))
-        latest = self._latest(rows, ~F.col(GONE))
+        latest = self._latest(self._placed(rows), ~F.col(GONE), FOLDER)  # keys meet in their folder: one shuffle
         name = f"delta-{version:010d}-{uuid.uuid4().hex[:8]}"
         touched = self._write(latest.withColumn(VERSION, F.lit(version).cast("long")), name)
         folders = {k: list(v) for k, v in state["folders"].items()}
@@ -101,21 +106,23 @@ class KeyedTable:
 
     # -- reading
 
-    def _deltas(self, folders: dict[str, list[str]]) -> DataFrame:
-        kinds = StructType([*self.schema.fields]).add(GONE, "boolean").add(VERSION, "long")
+    def _deltas(self, folders: dict[str, list[str]], columns: list[str] | None = None) -> DataFrame:
+        needed = {*self.keys, self.recency, *(self.schema.names if columns is None else columns)}
+        kinds = StructType([f for f in self.schema.fields if f.name in needed]).add(GONE, "boolean").add(VERSION, "long")
         paths = [f"{self.root}/{d}/{FOLDER}={f}" for f, deltas in folders.items() for d in deltas]
         return self.spark.read.schema(kinds).parquet(*paths) if paths else self.spark.createDataFrame([], kinds)
 
-    def _merged(self, folders: dict[str, list[str]], with_gone: bool = False) -> DataFrame:
+    def _merged(self, folders: dict[str, list[str]], with_gone: bool = False, columns: list[str] | None = None) -> DataFrame:
         one = {f: d for f, d in folders.items() if len(d) == 1}
         more = {f: d for f, d in folders.items() if len(d) > 1}
-        rows = self._deltas(one)
+        rows, names = self._deltas(one, columns), self.schema.names if columns is None else columns
         if more:
-            rows = rows.unionByName(self._latest(self._deltas(more), F.col(VERSION)))
-        return rows.select(*self.schema.names, GONE) if with_gone else rows.filter(~F.col(GONE)).select(*self.schema.names)
+            rows = rows.unionByName(self._latest(self._deltas(more, columns), F.col(VERSION)))
+        return rows.select(*names, GONE) if with_gone else rows.filter(~F.col(GONE)).select(*names)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self._merged(self.state(version)["folders"])
+    def read(self, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The rows of a version, with ``columns`` alone if named: merging then moves no others."""
+        return self._merged(self.state(version)["folders"], columns=columns)
 
     def lookup(self, *keys: tuple) -> DataFrame:
         """The rows of a few keys, from their folders alone."""

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from ..functions import text as T
 from ..functions import vectors as V
 from ..lineage import discard, materialise, shared_dir
-from .graph import degrees
+from .graph import fans
 from .keyed import KeyedTable
 from .retrieval import hashed_embedding
 
@@ -42,7 +42,7 @@ def refresh_table(table: KeyedTable, files: DataFrame, key: str = "id", text: st
     Statuses come from hashes alone; only new and changed texts are parsed, and only their folders are written, with
     tombstones for files that are gone. The names of all others stay as they were stored.
     """
-    status = materialise(refresh(table.read().select(key, "hash"), hashed(files, key, text), key), "status")
+    status = materialise(refresh(table.read(columns=[key, "hash"]), hashed(files, key, text), key), "status")
     fresh = files.join(status.filter("status in ('added', 'changed')").select(key), key, "left_semi")
     rows = fresh.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("hash"), names(F.col(text)).alias("names"), F.lit(False).alias("lost"))
     lost = status.filter("status = 'removed'").select(key, F.lit(None).cast("string").alias("hash"), F.lit(None).cast("array<string>").alias("names"), F.lit(True).alias("lost"))
@@ -53,11 +53,12 @@ def refresh_table(table: KeyedTable, files: DataFrame, key: str = "id", text: st
 def layers(table: KeyedTable) -> dict[str, DataFrame]:
     """The layers over an index of files: symbols (id, name), edges to the smallest id that holds a name, and metrics;
     ``parsed``: the files that the last refresh parsed, as its delta holds them."""
-    files = table.read()
-    symbols = materialise(files.select("id", F.explode("names").alias("name")), "symbols")
+    files = table.read(columns=["id"])
+    symbols = materialise(table.read().select("id", F.explode("names").alias("name")), "symbols")
+    # One row a name, dealt by a hash of it: held by name, so that the symbols, which are many more, need no sort.
     owner = symbols.groupBy("name").agg(F.min("id").alias("dst"))
-    edges = materialise(symbols.join(owner, "name").select(F.col("id").alias("src"), "dst").filter("src <> dst").distinct(), "edges")
-    return {"files": files, "parsed": table.changed(), "symbols": symbols, "edges": edges, "metrics": materialise(degrees(edges), "metrics")}
+    edges = materialise(symbols.join(owner.hint("shuffle_hash"), "name").select(F.col("id").alias("src"), "dst").filter("src <> dst").distinct(), "edges")
+    return {"files": files, "parsed": table.changed(), "symbols": symbols, "edges": edges, "metrics": materialise(fans(edges), "metrics")}
 
 
 def reindex(table: KeyedTable, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -72,3 +72,16 @@ def test_a_refresh_parses_changed_texts_alone(spark, tmp_path):
     assert len(t.state()["touched"]) <= 6
     parsed = refresh.refresh_table(t, new)
     assert parsed.filter("status <> 'unchanged'").count() == 0 and t.changed().count() == 0
+
+
+def test_reads_and_merges_move_only_what_they_need(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.merge(spark.createDataFrame([(1, "a", 0), (2, "b", 0)], KIND))
+    t.merge(spark.createDataFrame([(1, "c", 0), (2, None, 0)], KIND), gone=F.col("v").isNull())
+    keys = t.read(columns=["id"])
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in keys.collect()] == [(1,)] and "ReadSchema" in plan and "v:string" not in plan
+    assert [tuple(r) for r in t.read(1, ["v"]).sort("v").collect()] == [("a",), ("b",)]
+    changes = t._placed(t.read().withColumn(keyed.GONE, F.lit(False)))
+    merged = t._latest(changes, ~F.col(keyed.GONE), keyed.FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert merged.count(f"Exchange hashpartitioning({keyed.FOLDER}#") == merged.count("Exchange hashpartitioning(") - 1 == 1  # the other one is that of ``read``
